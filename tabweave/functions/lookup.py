@@ -20,6 +20,11 @@ def long_values(cols: Sequence[str], kind: str = "string") -> Column:
     )
 
 
+def one_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct, usable in any expression without a join."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
+
+
 def lookup(
     df: DataFrame, col: str, entries: DataFrame, key: str, value: str, out: str, size: int, weight: str | None = None
 ) -> DataFrame:

@@ -93,22 +93,32 @@ def ranked_values(
     return running_total(counts, [*keys, "column"], ["value"], "n", "upto", "rows", split).drop(PART)
 
 
-def _quantiles_by_rank(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str], rows_per_part: int | None
+def quantiles_by_rank(
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str] = (),
+    rows_per_part: int | None = None,
+    points: dict[str, float] = PERCENTILES,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles picked out of the ranked distinct values."""
     ranked = ranked_values(df, cols, keys, rows_per_part)
     before = F.col("upto") - F.col("n")
     aggs = []
-    for name, p in PERCENTILES.items():
+    for name, p in points.items():
         at = (F.col("rows") - 1) * F.lit(p)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             aggs.append(F.max(F.when((before <= rank) & (rank < F.col("upto")), F.col("value"))).alias(f"{name}_{side}"))
     picked = ranked.groupBy(*keys, "column").agg(F.max("rows").alias("_rows"), *aggs)
+
     def between(name: str, p: float) -> Column:
         at = (F.col("_rows") - 1) * F.lit(p)
         return F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (at - F.floor(at))
-    return picked.select(*keys, "column", *[between(n, p).alias(n) for n, p in PERCENTILES.items()])
+    return picked.select(*keys, "column", *[between(n, p).alias(n) for n, p in points.items()])
+
+
+def exact_percentile(df: DataFrame, col: str, p: float, name: str, rows_per_part: int | None = None) -> DataFrame:
+    """One exact percentile of one column."""
+    return quantiles_by_rank(df, [col], (), rows_per_part, {name: p}).select(name)
 
 
 def numeric_profile(
@@ -123,7 +133,7 @@ def numeric_profile(
     if part_count(df.count(), rows_per_part) == 1:
         return column_moments(df, cols, keys, quantiles=True).select(*keys, "column", *names)
     moments = column_moments(df, cols, keys)
-    quantiles = _quantiles_by_rank(df, cols, keys, rows_per_part)
+    quantiles = quantiles_by_rank(df, cols, keys, rows_per_part)
     return moments.join(quantiles, [*keys, "column"], "left").select(*keys, "column", *names)
 
 
