@@ -40,3 +40,11 @@ def norm_cdf(z: Column) -> Column:
     far = density / fraction / F.lit(math.sqrt(2 * math.pi))
     tail = F.when(y > 37, F.lit(0.0)).when(y < 5 * math.sqrt(2), centre).otherwise(far)
     return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
+def plain_number(x: Column) -> Column:
+    """A double as decimal text without an exponent."""
+    fixed = F.regexp_replace(x.try_cast("decimal(38,15)").cast("string"), "0+$", "")
+    fixed = F.regexp_replace(fixed, r"\.$", ".0")
+    short = (x == 0) | ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7))
+    return F.when(short, x.cast("string")).otherwise(F.coalesce(fixed, x.cast("string")))
