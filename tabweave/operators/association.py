@@ -230,7 +230,7 @@ def pseudo_r2(df: DataFrame, cat: str, cont: str) -> DataFrame:
     scaled = data.withColumn("x", (F.col("x") - F.lit(spread["m"] or 0.0)) / F.lit(spread["s"] or 1.0))
     indexed = StringIndexer(inputCol="c", outputCol="label").fit(scaled).transform(scaled)
     rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(indexed)
-    model = LogisticRegression(regParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(rows)
+    model = LogisticRegression(regParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(rows)
     p = vector_to_array(F.col("probability"))
     ll = model.transform(rows).agg(F.sum(F.log(F.get(p, F.col("label").cast("int")))).alias("ll"), F.count("*").alias("rows"))
     classes = rows.groupBy("label").agg(F.count("*").alias("n"))

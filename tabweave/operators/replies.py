@@ -54,7 +54,7 @@ def repair_json(text: Column) -> Column:
 def parse_json_replies(df: DataFrame, cols: Sequence[str], exact: bool = False) -> DataFrame:
     """``(chat_id, position, cols...)`` of the objects that have every column, as unquoted text.
 
-    ``exact`` asks for these keys and no others.
+    ``exact`` asks for these keys and no others. Decimal numbers come out as JSON reads them, as doubles.
     """
     repaired = extract_json_objects(df).withColumn("_o", repair_json(F.col("object")))
     flat = repaired.filter(F.col("_o").rlike(FLAT_OBJECT))
@@ -75,8 +75,7 @@ def normalise_reply(df: DataFrame) -> DataFrame:
     kept = F.filter(
         repaired, lambda o: o.rlike(FLAT_OBJECT) & F.from_json(o, "map<string,string>").isNotNull()
     )
-    compact = F.transform(kept, lambda o: F.to_json(F.from_json(o, "map<string,string>")))
-    return df.select("chat_id", F.array_join(compact, "\n").alias("response"))
+    return df.select("chat_id", F.array_join(kept, "\n").alias("response"))
 
 
 def validate_rows(

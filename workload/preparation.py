@@ -37,13 +37,13 @@ def read_csv_table(spark, sf):
 
 
 @query(
-    """SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1500) AS BIGINT) AS repetition,
+    """SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // (count(*) OVER () // 3) AS repetition,
          o_orderkey, o_orderstatus, o_totalprice FROM orders QUALIFY repetition < 3"""
 )
 def write_generated_repetitions(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     folder = scratch(spark, "generated")
-    write_generated(prepare.repetition_slices(orders, 1500, 3, ["o_orderkey"]), folder)
+    write_generated(prepare.repetition_slices(orders, orders.count() // 3, 3, ["o_orderkey"]), folder)
     schema = "o_orderkey bigint, o_orderstatus string, o_totalprice double, repetition bigint"
     return read_table(spark, folder, "csv", schema)
 
@@ -163,11 +163,12 @@ def train_test_split_shuffled(spark, sf):
 
 
 @query(
-    """SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 300) AS BIGINT) AS repetition
-       FROM events QUALIFY repetition < 30"""
+    """SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // (count(*) OVER () // 3) AS repetition
+       FROM events QUALIFY repetition < 3"""
 )
 def repetition_slices(spark, sf):
-    return prepare.repetition_slices(table(spark, sf, "events").select("event_id"), 300, 30, ["event_id"])
+    events = table(spark, sf, "events").select("event_id")
+    return prepare.repetition_slices(events, events.count() // 3, 3, ["event_id"])
 
 
 @query(
