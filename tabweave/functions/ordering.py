@@ -20,6 +20,8 @@ PART = "_part"
 # Rows one window task may be given before the order range is cut.
 ROWS_PER_PART = 2_000_000
 MAX_PARTS = 4096
+# Cuts up to which the search is spelled out in generated code.
+INLINE_CUTS = 255
 SAMPLES_PER_PART = 30
 
 
@@ -34,22 +36,42 @@ def _spread(points: list, parts: int) -> list:
 
 
 def part_of(key: Column, cuts: Sequence[Column]) -> Column:
-    """Number of cuts at or below ``key``, found in two levels so that a row is compared about twice sqrt(n) times."""
+    """Number of the sorted ``cuts`` at or below ``key``, by binary search.
+
+    Few cuts become nested conditions inside generated code; many become a search in a literal array.
+    """
     if not cuts:
         return F.lit(0)
-    width = math.ceil(math.sqrt(len(cuts)))
-    blocks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
-    heads = F.array(*[b[0] for b in blocks])
-    block = F.greatest(F.size(F.filter(heads, lambda c: c <= key)), F.lit(1))
-    inside = F.element_at(F.array(*[F.array(*b) for b in blocks]), block)
-    return (block - 1) * width + F.size(F.filter(inside, lambda c: c <= key))
+    if len(cuts) <= INLINE_CUTS:
+        return _branch(key, cuts, 0, len(cuts))
+    bounds = F.array(*cuts)
+    steps = [2**i for i in reversed(range(len(cuts).bit_length()))]
+
+    def advance(found: Column, step: Column) -> Column:
+        further = found + step
+        fits = (further <= len(cuts)) & (F.get(bounds, further - 1) <= key)
+        return F.when(fits, further).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+
 
+def _branch(key: Column, cuts: Sequence[Column], low: int, high: int) -> Column:
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(cuts[middle] <= key, _branch(key, cuts, middle + 1, high)).otherwise(_branch(key, cuts, low, middle))
 
-def value_cuts(df: DataFrame, cols: Sequence[str], rows_per_part: int | None = None) -> dict[str, list]:
-    """Sampled cut points of each column; empty lists while one task can hold a column."""
+
+def value_cuts(
+    df: DataFrame, cols: Sequence[str], rows_per_part: int | None = None, least: int = 1
+) -> dict[str, list]:
+    """Sampled cut points of each column; empty lists while one task can hold a column.
+
+    ``least`` asks for that many parts even of a table that one task could hold.
+    """
     rows = df.count()
-    parts = part_count(rows, rows_per_part)
-    if parts == 1:
+    parts = max(least, part_count(rows, rows_per_part))
+    if parts == 1 or rows == 0:
         return {c: [] for c in cols}
     fraction = min(1.0, SAMPLES_PER_PART * parts / rows)
     sample = df.select(*[F.col(f"`{c}`") for c in cols]).sample(fraction, seed=7).collect()

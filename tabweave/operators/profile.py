@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import long_values
 from tabweave.functions.numeric import norm_cdf, rounded
-from tabweave.functions.ordering import PART, part_count, part_of, running_total, value_cuts
+from tabweave.functions.ordering import PART, running_total, value_cuts
+from tabweave.operators.quantiles import PERCENTILES, as_double, buffered, exact_quantiles, parted_values
 
-# The profiled percentiles.
-PERCENTILES = {"p01": 0.01, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
 MOMENTS = ("n", "mean", "std", "min", "max", "skew", "kurtosis")
 
 # A mixture is fitted to at most this many weighted bins per column.
@@ -27,12 +26,8 @@ BODY_BINS, TAIL_BINS = 3000, 500
 MAX_MODES, MIN_BIC_GAIN = 10, 0.10
 
 
-def _double(c: str) -> Column:
-    return F.col(f"`{c}`").cast("double")
-
-
 def _moments(c: str) -> list[tuple[str, Column]]:
-    x = _double(c)
+    x = as_double(c)
     return [
         ("n", F.count(x)),
         ("mean", F.avg(x)),
@@ -52,7 +47,7 @@ def column_moments(
     if quantiles:
         points = F.array(*[F.lit(p) for p in PERCENTILES.values()])
         for c in cols:
-            aggs[c].append(("q", F.percentile(_double(c), points)))
+            aggs[c].append(("q", F.percentile(as_double(c), points)))
     wide = df.groupBy(*keys).agg(*[a.alias(f"{i}_{name}") for i, c in enumerate(cols) for name, a in aggs[c]])
     rows = F.array(
         *[
@@ -66,75 +61,26 @@ def column_moments(
     return out
 
 
-def value_counts(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), cuts: dict[str, list] | None = None
-) -> DataFrame:
-    """``(keys, column, part, value, n)`` over distinct numbers: the only data a rank has to move."""
-    cuts = cuts or {}
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            part_of(_double(c), [F.lit(float(x)) for x in cuts.get(c, [])]).alias(PART),
-            _double(c).alias("value"),
-        )
-        for c in cols
-    ]
-    long = df.select(*keys, F.explode(F.array(*structs)).alias("_v")).select(*keys, "_v.*")
-    return long.filter(F.col("value").isNotNull()).groupBy(*keys, "column", PART, "value").agg(F.count("*").alias("n"))
-
-
 def ranked_values(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), rows_per_part: int | None = None
 ) -> DataFrame:
     """``(keys, column, value, n, upto, rows)``: distinct values with their last 1-based rank."""
     cuts = value_cuts(df, cols, rows_per_part)
     split = any(cuts.values())
-    counts = value_counts(df, cols, keys, cuts)
+    counts = parted_values(df, cols, keys, cuts).groupBy(*keys, "column", PART, "value").agg(F.count("*").alias("n"))
     return running_total(counts, [*keys, "column"], ["value"], "n", "upto", "rows", split).drop(PART)
 
 
-def quantiles_by_rank(
-    df: DataFrame,
-    cols: Sequence[str],
-    keys: Sequence[str] = (),
-    rows_per_part: int | None = None,
-    points: dict[str, float] = PERCENTILES,
-) -> DataFrame:
-    """Exact linear-interpolation percentiles picked out of the ranked distinct values."""
-    ranked = ranked_values(df, cols, keys, rows_per_part)
-    before = F.col("upto") - F.col("n")
-    aggs = []
-    for name, p in points.items():
-        at = (F.col("rows") - 1) * F.lit(p)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            aggs.append(F.max(F.when((before <= rank) & (rank < F.col("upto")), F.col("value"))).alias(f"{name}_{side}"))
-    picked = ranked.groupBy(*keys, "column").agg(F.max("rows").alias("_rows"), *aggs)
-
-    def between(name: str, p: float) -> Column:
-        at = (F.col("_rows") - 1) * F.lit(p)
-        return F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (at - F.floor(at))
-    return picked.select(*keys, "column", *[between(n, p).alias(n) for n, p in points.items()])
-
-
-def exact_percentile(df: DataFrame, col: str, p: float, name: str, rows_per_part: int | None = None) -> DataFrame:
-    """One exact percentile of one column."""
-    return quantiles_by_rank(df, [col], (), rows_per_part, {name: p}).select(name)
-
-
 def numeric_profile(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), rows_per_part: int | None = None
 ) -> DataFrame:
-    """Count, mean, population std, extremes, seven exact percentiles, biased skew and excess kurtosis per column.
-
-    Spark's exact percentile keeps every distinct value of a group in one buffer, so it is used only while the table is
-    small enough for one task; beyond that percentiles are picked from partwise ranks.
-    """
+    """Count, mean, population std, extremes, seven exact percentiles, biased skew and excess kurtosis per column."""
     names = ["n", "mean", "std", "min", "max", *PERCENTILES, "skew", "kurtosis"]
-    if part_count(df.count(), rows_per_part) == 1:
+    if buffered(df, keys, rows_per_part):
         return column_moments(df, cols, keys, quantiles=True).select(*keys, "column", *names)
     moments = column_moments(df, cols, keys)
-    quantiles = quantiles_by_rank(df, cols, keys, rows_per_part)
-    return moments.join(quantiles, [*keys, "column"], "left").select(*keys, "column", *names)
+    found = exact_quantiles(df, cols, keys, PERCENTILES, rows_per_part)
+    return moments.join(found, [*keys, "column"], "left").select(*keys, "column", *names)
 
 
 def category_profile(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

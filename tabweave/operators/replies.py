@@ -56,9 +56,12 @@ def parse_json_replies(df: DataFrame, cols: Sequence[str], exact: bool = False)
 
     ``exact`` asks for these keys and no others. Decimal numbers come out as JSON reads them, as doubles.
     """
-    repaired = extract_json_objects(df).withColumn("_o", repair_json(F.col("object")))
-    flat = repaired.filter(F.col("_o").rlike(FLAT_OBJECT))
-    members = flat.withColumn("_m", F.from_json("_o", "map<string,string>"))
+    found = F.regexp_extract_all(drop_leading_zeros(F.col("response")), F.lit(OBJECT), F.lit(1))
+    # Parsed inside the array, before the explode: a filter on a parsed column would repeat the parse per condition.
+    parsed = F.transform(
+        F.transform(found, repair_json), lambda o: F.when(o.rlike(FLAT_OBJECT), F.from_json(o, "map<string,string>"))
+    )
+    members = df.select("chat_id", F.posexplode(parsed).alias("position", "_m"))
     wanted = F.lit(True)
     for c in cols:
         wanted = wanted & F.map_contains_key("_m", c)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.numeric import rounded
-from tabweave.operators.profile import category_profile, column_moments, numeric_profile
+from tabweave.operators.profile import category_profile, column_moments
+from tabweave.operators.quantiles import medians
 from tabweave.roles import Roles, cat_cols, cont_cols
 
 SHIFT_COLUMNS = ["column", "other", "condition", "value", "shift"]
@@ -98,12 +99,12 @@ def cat_given_cont(
     pairs = [(a, b) for a in cats for b in conts]
     if not pairs:
         return _empty(df, keys, SHIFT_COLUMNS, ["shift"])
-    profile = numeric_profile(df, conts, keys) if profile is None else profile
-    medians = profile.select(*keys, F.col("column").alias("other"), "p50")
+    middle = medians(df, conts, keys) if profile is None else profile
+    middle = middle.select(*keys, F.col("column").alias("other"), "p50")
     half = F.when(F.col("b") >= F.col("p50"), "big").otherwise("small")
     cells = (
         _pairs(df, edges, pairs, keys, "string", "double")
-        .join(_small(medians, keys), [*keys, "other"])
+        .join(_small(middle, keys), [*keys, "other"])
         .groupBy(*keys, "column", "other", F.col("a").alias("value"), half.alias("condition"))
         .agg(F.count("*").alias("cell"))
     )

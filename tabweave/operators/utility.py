@@ -35,16 +35,22 @@ def _assembled(df: DataFrame, features: Sequence[str], label: str = "target") ->
     return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(safe).select("features", "label")
 
 
-def _classifier(model: str, features: int, classes: int):
-    """Spark ML counterparts of the five classifiers: depth 5 trees, 100 trees, 100 hidden units, 300 iterations."""
+def _classifier(model: str, features: int, classes: int, rows: int):
+    """Spark ML counterparts of the five classifiers.
+
+    Fixed values: depth 5 trees, 100 trees, 100 hidden units, 300 iterations, tolerance 1e-4, unit penalty on raw
+    features (Spark divides the loss by the row count, hence one over it).
+    """
+    penalty = 1.0 / max(1, rows)
     if model == "LinearSVC":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.0), parallelism=4)
+        one = LinearSVC(maxIter=100, regParam=penalty, tol=1e-4, standardization=False)
+        return OneVsRest(classifier=one, parallelism=4)
     if model == "DecisionTreeClassifier":
         return DecisionTreeClassifier(maxDepth=5, seed=SEED)
     if model == "RandomForestClassifier":
         return RandomForestClassifier(maxDepth=5, numTrees=100, seed=SEED)
     if model == "LogisticRegression":
-        return LogisticRegression(maxIter=100, regParam=0.0)
+        return LogisticRegression(maxIter=100, regParam=penalty, tol=1e-4, standardization=False)
     if model == "MLPClassifier":
         return MultilayerPerceptronClassifier(layers=[features, 100, classes], maxIter=300, seed=SEED)
     raise ValueError(f"unknown classifier {model!r}")
@@ -58,10 +64,10 @@ def utility_classification(
     Labels are category codes. The perceptron scales its inputs, since it converges on nothing else.
     """
     train, held = _assembled(synthetic, features, label), _assembled(test, features, label)
-    highest = train.agg(F.max("label")).first()[0]
+    highest, rows = train.agg(F.max("label"), F.count("*")).first()
     if highest is None:
         raise ValueError("no synthetic rows to train on")
-    estimator = _classifier(model, len(features), int(highest) + 1)
+    estimator = _classifier(model, len(features), int(highest) + 1, rows)
     if model == "MLPClassifier":
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
         fitted: Model | Transformer = Pipeline(stages=[scaler, estimator.setFeaturesCol("scaled")]).fit(train)

@@ -4,6 +4,7 @@ from itertools import combinations
 
 
 from tabweave.operators import association, shifts
+from tabweave.session import durable
 from workload.common import (
     LINEITEM_CATS, LINEITEM_CONTS, SALES_CATS, SALES_CONTS, SALES_ROLES, SALES_SQL, query, r, sales, table, trimmed,
 )
@@ -101,13 +102,14 @@ matrix AS (
 edges AS (SELECT "column", other, kind, {r('value', 2)} AS value FROM matrix WHERE abs(value) > 0.2)"""
 
 
-def sales_edges(spark, sf):
+@query(f"WITH {SALES_SQL}, {EDGES_SQL} SELECT * FROM edges")
+def association_edges(spark, sf):
     return association.association_edges(sales(spark, sf), SALES_ROLES)
 
 
-@query(f"WITH {SALES_SQL}, {EDGES_SQL} SELECT * FROM edges")
-def association_edges(spark, sf):
-    return sales_edges(spark, sf)
+def sales_edges(spark, sf):
+    """The few edges, written once because the steps that follow read them many times."""
+    return durable(association_edges(spark, sf))
 
 
 def _names(cols: list[str]) -> str:

@@ -31,8 +31,8 @@ def numeric_profile(spark, sf):
 
 
 @query(f"WITH long AS ({unpivot_sql(LINEITEM_CONTS, 'lineitem', 'DOUBLE')}) {_moments_sql()}")
-def numeric_profile_by_rank(spark, sf):
-    """The path of large tables: percentiles out of partwise ranks."""
+def numeric_profile_by_brackets(spark, sf):
+    """The path of large tables: percentiles out of brackets."""
     lines = table(spark, sf, "lineitem")
     parts = profile.numeric_profile(lines, LINEITEM_CONTS, rows_per_part=max(1, lines.count() // 6))
     return trimmed(parts, PLACES, *ROUNDED)
@@ -126,3 +126,11 @@ def fit_modes_per_key(spark, sf):
 )
 def class_distribution(spark, sf):
     return trimmed(profile.class_distribution(table(spark, sf, "orders"), "o_orderpriority"), 6, "share")
+
+
+@query(f"""WITH long AS ({unpivot_sql(['value'], 'events', 'DOUBLE', 'event_type,')}) {_moments_sql('event_type,')}""")
+def numeric_profile_per_key_by_parts(spark, sf):
+    """The path of large tables with keys."""
+    events = table(spark, sf, "events")
+    parts = profile.numeric_profile(events, ["value"], ["event_type"], rows_per_part=max(1, events.count() // 4))
+    return trimmed(parts, PLACES, *ROUNDED)
