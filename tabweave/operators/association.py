@@ -50,16 +50,24 @@ def pearson_matrix(
 ) -> DataFrame:
     """Pearson correlation of every ordered pair; null where a column is constant.
 
-    One aggregation without any row expansion. Wide tables without keys use the Gramian of Spark ML instead.
+    One aggregation without any row expansion. Wide tables without keys use the Gramian of Spark ML instead. (Spark's
+    ``corr`` raises on a constant column, so the quotient is written out.)
     """
     if len(cols) < 2 and not diagonal:
         return df.sparkSession.createDataFrame([], "column string, other string, value double")
     if len(cols) > PAIRWISE_COLUMNS and not keys:
         out = _gramian(df, cols)
         return out if diagonal else out.filter("column <> other")
-    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     pairs = list(combinations(cols, 2)) + ([(c, c) for c in cols] if diagonal else [])
-    wide = df.groupBy(*keys).agg(*[F.corr(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    x = {c: F.col(f"_x{i}") for i, c in enumerate(cols)}
+    complete = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)]).na.drop(
+        subset=[f"_x{i}" for i in range(len(cols))]
+    )
+
+    def quotient(a: str, b: str) -> Column:
+        return F.try_divide(F.covar_pop(x[a], x[b]), F.stddev_pop(x[a]) * F.stddev_pop(x[b]))
+
+    wide = complete.groupBy(*keys).agg(*[quotient(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("column"), F.lit(b).alias("other"), _finite(F.col(f"c{i}")).alias("value"))

@@ -89,12 +89,12 @@ def jensen_shannon(
     p_all, q_all = one_row(sums), one_row(other)
 
     def term(x: Column, m: Column) -> Column:
-        return F.when(x == 0, F.lit(0.0)).otherwise(x * F.log(x / m))
+        return F.when(x == 0, F.lit(0.0)).otherwise(x * F.log(F.try_divide(x, m)))
 
     # Shares are columns of their own: an aggregate may not contain a subquery.
     joined = left.join(right, "_rank").select(
-        *[(F.col(f"p{i}") / p_all[f"p{i}"]).alias(f"p{i}") for i in range(len(cols))],
-        *[(F.col(f"q{i}") / q_all[f"q{i}"]).alias(f"q{i}") for i in range(len(cols))],
+        *[F.try_divide(F.col(f"p{i}"), p_all[f"p{i}"]).alias(f"p{i}") for i in range(len(cols))],
+        *[F.try_divide(F.col(f"q{i}"), q_all[f"q{i}"]).alias(f"q{i}") for i in range(len(cols))],
     )
 
     def divergence(i: int) -> Column:
@@ -152,12 +152,12 @@ def wasserstein(
         next_start = starts.select("column", PART, F.lead("_start").over(parts).alias("_next"))
         ranked = ranked.join(next_start, ["column", PART])
         following = F.coalesce(following, F.col("_next"))
-    gap = F.abs(F.col("cu") / F.col("nu") - F.col("cv") / F.col("nv")) * (following - F.col("value"))
-    return (
-        ranked.withColumn("_gap", gap)
-        .groupBy("column")
-        .agg(F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("distance"))
-    )
+    shares = [F.try_divide(F.col(c), F.col(n)) for c, n in (("cu", "nu"), ("cv", "nv"))]
+    gap = F.abs(shares[0] - shares[1]) * (following - F.col("value"))
+    # One distinct value has no gaps and distance zero; an empty side has no distance.
+    both = (F.min("nu") > 0) & (F.min("nv") > 0)
+    distance = F.when(both, F.coalesce(F.sum("_gap"), F.lit(0.0)))
+    return ranked.withColumn("_gap", gap).groupBy("column").agg(distance.alias("distance"))
 
 
 def mean_wasserstein(real: DataFrame, synthetic: DataFrame, cols: Sequence[str], **options) -> DataFrame:
