@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A dictionary of at most this many entries is sent to every executor.
 BROADCAST_ENTRIES = 100_000
+# Longer texts count as several entries, which bounds a broadcast dictionary at 50 MB.
+ENTRY_BYTES = 500
 # An entry is hot above this share of the rows; at most 1 / HOT_SHARE entries can be hot.
 HOT_SHARE = 0.001
 
@@ -25,6 +27,11 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
 
 
+def small_side(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Tables with a row per column, or pair of columns, are bounded by the schema and broadcast; with keys they are not."""
+    return df if keys else F.broadcast(df)
+
+
 def lookup(
     df: DataFrame, col: str, entries: DataFrame, key: str, value: str, out: str, size: int, weight: str | None = None
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.lookup import long_values
+from tabweave.functions.lookup import long_values, small_side
 from tabweave.functions.numeric import rounded
 from tabweave.operators.profile import category_profile, column_moments
 from tabweave.roles import Roles, cat_cols, cont_cols
@@ -141,7 +141,7 @@ def cramers_v_matrix(
     sums = (
         cells.join(left, [*keys, "column", "value"])
         .join(right, [*keys, "other", "condition"])
-        .join(size.select(*keys, "column", "rows"), [*keys, "column"])
+        .join(small_side(size.select(*keys, "column", "rows"), keys), [*keys, "column"])
         .groupBy(*keys, "column", "other")
         .agg(
             F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("fit"),
@@ -191,7 +191,7 @@ def eta_matrix(
     between = F.sum(F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))
     ratio = F.sqrt(F.col("between") / F.col("ss"))
     out = (
-        means.join(whole, [*keys, "other"])
+        means.join(small_side(whole, keys), [*keys, "other"])
         .groupBy(*keys, "column", "other", "ss")
         .agg(between.alias("between"))
         .select(*keys, "column", "other", F.when(F.col("ss") > 0, ratio).alias("value"))

@@ -227,6 +227,21 @@ def chat_to_text(
     return df.groupBy(key, part).agg(F.array_join(F.transform(ordered, lambda m: m["line"]), "\n").alias("text"))
 
 
+def collect_chats(
+    df: DataFrame,
+    key: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    turns_per_chat: int = TURNS_PER_TEXT,
+) -> DataFrame:
+    """``(key, part, messages)`` from a table of turns; a chat beyond ``turns_per_chat`` turns continues in further parts."""
+    part = F.floor(F.col(turn) / turns_per_chat).cast("bigint").alias("part")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("content"))))
+    messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return df.groupBy(key, part).agg(messages.alias("messages"))
+
+
 def long_messages(chats: DataFrame, key: str = "chat_id") -> DataFrame:
     """``(key, turn, role, content)`` of chats with a message array."""
     return chats.select(key, F.posexplode("messages").alias("turn", "m")).select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.lookup import long_values, lookup
+from tabweave.functions.lookup import ENTRY_BYTES, long_values, lookup
 from tabweave.functions.numeric import rounded
 from tabweave.functions.ordering import PART, key_part, running_total
 from tabweave.roles import Roles, cat_cols
@@ -37,8 +37,10 @@ def fit_dictionary(
 
 
 def dictionary_sizes(dictionary: DataFrame) -> dict[str, int]:
-    """Entries per column: one small row per categorical column reaches the driver."""
-    return {r["column"]: r["size"] for r in dictionary.groupBy("column").agg(F.count("*").alias("size")).collect()}
+    """Size of each column's dictionary in entries of ordinary length: one small row per column reaches the driver."""
+    text = F.ceil(F.sum(F.octet_length("value")) / ENTRY_BYTES)
+    sizes = dictionary.groupBy("column").agg(F.greatest(F.count("*"), text).alias("size"))
+    return {r["column"]: r["size"] for r in sizes.collect()}
 
 
 def encode(df: DataFrame, dictionary: DataFrame, roles: Roles, sizes: dict[str, int] | None = None) -> DataFrame:

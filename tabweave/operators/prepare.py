@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabweave.functions.ordering import global_rank, hash_rank
+from tabweave.functions.ordering import ROWS_PER_PART, global_rank, hash_rank, part_count
 from tabweave.functions.seeded import seeded_hash
+from tabweave.operators.quantiles import values_at_ranks
 from tabweave.roles import ROLE_TYPES, Roles, check_roles
 
 
@@ -56,6 +59,63 @@ def shuffle(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_hash(seed, *key), *key)
 
 
+def _rank_order(df: DataFrame, order: Sequence[str] | None, key: Sequence[str] | None, seed: int):
+    """A numeric leading column and the unique columns that break its ties; None where the lead is no number."""
+    if order is None and key is None:
+        raise ValueError("give an order or a key")
+    if order is None:
+        return seeded_hash(seed, *key), list(key)
+    lead = df.schema[order[0]].dataType
+    return (F.col(order[0]) if isinstance(lead, T.NumericType) else None), list(order)
+
+
+def rank_intervals(
+    df: DataFrame,
+    ends: Sequence[int],
+    order: Sequence[str] | None = None,
+    key: Sequence[str] | None = None,
+    seed: int = 42,
+    rows_per_part: int | None = None,
+) -> DataFrame:
+    """Add ``interval``: the number of ``ends`` below the 1-based rank of a row; ``ends`` ascend.
+
+    Ranks follow a unique ``order`` or the seeded hash of a unique ``key``. A small table is ranked. Of a large one only
+    the rows at the ends are looked up, and every row is then compared with them: no row is moved.
+    """
+    rows = df.count()
+    ends = [min(e, rows) for e in ends]
+    lead, ties = _rank_order(df, order, key, seed)
+    if part_count(rows, rows_per_part) == 1 or lead is None:
+        ranked = (
+            global_rank(df, order, "_rank", rows_per_part=rows_per_part)
+            if order is not None
+            else hash_rank(df, [], lead, ties, "_rank", rows_per_part=rows_per_part)
+        )
+        below = [F.when(F.col("_rank") > e, 1).otherwise(0) for e in ends]
+        return ranked.withColumn("interval", sum(below, F.lit(0))).drop("_rank")
+    wanted = sorted({e for e in ends if e > 0})
+    leads = dict(zip(wanted, values_at_ranks(df, lead, wanted, rows_per_part or ROWS_PER_PART)))
+    tagged = df.withColumn("_lead", lead.cast("double"))
+    distinct = sorted(set(leads.values()))
+    before = tagged.agg(*[F.count_if(F.col("_lead") < v).alias(f"b{i}") for i, v in enumerate(distinct)]).first()
+    first = dict(zip(distinct, before)) if distinct else {}
+    # Rows that share the lead of an end are ranked among themselves by their key.
+    window = Window.partitionBy("_lead").orderBy(*ties)
+    tied = tagged.filter(F.col("_lead").isin(distinct)).select("_lead", *ties, F.row_number().over(window).alias("_at"))
+    spots = [(F.col("_lead") == leads[e]) & (F.col("_at") == e - first[leads[e]]) for e in wanted]
+    marks = {(r["_lead"], r["_at"]): r for r in tied.filter(reduce(Column.__or__, spots, F.lit(False))).collect()}
+
+    def beyond(e: int) -> Column:
+        if e == 0:
+            return F.lit(1)
+        mark = marks[leads[e], e - first[leads[e]]]
+        last = F.struct(*[F.lit(mark[c]).cast(df.schema[c].dataType).alias(c) for c in ties])
+        later = (F.col("_lead") == leads[e]) & (F.struct(*[F.col(c).alias(c) for c in ties]) > last)
+        return F.when((F.col("_lead") > leads[e]) | later, 1).otherwise(0)
+
+    return tagged.withColumn("interval", sum([beyond(e) for e in ends], F.lit(0))).drop("_lead")
+
+
 def train_test_split(
     df: DataFrame,
     n_train: int,
@@ -69,25 +129,20 @@ def train_test_split(
 
     Sizes are capped at 75 % and 25 % of the rows. Rows are taken in a given ``order``, or in seeded hash order of ``key``.
     """
-    if order is not None:
-        ranked = global_rank(df, order, "_rank", "_rows", rows_per_part)
-    elif key is not None:
-        ranked = hash_rank(df, [], seeded_hash(seed, *key), key, "_rank", "_rows", rows_per_part)
-    else:
-        raise ValueError("give an order or a key")
-    train = F.least(F.lit(n_train), F.floor(F.col("_rows") * 0.75))
-    test = F.least(F.lit(n_test), F.floor(F.col("_rows") * 0.25))
-    part = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + test, "test")
-    return ranked.withColumn("split", part).filter(F.col("split").isNotNull()).drop("_rank", "_rows")
+    rows = df.count()
+    train, test = min(n_train, int(rows * 0.75)), min(n_test, int(rows * 0.25))
+    cut = rank_intervals(df, [train, train + test], order, key, seed, rows_per_part)
+    kept = cut.filter(F.col("interval") < 2)
+    return kept.withColumn("split", F.when(F.col("interval") == 0, "train").otherwise("test")).drop("interval")
 
 
 def repetition_slices(
     df: DataFrame, size: int, repetitions: int, order: Sequence[str], rows_per_part: int | None = None
 ) -> DataFrame:
     """Cut generated rows into ``repetitions`` slices of ``size`` rows; the tail is discarded."""
-    ranked = global_rank(df, order, "_rank", rows_per_part=rows_per_part)
-    slice_no = F.floor((F.col("_rank") - 1) / F.lit(size)).cast("bigint")
-    return ranked.withColumn("repetition", slice_no).filter(F.col("repetition") < repetitions).drop("_rank")
+    cut = rank_intervals(df, [size * (i + 1) for i in range(repetitions)], order, rows_per_part=rows_per_part)
+    kept = cut.filter(F.col("interval") < repetitions)
+    return kept.withColumn("repetition", F.col("interval").cast("bigint")).drop("interval")
 
 
 def cast_roles(df: DataFrame, roles: Roles) -> DataFrame:

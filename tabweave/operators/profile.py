@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.lookup import long_values
+from tabweave.functions.lookup import long_values, small_side
 from tabweave.functions.numeric import norm_cdf, rounded
 from tabweave.functions.ordering import PART, running_total, value_cuts
 from tabweave.operators.quantiles import PERCENTILES, as_double, buffered, exact_quantiles, parted_values
@@ -105,7 +105,7 @@ def fit_distribution(
     """
     ranked = ranked_values(df, cols, keys, rows_per_part)
     fit = column_moments(df, cols, keys).select(*keys, "column", "n", "mean", "std", "min", "max")
-    joined = ranked.join(fit.withColumnRenamed("n", "_n"), [*keys, "column"]).filter(F.col("max") > F.col("min"))
+    joined = ranked.join(small_side(fit.drop("n"), keys), [*keys, "column"]).filter(F.col("max") > F.col("min"))
     x, rows = F.col("value"), F.col("rows")
     candidates = {
         "norm": norm_cdf((x - F.col("mean")) / F.col("std")),
@@ -210,10 +210,9 @@ def fit_modes(
         .when(x > F.col("p99"), TAIL_BINS + BODY_BINS + cell("p99", "max", TAIL_BINS))
         .otherwise(TAIL_BINS + cell("p01", "p99", BODY_BINS))
     )
-    bounds = profile if keys else F.broadcast(profile)
     bins = (
         long.filter(x.isNotNull())
-        .join(bounds, [*keys, "column"])
+        .join(small_side(profile, keys), [*keys, "column"])
         .groupBy(*keys, "column", F.col("p50").alias("shift"), number.cast("int").alias("bin"))
         .agg(F.count("*").alias("w"), F.sum(off).alias("sx"), F.sum(off * off).alias("sxx"))
     )

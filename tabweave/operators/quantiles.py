@@ -72,7 +72,6 @@ class Bracket:
 
     col: int
     name: str
-    p: float
     low: float = -math.inf
     high: float = math.inf
     below: int = 0
@@ -111,8 +110,16 @@ def quantiles_by_brackets(
     x = [F.col(f"_x{i}") for i in range(len(cols))]
     rows = numbers.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(x)]).first()
     brackets = [
-        Bracket(i, n, p, inside=rows[i], at=p * (rows[i] - 1)) for i in range(len(cols)) for n, p in points.items() if rows[i]
+        Bracket(i, n, inside=rows[i], at=p * (rows[i] - 1)) for i in range(len(cols)) for n, p in points.items() if rows[i]
     ]
+    _narrow(numbers, x, rows, brackets, bracket_rows)
+    return _pick(numbers, x, cols, brackets, points)
+
+
+def _narrow(
+    numbers: DataFrame, x: Sequence[Column], rows: Sequence[int], brackets: Sequence[Bracket], bracket_rows: int
+) -> None:
+    """Tighten the brackets until each holds few rows or few distinct values."""
     open_ = [b for b in brackets if b.inside > bracket_rows]
     for _ in range(20):
         if not open_:
@@ -121,7 +128,7 @@ def quantiles_by_brackets(
         pool = numbers.filter(_any([b.condition(x[b.col]) for b in open_]))
         held = min(max(b.inside for b in open_) * len(open_), max(rows))
         sample = pool.sample(min(1.0, SAMPLE_ROWS / held), seed=7).toArrow()
-        values = [np.sort(sample.column(i).drop_null().to_numpy()) for i in range(len(cols))]
+        values = [np.sort(sample.column(i).drop_null().to_numpy()) for i in range(len(x))]
         for b in open_:
             v = values[b.col]
             before = (b.low, b.high)
@@ -141,7 +148,22 @@ def quantiles_by_brackets(
             elif b.inside > bracket_rows and b.low < b.high and not b.settled:
                 again.append(b)
         open_ = again
-    return _pick(numbers, x, cols, brackets, points)
+
+
+def values_at_ranks(df: DataFrame, value: Column, ranks: Sequence[int], bracket_rows: int = BRACKET_ROWS) -> list[float]:
+    """The values at some 1-based ranks of a numeric column: as many numbers on the driver as there are ranks."""
+    numbers = df.select(value.cast("double").alias("_x0")).filter(F.col("_x0").isNotNull())
+    x = [F.col("_x0")]
+    rows = [numbers.count()]
+    if not ranks:
+        return []
+    if min(ranks) < 1 or max(ranks) > rows[0]:
+        raise ValueError(f"ranks {ranks} outside of 1..{rows[0]}")
+    names = {f"r{i}": rank for i, rank in enumerate(ranks)}
+    brackets = [Bracket(0, n, inside=rows[0], at=float(rank - 1)) for n, rank in names.items()]
+    _narrow(numbers, x, rows, brackets, bracket_rows)
+    found = _pick(numbers, x, ["value"], brackets, names).first()
+    return [found[n] for n in names]
 
 
 def _any(conditions: Sequence[Column]) -> Column:

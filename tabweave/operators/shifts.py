@@ -1,17 +1,19 @@
 """How one column's distribution shifts under a condition on another, for the associated pairs only.
 
 ``edges`` is the result of ``association_edges``: at most the square of the column count per key. Pairs without an
-edge are removed right after the expansion, before anything is counted or shuffled. As cells that were never seen are
-part of the answer (their shift is minus the base probability), the result holds every label combination of an edge.
+edge are removed right after the expansion, before anything is counted or shuffled. Cells that were never seen are
+part of the answer (their shift is minus the base probability), so the result holds every label combination of an edge;
+``observed_only`` gives the seen cells alone, where label sets are too large for all combinations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions.lookup import small_side
 from tabweave.functions.numeric import rounded
 from tabweave.operators.profile import category_profile, column_moments
 from tabweave.operators.quantiles import medians
@@ -21,11 +23,6 @@ SHIFT_COLUMNS = ["column", "other", "condition", "value", "shift"]
 CONT_SHIFT_COLUMNS = ["column", "other", "label", "mean_shift", "std_shift"]
 
 
-def _small(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per-column tables are bounded by the schema and can be broadcast; per-key ones cannot."""
-    return df if keys else F.broadcast(df)
-
-
 def _empty(df: DataFrame, keys: Sequence[str], names: Sequence[str], numbers: Sequence[str]) -> DataFrame:
     cols = [F.lit(None).cast("double" if n in numbers else "string").alias(n) for n in names]
     return df.select(*keys, *cols).filter(F.lit(False))
@@ -46,28 +43,32 @@ def _pairs(
     ]
     long = df.select(*keys, F.explode(F.array(*structs)).alias("_p")).select(*keys, "_p.*")
     wanted = edges.select(*keys, "column", "other").distinct()
-    return long.join(_small(wanted, keys), [*keys, "column", "other"], "left_semi")
+    return long.join(small_side(wanted, keys), [*keys, "column", "other"], "left_semi")
 
 
 def _label_shifts(
-    cells: DataFrame, conditions: DataFrame, labels: DataFrame, keys: Sequence[str], rows: Column
+    cells: DataFrame, conditions: DataFrame, labels: DataFrame, keys: Sequence[str], observed_only: bool
 ) -> DataFrame:
-    """P(value | condition) - P(value) over every value of an edge's column and every condition of the edge."""
-    grid = conditions.join(labels, [*keys, "column"])
-    counted = grid.join(cells, [*keys, "column", "other", "condition", "value"], "left")
+    """P(value | condition) - P(value) for the values of an edge's column and the conditions of the edge."""
+    cell = [*keys, "column", "other", "condition", "value"]
+    if observed_only:
+        known = conditions.select(*keys, "column", "other", "condition", "size")
+        counted = cells.join(known, [*keys, "column", "other", "condition"]).join(labels, [*keys, "column", "value"])
+    else:
+        counted = conditions.join(labels, [*keys, "column"]).join(cells, cell, "left")
     inside = F.coalesce(F.col("cell"), F.lit(0)) / F.greatest(F.col("size"), F.lit(1))
-    return counted.select(
-        *keys, "column", "other", "condition", "value", rounded(inside - F.col("n") / rows, 3).alias("shift")
-    )
+    return counted.select(*cell, rounded(inside - F.col("n") / F.col("rows"), 3).alias("shift"))
 
 
 def _labels(df: DataFrame, cats: Sequence[str], keys: Sequence[str]) -> DataFrame:
     counts = category_profile(df, cats, keys).drop("prob")
     totals = counts.groupBy(*keys, "column").agg(F.sum("n").alias("rows"))
-    return counts.join(_small(totals, keys), [*keys, "column"])
+    return counts.join(small_side(totals, keys), [*keys, "column"])
 
 
-def cat_given_cat(df: DataFrame, edges: DataFrame, roles: Roles, keys: Sequence[str] = ()) -> DataFrame:
+def cat_given_cat(
+    df: DataFrame, edges: DataFrame, roles: Roles, keys: Sequence[str] = (), observed_only: bool = False
+) -> DataFrame:
     """Shift of each value's probability given each label of the other categorical column."""
     cats = cat_cols(roles)
     pairs = [(a, b) for a in cats for b in cats if a != b]
@@ -83,8 +84,8 @@ def cat_given_cat(df: DataFrame, edges: DataFrame, roles: Roles, keys: Sequence[
     others = labels.select(
         *keys, F.col("column").alias("other"), F.col("value").alias("condition"), F.col("n").alias("size")
     )
-    conditions = others.join(_small(wanted.distinct(), keys), [*keys, "other"])
-    return _label_shifts(cells, conditions, labels, keys, F.col("rows"))
+    conditions = others.join(small_side(wanted.distinct(), keys), [*keys, "other"])
+    return _label_shifts(cells, conditions, labels, keys, observed_only)
 
 
 def cat_given_cont(
@@ -93,6 +94,7 @@ def cat_given_cont(
     roles: Roles,
     keys: Sequence[str] = (),
     profile: DataFrame | None = None,
+    observed_only: bool = False,
 ) -> DataFrame:
     """Shift of each value's probability where the continuous column is at least (``big``) or below its median."""
     cats, conts = cat_cols(roles), cont_cols(roles)
@@ -104,7 +106,7 @@ def cat_given_cont(
     half = F.when(F.col("b") >= F.col("p50"), "big").otherwise("small")
     cells = (
         _pairs(df, edges, pairs, keys, "string", "double")
-        .join(_small(middle, keys), [*keys, "other"])
+        .join(small_side(middle, keys), [*keys, "other"])
         .groupBy(*keys, "column", "other", F.col("a").alias("value"), half.alias("condition"))
         .agg(F.count("*").alias("cell"))
     )
@@ -119,7 +121,7 @@ def cat_given_cont(
         .join(sizes, [*keys, "column", "other", "condition"], "left")
         .withColumn("size", F.coalesce("size", F.lit(0)))
     )
-    return _label_shifts(cells, conditions, labels, keys, F.col("rows"))
+    return _label_shifts(cells, conditions, labels, keys, observed_only)
 
 
 def cont_given_cat(df: DataFrame, edges: DataFrame, roles: Roles, keys: Sequence[str] = ()) -> DataFrame:
@@ -135,7 +137,7 @@ def cont_given_cat(df: DataFrame, edges: DataFrame, roles: Roles, keys: Sequence
     )
     sample = F.col("std") * F.sqrt(F.col("n") / F.nullif(F.col("n") - 1, F.lit(0)))
     whole = column_moments(df, conts, keys).select(*keys, "column", "mean", sample.alias("sample"))
-    return groups.join(_small(whole, keys), [*keys, "column"]).select(
+    return groups.join(small_side(whole, keys), [*keys, "column"]).select(
         *keys,
         "column",
         "other",

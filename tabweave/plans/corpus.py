@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.ordering import hash_rank
 from tabweave.functions.seeded import seeded_hash, unit
 from tabweave.operators import association, cards, profile, shifts
 from tabweave.operators import chats as C
-from tabweave.operators.prepare import drop_random_columns
+from tabweave.operators.prepare import drop_random_columns, rank_intervals
 from tabweave.operators.sampling import add_noise, sample_rows_per_key
 from tabweave.roles import Roles, cat_cols, cont_cols
 from tabweave.session import durable
@@ -47,7 +46,7 @@ def conversation_examples(
 ) -> DataFrame:
     """``(conv_id, draw, columns...)``: 20 to 25 rows out of the first ``num_examples`` shuffled rows."""
     budget = num_examples or ALL_EXAMPLES
-    pool = hash_rank(df, [], seeded_hash(seed, *row_key), row_key, "_rank").filter(F.col("_rank") <= budget).drop("_rank")
+    pool = rank_intervals(df, [budget], key=row_key, seed=seed).filter(F.col("interval") == 0).drop("interval")
     span = MOST_EXAMPLES - FEWEST_EXAMPLES + 1
     size = FEWEST_EXAMPLES + F.floor(unit(seed, "id", F.lit("examples")) * span)
     keys = df.sparkSession.range(n).select(F.col("id").alias(KEY), size.alias("size"))
@@ -66,8 +65,12 @@ def prefixes(turns: DataFrame) -> DataFrame:
     ``turns`` holds ``(conv_id, group_no, request, response)``. Each chat has the system message, the turn before (a
     longer history is trimmed) and its own turn.
     """
-    order = Window.partitionBy(KEY).orderBy("group_no")
-    before = turns.withColumns({f"_{c}": F.lag(c).over(order) for c in ("request", "response")})
+    # Joined on conversation and group rather than read over a window: a long conversation stays spread.
+    earlier = turns.select(
+        KEY, (F.col("group_no") + 1).cast(turns.schema["group_no"].dataType).alias("group_no"),
+        F.col("request").alias("_request"), F.col("response").alias("_response"),
+    )
+    before = turns.join(earlier, [KEY, "group_no"], "left")
     own = F.array(C.message("user", F.col("request")), C.message("assistant", F.col("response")))
     last = F.array(C.message("user", F.col("_request")), C.message("assistant", F.col("_response")))
     opening = F.array(C.message("system", F.lit(C.SYSTEM)))

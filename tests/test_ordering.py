@@ -73,3 +73,17 @@ def test_lookup_small_and_large_dictionaries(spark, size):
     assert got.columns == ["id", "c"] and got.count() == 2000
     for r in got.collect():
         assert r.c == (None if r.id == 1 else 3 if r.id % 2 == 0 else len(f"v{r.id}"))
+
+
+@pytest.mark.parametrize("ends", [[10], [0, 10], [250, 700, 1000], [999, 1000, 5000], [500, 500]])
+def test_rank_intervals_by_boundaries(spark, ends):
+    """Ranked or compared with looked-up boundaries: the same intervals, also with ties in the leading column."""
+    from tabweave.operators.prepare import rank_intervals
+
+    data = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    for options in ({"key": ["id"]}, {"order": ["k", "id"]}, {"order": ["id"]}):
+        a = {r.id: r.interval for r in rank_intervals(data, ends, **options).collect()}
+        b = {r.id: r.interval for r in rank_intervals(data, ends, rows_per_part=50, **options).collect()}
+        assert a == b and len(a) == 1000
+        low = [min(e, 1000) for e in ends]
+        assert [sum(v > i for v in a.values()) for i in range(len(ends))] == [1000 - e for e in low]

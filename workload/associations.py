@@ -168,6 +168,16 @@ def cat_given_cat(spark, sf):
     return shifts.cat_given_cat(sales(spark, sf), sales_edges(spark, sf), SALES_ROLES)
 
 
+@query(
+    f"""{_ALL}, {CAT_CAT_SQL} SELECT c.* FROM cat_cat c SEMI JOIN
+      (SELECT a.c AS x, b.c AS y, a.v AS xv, b.v AS yv FROM cats a JOIN cats b ON a.id = b.id) s
+      ON s.x = c."column" AND s.y = c.other AND s.xv = c.value AND s.yv = c.condition"""
+)
+def cat_given_cat_observed(spark, sf):
+    """Only label combinations that occur."""
+    return shifts.cat_given_cat(sales(spark, sf), sales_edges(spark, sf), SALES_ROLES, observed_only=True)
+
+
 @query(f"{_ALL}, {CAT_CONT_SQL} SELECT * FROM cat_cont")
 def cat_given_cont(spark, sf):
     return shifts.cat_given_cont(sales(spark, sf), sales_edges(spark, sf), SALES_ROLES)

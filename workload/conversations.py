@@ -13,16 +13,19 @@ from workload.common import LINEITEM_CONTS, SALES_ROLES, SALES_SQL, long_array,
 
 
 def conversation_arrays(spark, sf):
-    """``(chat_id, messages)`` of the conversations table; a chat is one array by nature."""
-    turns = table(spark, sf, "conversations")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return turns.groupBy(F.col("conv_id").alias("chat_id")).agg(messages.alias("messages"))
+    """``(chat_id, messages)`` of the conversations table. A chat of over 1,024 turns is one chat per 1,024 turns."""
+    whole = chats.collect_chats(table(spark, sf, "conversations"))
+    return whole.select(_chat_id(F.col("conv_id"), F.col("part")).alias("chat_id"), "messages")
+
+
+def _chat_id(conv_id, part):
+    return conv_id * 1_000_000 + part
 
 
 CHATS_SQL = """
-ordered AS (SELECT conv_id AS chat_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
-  count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
+numbered AS (SELECT *, conv_id * 1000000 + turn // 1024 AS chat_id FROM conversations),
+ordered AS (SELECT chat_id, role, text, row_number() OVER (PARTITION BY chat_id ORDER BY turn) AS i,
+  count(*) OVER (PARTITION BY chat_id) AS n FROM numbered)"""
 
 
 @query(
@@ -52,7 +55,7 @@ def chat_to_text_long_chats(spark, sf):
 
 
 @query(
-    """SELECT conv_id AS chat_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text AS content FROM conversations"""
+    f"""WITH {CHATS_SQL} SELECT chat_id, i - 1 AS turn, role, text AS content FROM ordered"""
 )
 def long_messages(spark, sf):
     return chats.long_messages(conversation_arrays(spark, sf))
@@ -73,7 +76,9 @@ def long_messages(spark, sf):
 def route_chats(spark, sf):
     arrays = conversation_arrays(spark, sf)
     replies = arrays.select("chat_id", F.col("messages")[0]["content"].alias("response"))
-    valid = table(spark, sf, "conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("chat_id"), "turn")
+    part = F.floor(F.col("turn") / chats.TURNS_PER_TEXT)
+    answers = table(spark, sf, "conversations").filter("role = 'assistant'")
+    valid = answers.select(_chat_id(F.col("conv_id"), part).alias("chat_id"), "turn")
     normalised = replies.select("chat_id", F.concat(F.lit("kept "), "response").alias("response"))
     routed = chats.route_chats(arrays, replies, valid, normalised, min_rows=3)
     last = F.element_at("failed", -1)["content"]
@@ -81,9 +86,9 @@ def route_chats(spark, sf):
 
 
 @query(
-    """WITH pairs AS (SELECT a.conv_id, CAST(a.turn // 2 AS INTEGER) AS group_no, a.text AS request, b.text AS response
-        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0),
-    lagged AS (SELECT *, lag(request) OVER w AS r0, lag(response) OVER w AS s0 FROM pairs WINDOW w AS (PARTITION BY conv_id ORDER BY group_no))
+    """WITH pairs AS (SELECT a.conv_id, a.turn AS group_no, a.text AS request, b.text AS response
+        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+    lagged AS (SELECT p.*, q.request AS r0, q.response AS s0 FROM pairs p LEFT JOIN pairs q ON q.conv_id = p.conv_id AND q.group_no = p.group_no - 1)
     SELECT conv_id, group_no, CASE WHEN conv_id % 5 = 0 THEN 'eval' ELSE 'train' END AS split,
       CASE WHEN r0 IS NULL THEN 3 ELSE 5 END::INTEGER AS messages,
       CASE WHEN r0 IS NULL THEN '' ELSE 'user: ' || r0 || chr(10) || 'assistant: ' || s0 || chr(10) END
@@ -91,10 +96,12 @@ def route_chats(spark, sf):
     FROM lagged"""
 )
 def corpus_prefixes(spark, sf):
+    """Every turn with the turn after it plays a request and its response."""
     turns = table(spark, sf, "conversations")
-    answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    asked = turns.filter("turn % 2 = 0").select("conv_id", "turn", F.col("text").alias("request"))
-    pairs = asked.join(answers, ["conv_id", "turn"]).withColumn("group_no", F.floor(F.col("turn") / 2).cast("int"))
+    answers = turns.select("conv_id", (F.col("turn") - 1).alias("group_no"), F.col("text").alias("response"))
+    pairs = turns.select("conv_id", F.col("turn").alias("group_no"), F.col("text").alias("request")).join(
+        answers, ["conv_id", "group_no"]
+    )
     made = prefixes(pairs.select("conv_id", "group_no", "request", "response"))
     body = F.slice("messages", 2, 10)
     return made.select("conv_id", "group_no", "split", F.size("messages").alias("messages"), long_array(body).alias("text"))
@@ -171,9 +178,8 @@ def build_chats_json(spark, sf):
 
 
 @query(
-    f"""SELECT chat_id, 'reply to ' || max(n) || ' turns, last by ' || max(role) FILTER (i = n) AS response, CAST(NULL AS VARCHAR) AS error
-    FROM (SELECT conv_id AS chat_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n
-          FROM conversations) GROUP BY chat_id"""
+    f"""WITH {CHATS_SQL} SELECT chat_id, 'reply to ' || max(n) || ' turns, last by ' || max(role) FILTER (i = n) AS response,
+      CAST(NULL AS VARCHAR) AS error FROM ordered GROUP BY chat_id"""
 )
 def complete_chats(spark, sf):
     def answer(talks):
@@ -182,7 +188,7 @@ def complete_chats(spark, sf):
     return chats.complete_chats(conversation_arrays(spark, sf), answer)
 
 
-@query("SELECT DISTINCT conv_id AS chat_id, CAST(NULL AS VARCHAR) AS response, 'RuntimeError: model is down' AS error FROM conversations")
+@query(f"WITH {CHATS_SQL} SELECT DISTINCT chat_id, CAST(NULL AS VARCHAR) AS response, 'RuntimeError: model is down' AS error FROM ordered")
 def complete_chats_failing(spark, sf):
     """A model that always fails leaves its error in every row."""
 

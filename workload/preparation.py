@@ -66,14 +66,10 @@ def write_score_lines(spark, sf):
        FROM conversations"""
 )
 def corpus_round_trip(spark, sf):
-    from tabweave.operators.chats import long_messages
+    from tabweave.operators.chats import collect_chats, long_messages
     from tabweave.plans.corpus import split_of
 
-    turns = table(spark, sf, "conversations")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    chats = turns.groupBy("conv_id").agg(
-        F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")
-    )
+    chats = collect_chats(table(spark, sf, "conversations"))
     folder = scratch(spark, "corpus")
     write_corpus(chats.withColumn("split", split_of(F.col("conv_id"))), folder)
     parts = [
@@ -162,6 +158,13 @@ def train_test_split_shuffled(spark, sf):
     return prepare.train_test_split(orders, 10**12, 10**12, key=["o_orderkey"])
 
 
+@query(_SPLIT.format(order=f"{hash_sql(42, 'o_orderkey')}, o_orderkey"))
+def train_test_split_by_boundaries(spark, sf):
+    """The path of large tables: the rows at the boundaries are looked up and no row is moved."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return prepare.train_test_split(orders, 10**12, 10**12, key=["o_orderkey"], rows_per_part=max(1, orders.count() // 4))
+
+
 @query(
     """SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // (count(*) OVER () // 3) AS repetition
        FROM events QUALIFY repetition < 3"""
