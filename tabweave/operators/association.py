@@ -12,12 +12,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import long_values, small_side
 from tabweave.functions.numeric import rounded
-from tabweave.operators.profile import category_profile, column_moments
 from tabweave.roles import Roles, cat_cols, cont_cols
 
 # Above this many columns one Gramian pass beats one aggregate per pair.
@@ -128,36 +127,29 @@ def cramers_v_matrix(
     pairs = list(combinations(cats, 2)) + ([(c, c) for c in cats] if diagonal else [])
     if not pairs:
         return df.sparkSession.createDataFrame([], "column string, other string, value double")
-    cells = _pair_counts(df, pairs, keys)
-    margin = category_profile(df, cats, keys)
-    size = margin.groupBy(*keys, "column").agg(
-        F.count("*").alias("levels"), F.sum("n").alias("rows"), F.sum(1 / F.col("n")).alias("inverse")
+    # Margins are sums over the counted cells, so the table is read once.
+    pair = [*keys, "column", "other"]
+    row, col = Window.partitionBy(*pair, "value"), Window.partitionBy(*pair, "condition")
+    cells = _pair_counts(df, pairs, keys).withColumns({"r": F.sum("n").over(row), "in_row": F.count("*").over(row)})
+    cells = cells.withColumns({"c": F.sum("n").over(col), "in_col": F.count("*").over(col)})
+    sums = cells.groupBy(*pair).agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("fit"),
+        F.round(F.sum(1 / F.col("in_row"))).alias("la"),
+        F.round(F.sum(1 / F.col("in_col"))).alias("lb"),
+        F.sum(1 / (F.col("r") * F.col("in_row"))).alias("ia"),
+        F.sum(1 / (F.col("c") * F.col("in_col"))).alias("ib"),
+        F.max(F.struct("n", "r", "c")).alias("any"),
     )
-    left = margin.select(*keys, "column", "value", F.col("n").alias("r"))
-    right = margin.select(
-        *keys, F.col("column").alias("other"), F.col("value").alias("condition"), F.col("n").alias("c")
-    )
-    expected = F.col("r") * F.col("c") / F.col("rows")
-    sums = (
-        cells.join(left, [*keys, "column", "value"])
-        .join(right, [*keys, "other", "condition"])
-        .join(small_side(size.select(*keys, "column", "rows"), keys), [*keys, "column"])
-        .groupBy(*keys, "column", "other")
-        .agg(
-            F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("fit"),
-            F.max(F.abs(F.col("n") - expected)).alias("gap"),
-        )
-    )
-    a = size.select(*keys, "column", F.col("levels").alias("la"), "rows", F.col("inverse").alias("ia"))
-    b = size.select(*keys, F.col("column").alias("other"), F.col("levels").alias("lb"), F.col("inverse").alias("ib"))
-    corrected = F.greatest(F.col("gap") - 0.5, F.lit(0.0))
+    gap = F.abs(F.col("any.n") - F.col("any.r") * F.col("any.c") / F.col("rows"))
+    corrected = F.greatest(gap - 0.5, F.lit(0.0))
     chi2 = F.when(
         (F.col("la") == 2) & (F.col("lb") == 2),
         corrected * corrected * F.col("rows") * F.col("ia") * F.col("ib"),
     ).otherwise(F.greatest(F.col("rows") * (F.col("fit") - 1), F.lit(0.0)))
     freedom = F.least("la", "lb") - 1
     v = F.when(freedom > 0, F.sqrt(chi2 / (F.col("rows") * freedom)))
-    upper = sums.join(a, [*keys, "column"]).join(b, [*keys, "other"]).select(*keys, "column", "other", v.alias("value"))
+    upper = sums.select(*pair, v.alias("value"))
     off = _mirrored(upper.filter("column <> other"), keys)
     return off.unionByName(upper.filter("column = other")) if diagonal else off
 
@@ -175,26 +167,26 @@ def eta_matrix(
     numbers = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(conts)]
     long = df.select(*keys, *numbers, F.explode(long_values(cats)).alias("_v"))
     groups = long.groupBy(*keys, F.col("_v.column").alias("column"), F.col("_v.value").alias("label")).agg(
-        *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(conts))],
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(conts))],
+        *[a for i in range(len(conts)) for a in (
+            F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"), F.var_pop(f"x{i}").alias(f"v{i}"))],
     )
-    pairs = F.array(
+    parts = F.array(
         *[
-            F.struct(F.lit(c).alias("other"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"))
+            F.struct(F.lit(c).alias("other"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
             for i, c in enumerate(conts)
         ]
     )
-    means = groups.select(*keys, "column", F.explode(pairs).alias("_g")).select(*keys, "column", "_g.*")
-    whole = column_moments(df, conts, keys).select(
-        *keys, F.col("column").alias("other"), F.col("mean"), (F.col("std") * F.col("std") * F.col("n")).alias("ss")
-    )
-    between = F.sum(F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))
-    ratio = F.sqrt(F.col("between") / F.col("ss"))
+    pair = [*keys, "column", "other"]
+    means = groups.select(*keys, "column", F.explode(parts).alias("_g")).select(*keys, "column", "_g.*").filter("n > 0")
+    # The whole column is the sum of its groups, so the table is read once.
+    whole = means.groupBy(*pair).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    gap = F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))
     out = (
-        means.join(small_side(whole, keys), [*keys, "other"])
-        .groupBy(*keys, "column", "other", "ss")
-        .agg(between.alias("between"))
-        .select(*keys, "column", "other", F.when(F.col("ss") > 0, ratio).alias("value"))
+        means.join(small_side(whole, keys), pair)
+        .groupBy(*pair)
+        .agg(F.sum(gap).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))
+        .withColumn("ss", F.col("between") + F.col("within"))
+        .select(*pair, F.when(F.col("ss") > 0, F.sqrt(F.col("between") / F.col("ss"))).alias("value"))
     )
     return _mirrored(out, keys) if symmetric else out
 

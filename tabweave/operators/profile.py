@@ -101,12 +101,12 @@ def fit_distribution(
     """Best of normal, exponential and uniform by the Kolmogorov-Smirnov distance of the maximum-likelihood fit.
 
     For a given row count the test's p value falls as the distance grows, so the smallest distance wins and the earlier
-    candidate wins a tie. A constant column has no fit. ``loc`` and ``scale`` are those of the winner.
+    candidate wins a tie. A constant column has no fit, a column without numbers no row. ``loc`` and ``scale`` are those of the winner.
     """
     ranked = ranked_values(df, cols, keys, rows_per_part)
-    fit = column_moments(df, cols, keys).select(*keys, "column", "n", "mean", "std", "min", "max")
-    joined = ranked.join(small_side(fit.drop("n"), keys), [*keys, "column"]).filter(F.col("max") > F.col("min"))
-    x, rows = F.col("value"), F.col("rows")
+    fit = column_moments(df, cols, keys).select(*keys, "column", "mean", "std", "min", "max")
+    joined = ranked.join(small_side(fit, keys), [*keys, "column"])
+    x, rows, spread = F.col("value"), F.col("rows"), F.col("max") > F.col("min")
     candidates = {
         "norm": norm_cdf((x - F.col("mean")) / F.col("std")),
         "expon": 1 - F.exp(-(x - F.col("min")) / (F.col("mean") - F.col("min"))),
@@ -114,9 +114,11 @@ def fit_distribution(
     }
 
     def distance(cdf: Column) -> Column:
-        return F.greatest(F.col("upto") / rows - cdf, cdf - (F.col("upto") - F.col("n")) / rows)
+        return F.when(spread, F.greatest(F.col("upto") / rows - cdf, cdf - (F.col("upto") - F.col("n")) / rows))
 
-    gaps = joined.groupBy(*keys, "column").agg(*[F.max(distance(c)).alias(f"ks_{n}") for n, c in candidates.items()])
+    gaps = joined.groupBy(*keys, "column", "mean", "std", "min", "max").agg(
+        *[F.max(distance(c)).alias(f"ks_{n}") for n, c in candidates.items()]
+    )
     best = F.array_min(
         F.array(
             *[
@@ -125,7 +127,7 @@ def fit_distribution(
             ]
         )
     )
-    picked = fit.join(gaps, [*keys, "column"], "left").withColumn("_best", F.when(F.col("ks_norm").isNotNull(), best))
+    picked = gaps.withColumn("_best", F.when(F.col("ks_norm").isNotNull(), best))
     name = F.col("_best.name")
     return picked.select(
         *keys,

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import small_side
 from tabweave.functions.numeric import rounded
-from tabweave.operators.profile import category_profile, column_moments
 from tabweave.operators.quantiles import medians
 from tabweave.roles import Roles, cat_cols, cont_cols
 
@@ -46,24 +45,26 @@ def _pairs(
     return long.join(small_side(wanted, keys), [*keys, "column", "other"], "left_semi")
 
 
-def _label_shifts(
-    cells: DataFrame, conditions: DataFrame, labels: DataFrame, keys: Sequence[str], observed_only: bool
-) -> DataFrame:
-    """P(value | condition) - P(value) for the values of an edge's column and the conditions of the edge."""
-    cell = [*keys, "column", "other", "condition", "value"]
+def _label_shifts(cells: DataFrame, keys: Sequence[str], observed_only: bool, conditions: DataFrame | None = None) -> DataFrame:
+    """P(value | condition) - P(value) from ``(keys, column, other, value, condition, cell)``.
+
+    Every row of the table is in one cell of each pair, so base counts and condition sizes are sums over cells.
+    ``conditions`` lists the conditions to report beside the seen ones.
+    """
+    pair = [*keys, "column", "other"]
+    values = cells.groupBy(*pair, "value").agg(F.sum("cell").alias("n"))
+    seen = cells.groupBy(*pair, "condition").agg(F.sum("cell").alias("size"))
+    rows = seen.groupBy(*pair).agg(F.sum("size").alias("rows"))
+    if conditions is not None:
+        seen = conditions.join(seen, [*pair, "condition"], "left")
     if observed_only:
-        known = conditions.select(*keys, "column", "other", "condition", "size")
-        counted = cells.join(known, [*keys, "column", "other", "condition"]).join(labels, [*keys, "column", "value"])
+        grid = cells.join(seen, [*pair, "condition"]).join(values, [*pair, "value"])
     else:
-        counted = conditions.join(labels, [*keys, "column"]).join(cells, cell, "left")
-    inside = F.coalesce(F.col("cell"), F.lit(0)) / F.greatest(F.col("size"), F.lit(1))
-    return counted.select(*cell, rounded(inside - F.col("n") / F.col("rows"), 3).alias("shift"))
-
-
-def _labels(df: DataFrame, cats: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    counts = category_profile(df, cats, keys).drop("prob")
-    totals = counts.groupBy(*keys, "column").agg(F.sum("n").alias("rows"))
-    return counts.join(small_side(totals, keys), [*keys, "column"])
+        grid = seen.join(values, pair).join(cells, [*pair, "condition", "value"], "left")
+    inside = F.coalesce(F.col("cell"), F.lit(0)) / F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(1))
+    return grid.join(small_side(rows, keys), pair).select(
+        *pair, "condition", "value", rounded(inside - F.col("n") / F.col("rows"), 3).alias("shift")
+    )
 
 
 def cat_given_cat(
@@ -79,13 +80,7 @@ def cat_given_cat(
         .groupBy(*keys, "column", "other", F.col("a").alias("value"), F.col("b").alias("condition"))
         .agg(F.count("*").alias("cell"))
     )
-    labels = _labels(df, cats, keys)
-    wanted = edges.filter(F.col("column").isin(cats) & F.col("other").isin(cats)).select(*keys, "column", "other")
-    others = labels.select(
-        *keys, F.col("column").alias("other"), F.col("value").alias("condition"), F.col("n").alias("size")
-    )
-    conditions = others.join(small_side(wanted.distinct(), keys), [*keys, "other"])
-    return _label_shifts(cells, conditions, labels, keys, observed_only)
+    return _label_shifts(cells, keys, observed_only)
 
 
 def cat_given_cont(
@@ -110,18 +105,10 @@ def cat_given_cont(
         .groupBy(*keys, "column", "other", F.col("a").alias("value"), half.alias("condition"))
         .agg(F.count("*").alias("cell"))
     )
-    labels = _labels(df, cats, keys)
-    wanted = edges.filter(F.col("column").isin(cats) & F.col("other").isin(conts)).select(*keys, "column", "other")
-    halves = F.explode(F.array(F.lit("big"), F.lit("small"))).alias("condition")
-    sizes = cells.groupBy(*keys, "column", "other", "condition").agg(F.sum("cell").alias("size"))
     # An empty half is reported too: its size is taken as one.
-    conditions = (
-        wanted.distinct()
-        .select(*keys, "column", "other", halves)
-        .join(sizes, [*keys, "column", "other", "condition"], "left")
-        .withColumn("size", F.coalesce("size", F.lit(0)))
-    )
-    return _label_shifts(cells, conditions, labels, keys, observed_only)
+    halves = F.explode(F.array(F.lit("big"), F.lit("small"))).alias("condition")
+    wanted = edges.filter(F.col("column").isin(cats) & F.col("other").isin(conts)).select(*keys, "column", "other").distinct()
+    return _label_shifts(cells, keys, observed_only, wanted.select(*keys, "column", "other", halves))
 
 
 def cont_given_cat(df: DataFrame, edges: DataFrame, roles: Roles, keys: Sequence[str] = ()) -> DataFrame:
@@ -130,18 +117,23 @@ def cont_given_cat(df: DataFrame, edges: DataFrame, roles: Roles, keys: Sequence
     pairs = [(a, b) for a in conts for b in cats]
     if not pairs:
         return _empty(df, keys, CONT_SHIFT_COLUMNS, ["mean_shift", "std_shift"])
+    pair = [*keys, "column", "other"]
     groups = (
         _pairs(df, edges, pairs, keys, "double", "string")
-        .groupBy(*keys, "column", "other", F.col("b").alias("label"))
-        .agg(F.avg("a").alias("m"), F.stddev_samp("a").alias("s"))
+        .groupBy(*pair, F.col("b").alias("label"))
+        .agg(F.count("a").alias("n"), F.avg("a").alias("m"), F.stddev_samp("a").alias("s"), F.var_pop("a").alias("v"))
+    )
+    # Mean and spread of the whole column are pooled from its groups, so the table is read once.
+    total = groups.groupBy(*pair).agg(
+        F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean")
     )
-    sample = F.col("std") * F.sqrt(F.col("n") / F.nullif(F.col("n") - 1, F.lit(0)))
-    whole = column_moments(df, conts, keys).select(*keys, "column", "mean", sample.alias("sample"))
-    return groups.join(small_side(whole, keys), [*keys, "column"]).select(
-        *keys,
-        "column",
-        "other",
+    joined = groups.join(small_side(total, keys), pair)
+    gap = F.col("m") - F.col("mean")
+    squares = joined.groupBy(*pair).agg(F.sum(F.col("n") * (F.col("v") + gap * gap)).alias("ss"))
+    spread = F.sqrt(F.try_divide(F.col("ss"), F.col("rows") - 1))
+    return joined.join(small_side(squares, keys), pair).select(
+        *pair,
         "label",
         rounded(F.col("m") - F.col("mean"), 2).alias("mean_shift"),
-        rounded(F.col("s") - F.col("sample"), 2).alias("std_shift"),
+        rounded(F.col("s") - spread, 2).alias("std_shift"),
     )
