@@ -18,6 +18,8 @@ from tabweave.functions.numeric import norm_cdf, rounded
 from tabweave.functions.ordering import PART, running_total, value_cuts
 from tabweave.operators.quantiles import PERCENTILES, as_double, buffered, exact_quantiles, parted_values
 
+# Candidate distributions in the order that decides ties.
+CANDIDATES = ("norm", "expon", "uniform")
 MOMENTS = ("n", "mean", "std", "min", "max", "skew", "kurtosis")
 
 # A mixture is fitted to at most this many weighted bins per column.
@@ -106,24 +108,35 @@ def fit_distribution(
     ranked = ranked_values(df, cols, keys, rows_per_part)
     fit = column_moments(df, cols, keys).select(*keys, "column", "mean", "std", "min", "max")
     joined = ranked.join(small_side(fit, keys), [*keys, "column"])
-    x, rows, spread = F.col("value"), F.col("rows"), F.col("max") > F.col("min")
-    candidates = {
-        "norm": norm_cdf((x - F.col("mean")) / F.col("std")),
-        "expon": 1 - F.exp(-(x - F.col("min")) / (F.col("mean") - F.col("min"))),
-        "uniform": (x - F.col("min")) / (F.col("max") - F.col("min")),
-    }
-
-    def distance(cdf: Column) -> Column:
-        return F.when(spread, F.greatest(F.col("upto") / rows - cdf, cdf - (F.col("upto") - F.col("n")) / rows))
-
-    gaps = joined.groupBy(*keys, "column", "mean", "std", "min", "max").agg(
-        *[F.max(distance(c)).alias(f"ks_{n}") for n, c in candidates.items()]
+    x, rows = F.col("value"), F.col("rows")
+    # In steps of named columns: an expression used many times is computed once per value.
+    placed = joined.withColumns(
+        {
+            "_varies": F.col("max") > F.col("min"),
+            "_z": F.try_divide(x - F.col("mean"), F.col("std")),
+            "_top": F.col("upto") / rows,
+            "_bottom": (F.col("upto") - F.col("n")) / rows,
+        }
+    ).withColumns(
+        {
+            "_norm": norm_cdf(F.col("_z")),
+            "_expon": 1 - F.exp(F.try_divide(F.col("min") - x, F.col("mean") - F.col("min"))),
+            "_uniform": F.try_divide(x - F.col("min"), F.col("max") - F.col("min")),
+        }
+    )
+    gaps = placed.groupBy(*keys, "column", "mean", "std", "min", "max").agg(
+        *[
+            F.max(
+                F.when(F.col("_varies"), F.greatest(F.col("_top") - F.col(f"_{n}"), F.col(f"_{n}") - F.col("_bottom")))
+            ).alias(f"ks_{n}")
+            for n in CANDIDATES
+        ]
     )
     best = F.array_min(
         F.array(
             *[
                 F.struct(F.col(f"ks_{n}").alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name"))
-                for i, n in enumerate(candidates)
+                for i, n in enumerate(CANDIDATES)
             ]
         )
     )
@@ -139,7 +152,7 @@ def fit_distribution(
         .when(name == "expon", F.col("mean") - F.col("min"))
         .when(name == "uniform", F.col("max") - F.col("min"))
         .alias("scale"),
-        *[f"ks_{n}" for n in candidates],
+        *[f"ks_{n}" for n in CANDIDATES],
     )
 
 
