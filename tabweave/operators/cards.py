@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions.numeric import rounded
 from tabweave.roles import Roles, cat_cols, cont_cols
 
 MAX_CARD_VALUES = 100_000
@@ -44,7 +45,7 @@ def selected_stats(stats: Sequence[str]) -> list[str]:
 
 
 def _number(col: Column) -> Column:
-    return F.format_string("%.3f", F.round(col.cast("double"), 3))
+    return F.format_string("%.3f", rounded(col.cast("double"), 3))
 
 
 def numeric_card(

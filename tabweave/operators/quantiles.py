@@ -32,7 +32,8 @@ SELECTION_PARTS = 64
 
 
 def as_double(c: str) -> Column:
-    return F.col(f"`{c}`").cast("double")
+    """A column as double; NaN counts as missing."""
+    return F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
 
 
 def buffered(df: DataFrame, keys: Sequence[str] = (), rows_per_part: int | None = None) -> bool:

@@ -181,3 +181,10 @@ def test_odd_column_names(spark):
     assert profile.numeric_profile(df, ["Rain (%)", "x.y_int"]).count() == 2
     assert profile.fit_modes(df, ["Rain (%)", "x.y_int"]).count() >= 2
     assert {r.column for r in profile.category_profile(df, ["Cloud Cover"]).collect()} == {"Cloud Cover"}
+
+
+@pytest.mark.parametrize("rows_per_part", [None, 20])
+def test_nan_is_missing(spark, rows_per_part):
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(float("nan"),)] * 9, "x double")
+    row = profile.numeric_profile(df, ["x"], rows_per_part=rows_per_part).first()
+    assert row.n == 100 and row["max"] == 99.0 and row.p50 == 49.5

@@ -6,13 +6,13 @@ from tabweave.operators import cards, profile, shifts
 from tabweave.plans.profiling import profile_cards, profile_table
 from workload.associations import CAT_CAT_SQL, CAT_CONT_SQL, CONT_CAT_SQL, EDGES_SQL, SHIFT_TABLES, sales_edges
 from workload.common import (
-    LINEITEM_CONTS, SALES_CATS, SALES_ROLES, SALES_SQL, query, sales, table, unpivot_sql,
+    LINEITEM_CONTS, SALES_CATS, SALES_ROLES, SALES_SQL, query, r, sales, table, unpivot_sql,
 )
 from workload.encoding import DICTIONARY_SQL, fitted
 
 
 def _f3(expr: str) -> str:
-    return f"printf('%.3f', round({expr}, 3))"
+    return f"printf('%.3f', {r(expr, 3)})"
 
 
 _STATS_SQL = {
