@@ -22,7 +22,7 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def _clean(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, "['\"]", ""))
+    return F.btrim(F.translate(value, "'\"", ""), F.lit(" \t\r\n\f\x0b"))
 
 
 def parse_csv_replies(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -98,7 +98,7 @@ def columnwise_batch(
         pairs = spark.createDataFrame([(a, b) for a in group for b in known if a != b] or [("", "")], "column string, other string")
         cards = profile_cards(p, variant, allowed=pairs, **card_options).filter(F.col("column").isin(group))
         request = C.group_request(
-            one_row(_sheet(cards))["sheet"],
+            one_row(durable(_sheet(cards)))["sheet"],
             F.array(*[F.lit(c) for c in group]),
             F.array(*[F.lit(c) for c in known]),
             number == 0,

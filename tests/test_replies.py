@@ -101,3 +101,8 @@ def test_accepted_and_rejected_are_complementary(spark, tables):
     first = replies.accepted(checked).first()
     assert (first.kind, first["size"], first.price) == (0, 5, 7.5)
     assert replies.accepted(checked).schema["kind"].dataType.simpleString() == "bigint"
+
+
+def test_carriage_returns_are_stripped(spark):
+    got = replies.parse_csv_replies(reply(spark, "red,\t5 ,7.5\r\nred,6,8\r"), list(ROLES)).orderBy("position").collect()
+    assert [(r["size"], r.price) for r in got] == [("5", "7.5"), ("6", "8")]
