@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabweave.functions.seeded import HASH_SPAN
 
@@ -23,6 +24,7 @@ MAX_PARTS = 4096
 # Cuts up to which the search is spelled out in generated code.
 INLINE_CUTS = 255
 SAMPLES_PER_PART = 30
+CUT_CHARS = 64
 
 
 def part_count(rows: int, rows_per_part: int | None = None) -> int:
@@ -62,6 +64,12 @@ def _branch(key: Column, cuts: Sequence[Column], low: int, high: int) -> Column:
     return F.when(cuts[middle] <= key, _branch(key, cuts, middle + 1, high)).otherwise(_branch(key, cuts, low, middle))
 
 
+def _cut_key(df: DataFrame, c: str) -> Column:
+    """A column as a cut point: the start of a text will do, which bounds what the driver is sent."""
+    col = F.col(f"`{c}`")
+    return (F.left(col, F.lit(CUT_CHARS)) if isinstance(df.schema[c].dataType, T.StringType) else col).alias(c)
+
+
 def value_cuts(
     df: DataFrame, cols: Sequence[str], rows_per_part: int | None = None, least: int = 1
 ) -> dict[str, list]:
@@ -74,8 +82,9 @@ def value_cuts(
     if parts == 1 or rows == 0:
         return {c: [] for c in cols}
     fraction = min(1.0, SAMPLES_PER_PART * parts / rows)
-    sample = df.select(*[F.col(f"`{c}`") for c in cols]).sample(fraction, seed=7).collect()
-    return {c: _spread(sorted(r[i] for r in sample if r[i] is not None), parts) for i, c in enumerate(cols)}
+    sample = df.select(*[_cut_key(df, c) for c in cols]).sample(fraction, seed=7).collect()
+    # A value that differs from itself is NaN, which Python cannot sort.
+    return {c: _spread(sorted(r[i] for r in sample if r[i] is not None and r[i] == r[i]), parts) for i, c in enumerate(cols)}
 
 
 def key_part(df: DataFrame, order: Sequence[str], rows_per_part: int | None = None) -> Column | None:
@@ -88,7 +97,7 @@ def key_part(df: DataFrame, order: Sequence[str], rows_per_part: int | None = No
     if parts == 1:
         return None
     fraction = min(1.0, SAMPLES_PER_PART * parts / rows)
-    points = df.select(*order).sample(fraction, seed=7).orderBy(*order).collect()
+    points = df.select(*[_cut_key(df, c) for c in order]).sample(fraction, seed=7).orderBy(*order).collect()
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def literal(point) -> Column:

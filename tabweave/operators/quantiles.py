@@ -81,12 +81,9 @@ class Bracket:
     settled: bool = False
 
     def condition(self, x: Column) -> Column:
-        wanted = x.isNotNull()
-        if self.low > -math.inf:
-            wanted = wanted & (x >= self.low)
-        if self.high < math.inf:
-            wanted = wanted & (x <= self.high)
-        return wanted
+        # NaN is above infinity for Spark, so the upper bound keeps it out.
+        inside = x <= F.lit(self.high)
+        return inside & (x >= F.lit(self.low)) if self.low > -math.inf else inside
 
     def narrow(self, sample: np.ndarray) -> None:
         """Bounds around the wanted rank from a sorted sample of the values inside the present bounds."""
@@ -107,9 +104,9 @@ def quantiles_by_brackets(
     df: DataFrame, cols: Sequence[str], points: Mapping[str, float] = PERCENTILES, bracket_rows: int = BRACKET_ROWS
 ) -> DataFrame:
     """Exact percentiles of whole columns: a sample, a counting pass and a pass over the few rows near each rank."""
-    numbers = df.select(*[as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
     x = [F.col(f"_x{i}") for i in range(len(cols))]
-    rows = numbers.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(x)]).first()
+    rows = numbers.agg(*[F.count_if(c <= math.inf).alias(f"n{i}") for i, c in enumerate(x)]).first()
     brackets = [
         Bracket(i, n, inside=rows[i], at=p * (rows[i] - 1)) for i in range(len(cols)) for n, p in points.items() if rows[i]
     ]
@@ -132,6 +129,7 @@ def _narrow(
         values = [np.sort(sample.column(i).drop_null().to_numpy()) for i in range(len(x))]
         for b in open_:
             v = values[b.col]
+            v = v[~np.isnan(v)]
             before = (b.low, b.high)
             b.narrow(v[(v >= b.low) & (v <= b.high)])
             # Bounds that stay hold few distinct values, which are counted by value as they are.
@@ -153,7 +151,7 @@ def _narrow(
 
 def values_at_ranks(df: DataFrame, value: Column, ranks: Sequence[int], bracket_rows: int = BRACKET_ROWS) -> list[float]:
     """The values at some 1-based ranks of a numeric column: as many numbers on the driver as there are ranks."""
-    numbers = df.select(value.cast("double").alias("_x0")).filter(F.col("_x0").isNotNull())
+    numbers = df.select(value.cast("double").alias("_x0")).filter(F.col("_x0") <= math.inf)
     x = [F.col("_x0")]
     rows = [numbers.count()]
     if not ranks:
@@ -209,7 +207,7 @@ def _pick(
 
 def parted_values(df: DataFrame, cols: Sequence[str], keys: Sequence[str], cuts: dict[str, list]) -> DataFrame:
     """``(keys, column, part, value)`` of every number."""
-    numbers = df.select(*keys, *[as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    numbers = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
     structs = [
         F.struct(
             F.lit(c).alias("column"),
@@ -219,7 +217,7 @@ def parted_values(df: DataFrame, cols: Sequence[str], keys: Sequence[str], cuts:
         for i, c in enumerate(cols)
     ]
     long = numbers.select(*keys, F.explode(F.array(*structs)).alias("_v")).select(*keys, "_v.*")
-    return long.filter(F.col("value").isNotNull())
+    return long.filter(F.col("value") <= math.inf)
 
 
 def quantiles_by_parts(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.operators.fidelity import apply_scaler
+from tabweave.session import durable
 
 SEED = 42
+ROWS_PER_TASK = 20_000
 CLASSIFIERS = ("LinearSVC", "DecisionTreeClassifier", "RandomForestClassifier", "LogisticRegression", "MLPClassifier")
 REGRESSORS = ("LinearRegression", "Ridge", "Lasso", "BayesianRidge")
 
@@ -67,6 +70,8 @@ def utility_classification(
     highest, rows = train.agg(F.max("label"), F.count("*")).first()
     if highest is None:
         raise ValueError("no synthetic rows to train on")
+    # Training reads the rows hundreds of times: as few tasks as their number asks for, and no lineage behind them.
+    train = durable(train.repartition(max(1, math.ceil(rows / ROWS_PER_TASK))))
     estimator = _classifier(model, len(features), int(highest) + 1, rows)
     if model == "MLPClassifier":
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)

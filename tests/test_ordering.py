@@ -87,3 +87,12 @@ def test_rank_intervals_by_boundaries(spark, ends):
         assert a == b and len(a) == 1000
         low = [min(e, 1000) for e in ends]
         assert [sum(v > i for v in a.values()) for i in range(len(ends))] == [1000 - e for e in low]
+
+
+def test_long_texts_with_a_common_start(spark):
+    """Cut points are starts of texts; texts that share them are ranked all the same."""
+    data = spark.range(600).select("id", F.concat(F.repeat(F.lit("x"), 100), F.lpad(F.col("id").cast("string"), 4, "0")).alias("t"))
+    ranked = global_rank(data, ["t"], "rank", rows_per_part=50)
+    assert all(r.rank == r.id + 1 for r in ranked.collect())
+    short = spark.range(600).select("id", F.lpad(F.col("id").cast("string"), 4, "0").alias("t"))
+    assert all(r.rank == r.id + 1 for r in global_rank(short, ["t"], "rank", rows_per_part=50).collect())
