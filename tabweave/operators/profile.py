@@ -20,7 +20,6 @@ from tabweave.operators.quantiles import PERCENTILES, as_double, buffered, exact
 
 # Candidate distributions in the order that decides ties.
 CANDIDATES = ("norm", "expon", "uniform")
-MOMENTS = ("n", "mean", "std", "min", "max", "skew", "kurtosis")
 
 # A mixture is fitted to at most this many weighted bins per column.
 BODY_BINS, TAIL_BINS = 3000, 500

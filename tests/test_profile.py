@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tabweave.operators import association, dictionary, profile, quantiles, shifts
 

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from tabweave.operators import replies
 from tabweave.plans.profiling import profile_table
