@@ -1,6 +1,6 @@
 """Quality: heuristic labellers, their accuracies by expectation-maximisation, and a hashed linear scorer.
 
-Labellers look at one trait each and vote good, bad or not at all. No labels are read: the counts of all vote patterns in
+Labellers look at one trait each and vote good, bad or, where it cannot be told or lies in between, not at all. No labels are read: the counts of all vote patterns in
 the corpus tell how far the labellers can be trusted, and each pattern gets the probability that its documents are good.
 These probabilities train a logistic regression on hashed word shapes, which scores every document.
 """
@@ -26,12 +26,14 @@ from tabweave.llm.common import col, list_array, map_text, saved
 # Documents that train the scorer, at most about so many; votes are counted over all.
 FIT_ROWS = 20_000
 BUCKETS = 256
-LABELLERS = ("symbols", "capitals", "repeats", "separators", "sentences", "function_words", "variety", "shouts")
+LABELLERS = ("symbols", "capitals", "repeats", "separators", "sentences", "function_words", "variety", "shouts", "plain_words", "stutter")
 
 # Function words of four languages.
 FUNCTION_WORDS = frozenset("the of and to in a is that it for de la le les des et en un une que el los las y del der die das und den von zu ein eine".split())
 
-LETTERS_LOW = re.compile(r"[^\W\d_]+")
+# A word with common marks around it, not in capitals.
+PLAIN = re.compile(r"[\"'(«„“¿¡]*[^\W\d_]?[^\W\d_A-ZÀ-Þ]*(?:['’-][^\W\d_]+)*[.,;:!?\"')»“”…]{0,2}|[\d.,:%-]+")
+COMMON_MARKS = ".,;:!?\"'()«»„“”¿¡…"
 SHAPE_RUN = re.compile(r"(.)\1+")
 
 
@@ -42,7 +44,7 @@ def shape(chunk: str) -> str:
 
 
 class ChunkTraits:
-    """Traits of the chunks of a worker's latest texts: seven flags and the bucket of the shape."""
+    """Traits of the chunks of a worker's latest texts: eight flags and the bucket of the shape."""
 
     def __init__(self):
         self.known: dict[str, tuple] = {}
@@ -50,7 +52,7 @@ class ChunkTraits:
     def traits(self, chunk: str) -> tuple:
         letters = sum(map(str.isalpha, chunk))
         marks = len(chunk) - sum(map(str.isalnum, chunk))
-        core = "".join(LETTERS_LOW.findall(chunk)).lower()
+        core = chunk.strip(COMMON_MARKS).lower()
         return (
             1 if letters and marks >= 3 and not chunk.isalnum() else 0,
             1 if letters > 1 and chunk.upper() == chunk and chunk.lower() != chunk else 0,
@@ -59,6 +61,7 @@ class ChunkTraits:
             1 if core in FUNCTION_WORDS else 0,
             1 if chunk.endswith("!!") else 0,
             1 if letters else 0,
+            1 if PLAIN.fullmatch(chunk) else 0,
             xxhash.xxh32_intdigest(shape(chunk).encode("utf-8", "surrogatepass")) % BUCKETS,
         )
 
@@ -73,7 +76,7 @@ class ChunkTraits:
                 if len(chunk) <= 64:
                     self.known[chunk] = row
             out.append(row)
-        return np.array(out, dtype=np.int64).reshape(-1, 8)
+        return np.array(out, dtype=np.int64).reshape(-1, 9)
 
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Votes (1 good, 0 bad, 2 none) of each labeller and the hashed shape rates of each text."""
@@ -83,9 +86,9 @@ class ChunkTraits:
         codes, offsets, chunks = dictionary_chunks(texts, pc.utf8_split_whitespace)
         table = self.rows(chunks)
         owner = np.repeat(np.arange(count), np.diff(offsets))
-        sums = np.stack([np.bincount(owner, weights=table[:, i][codes], minlength=count) for i in range(7)], axis=1)
+        sums = np.stack([np.bincount(owner, weights=table[:, i][codes], minlength=count) for i in range(8)], axis=1)
         total = np.diff(offsets).astype(float)
-        hashed = np.bincount(owner * BUCKETS + table[:, 7][codes], minlength=count * BUCKETS).reshape(count, BUCKETS)
+        hashed = np.bincount(owner * BUCKETS + table[:, 8][codes], minlength=count * BUCKETS).reshape(count, BUCKETS)
         size = np.maximum(total, 1)
         rates = sums / size[:, None]
         # Distinct words of each text.
@@ -98,16 +101,21 @@ class ChunkTraits:
             votes[where & good, i] = 1
             votes[where & bad, i] = 0
 
+        same = np.zeros(len(codes))
+        same[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+        stutter = np.bincount(owner, weights=same, minlength=count) / size
         some, many = total >= 5, total >= 40
         vote(0, rates[:, 0] < 0.05, rates[:, 0] > 0.3, some)
         vote(1, rates[:, 1] < 0.1, rates[:, 1] > 0.4, some)
         vote(2, repeats < 0.1, repeats > 0.35, lines >= 3)
         vote(3, rates[:, 2] < 0.03, rates[:, 2] > 0.15, some)
         vote(4, (rates[:, 3] > 0.02) & (rates[:, 3] < 0.5), (rates[:, 3] < 0.005) | (rates[:, 3] > 0.6), many)
-        vote(5, rates[:, 4] > 0.1, rates[:, 4] < 0.03, some)
+        vote(5, rates[:, 4] > 0.1, rates[:, 4] < 0.03, total >= 15)
         vote(6, variety > 0.25, variety < 0.12, (total >= 100) & (total < 2_000))
         vote(7, rates[:, 5] < 0.02, rates[:, 5] > 0.15, some)
-        features = np.concatenate((np.sqrt(hashed / size[:, None]), np.stack((repeats, np.minimum(1, rates[:, 4])), axis=1)), axis=1)
+        vote(8, rates[:, 7] > 0.9, rates[:, 7] < 0.6, some)
+        vote(9, stutter < 0.05, stutter > 0.2, some)
+        features = np.concatenate((np.sqrt(hashed / size[:, None]), np.stack((repeats, np.minimum(1, rates[:, 4]), np.sqrt(stutter)), axis=1)), axis=1)
         return votes, features.astype(np.float32)
 
 
@@ -148,8 +156,9 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str
     counts = np.array([patterns[k] for k in keys], dtype=float)
     good, bad = (votes == 1).sum(axis=1), (votes == 0).sum(axis=1)
     # A bad trait is rarer than its absence, so one bad vote outweighs several good ones at the start.
-    posterior = np.clip(np.where(bad > 0, 0.1, np.where(good > 0, 0.9, 0.5)), 0.05, 0.95)
-    one_hot = np.stack([votes == v for v in range(3)], axis=2).astype(float)
+    posterior = np.where(bad > 0, 0.1, np.where(good > 0, 0.9, 0.5))
+    # A labeller that does not vote says nothing.
+    one_hot = np.stack([votes == v for v in range(2)], axis=2).astype(float)
     for _ in range(rounds):
         mass = np.stack(((1 - posterior) * counts, posterior * counts))
         prior = np.clip(mass[1].sum() / counts.sum(), 0.01, 0.99)
@@ -182,12 +191,12 @@ class QualityModel:
 def fit_quality(rows: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
     """Learn from ``judged`` rows: accuracies from the vote counts of all, the scorer from about ``fit_rows`` of them.
 
-    Patterns are at most three to the number of labellers. Training rows are drawn by a hash of votes and features, so
+    Patterns are at most three to the power of the number of labellers. Training rows are drawn by a hash of votes and features, so
     copies are drawn together and a repeated task draws the same rows.
     """
     patterns = {r["_votes"]: r["count"] for r in rows.groupBy("_votes").count().collect()}
     if not patterns:
-        return QualityModel({}, np.zeros((2, len(LABELLERS), 3)), 0.5, None)
+        return QualityModel({}, np.zeros((2, len(LABELLERS), 2)), 0.5, None)
     posteriors, accuracies, prior = fit_labellers(patterns)
     certain = {p > 0.5 for p in posteriors.values()}
     if len(certain) < 2:

@@ -1,9 +1,9 @@
 """Toxicity: boosted trees over dense features of a text, calibrated by isotonic regression.
 
-Features are rates per word: hits of a learned lexicon (whole words and word starts, in bands of evidence), hits close to
+Features are rates per word: hits of a lexicon (common insults, and learned words and word starts, in bands of evidence), hits close to
 a word of the second person, capitals, punctuation, and signs of obfuscation (marks or digits inside words, stretched
-letters, single letters in a row). The lexicon is learned from labelled documents as well: words and word starts that
-toxic documents use far more often than others. It is learned on some folds, the trees on another and the calibration on
+letters, single letters in a row). The learned entries come from labelled documents as well: words and word starts that
+toxic documents use far more often than others. They are learned on some folds, the trees on another and the calibration on
 a third, so that none judges its own examples.
 """
 
@@ -40,6 +40,14 @@ NEAR_WORDS = 5
 
 # Words of the second person in four languages.
 SECOND_PERSON = frozenset("you your yours yourself ur u du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vuestro".split())
+# Common insults in four languages, known before any label is read.
+INSULTS = frozenset(
+    "idiot idiots idiotic moron morons moronic stupid dumb fool imbecile loser losers pathetic worthless disgusting scum scumbag trash garbage filth filthy"
+    " vermin clown jerk creep freak liar coward bastard bitch asshole retard retarded ugly"
+    " dumm trottel abschaum ekelhaft wertlos versager arschloch dreck müll depp idioten hurensohn"
+    " imbécile crétin connard salaud ordure débile pathétique dégoûtant minable abruti"
+    " idiota imbécil estúpido estúpida basura escoria patético patética asqueroso inútil cabrón payaso".split()
+)
 # Digits and marks written for letters.
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 
@@ -190,7 +198,7 @@ def fit_toxicity(
         return ToxicityModel({}, None, None, rate)
     full = all(sizes.get((f, y), 0) for f in (1, 2, 3, 4) for y in (0, 1))
     part = (lambda *folds: rows.filter(F.col("fold").isin(*folds))) if full else lambda *folds: rows
-    lexicon = _lexicon(part(1, 2))
+    lexicon = {word: 2.0 for word in INSULTS} | _lexicon(part(1, 2))
     example = text_features(rows, lexicon).select("_row.fold", F.col("_row.label").cast("double").alias("label"), "_features")
     example = saved(example.coalesce(4), "examples").withColumn("_vector", array_to_vector("_features"))
     pick = (lambda *folds: example.filter(F.col("fold").isin(*folds))) if full else lambda *folds: example
