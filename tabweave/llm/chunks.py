@@ -27,6 +27,15 @@ def dictionary_chunks(texts: pa.Array, split: Callable[[pa.Array], pa.Array]) ->
     return values.indices.to_numpy(zero_copy_only=False), offsets, values.dictionary.to_pylist()
 
 
+def word_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``dictionary_chunks`` between white space, without the empty ones at the ends of texts."""
+    codes, offsets, chunks = dictionary_chunks(texts, pc.utf8_split_whitespace)
+    if "" in chunks:
+        keep = codes != chunks.index("")
+        codes, offsets = codes[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
+    return codes, offsets, chunks
+
+
 def _sure(chunk: str) -> bool:
     return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 

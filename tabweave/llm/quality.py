@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.llm.chunks import dictionary_chunks
+from tabweave.llm.chunks import word_chunks
 from tabweave.llm.common import col, list_array, map_text, saved
 
 # Documents that train the scorer, at most about so many; votes are counted over all.
@@ -57,7 +57,7 @@ class ChunkTraits:
             1 if letters and marks >= 3 and not chunk.isalnum() else 0,
             1 if letters > 1 and chunk.upper() == chunk and chunk.lower() != chunk else 0,
             1 if not letters and marks else 0,
-            1 if chunk[-1] in ".!?…" else 0,
+            1 if chunk[-1:] in (".", "!", "?", "…") else 0,
             1 if core in FUNCTION_WORDS else 0,
             1 if chunk.endswith("!!") else 0,
             1 if letters else 0,
@@ -83,7 +83,7 @@ class ChunkTraits:
         count = len(texts)
         if not count:
             return np.zeros((0, len(LABELLERS)), np.int8), np.zeros((0, BUCKETS), np.float32)
-        codes, offsets, chunks = dictionary_chunks(texts, pc.utf8_split_whitespace)
+        codes, offsets, chunks = word_chunks(texts)
         table = self.rows(chunks)
         owner = np.repeat(np.arange(count), np.diff(offsets))
         sums = np.stack([np.bincount(owner, weights=table[:, i][codes], minlength=count) for i in range(8)], axis=1)

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.llm.chunks import dictionary_chunks
+from tabweave.llm.chunks import word_chunks
 from tabweave.llm.common import boxed, col, list_array, map_text, saved
 
 # Labelled rows used for fitting, at most about so many; the rest of the labels is not needed.
@@ -111,7 +110,7 @@ class ChunkTable:
         """One row of features per text; texts without words have rates of zero."""
         if not len(texts):
             return np.zeros((0, FEATURES))
-        codes, offsets, chunks = dictionary_chunks(texts, pc.utf8_split_whitespace)
+        codes, offsets, chunks = word_chunks(texts)
         table = self.rows(chunks)
         # A text's sums are differences of running sums, so that texts without chunks need no care.
         hits = (table[:, 1] + table[:, 2] > 0)[codes]
@@ -214,9 +213,14 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held: list[tuple[str, int]] = []
             for value, label in zip(batch["text"], batch["label"]):
-                found = {e for chunk in set((value or "").split()) for w in set(words_of(chunk)) for e in entries_of(w)}
-                yield pd.DataFrame({"entry": list(found), "label": label})
+                held += [(e, int(label)) for e in {e for chunk in set((value or "").split()) for w in set(words_of(chunk)) for e in entries_of(w)}]
+                if len(held) > 100_000:
+                    yield pd.DataFrame(held, columns=["entry", "label"])
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=["entry", "label"])
 
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
