@@ -6,13 +6,14 @@ All matrices are long: ``(keys, column, other, value)``. Rows are expected to be
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import long_values, small_side
@@ -116,6 +117,15 @@ def _pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence
     return long.groupBy(*keys, "column", "other", "value", "condition").agg(F.count("*").alias("n"))
 
 
+def _with_margin(cells: DataFrame, counted: DataFrame, pair: Sequence[str], label: str, total: str, number: str) -> DataFrame:
+    """Add the rows and the number of cells that share a cell's label; a null label is one too."""
+    margin = counted.groupBy(*pair, label).agg(F.sum("n").alias(total), F.count("*").alias(number))
+    names = {c: f"_m_{c}" for c in [*pair, label]}
+    margin = margin.withColumnsRenamed(names)
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(m)) for c, m in names.items()])
+    return cells.join(margin, same).drop(*names.values())
+
+
 def cramers_v_matrix(
     df: DataFrame, cats: Sequence[str], keys: Sequence[str] = (), diagonal: bool = False
 ) -> DataFrame:
@@ -127,11 +137,12 @@ def cramers_v_matrix(
     pairs = list(combinations(cats, 2)) + ([(c, c) for c in cats] if diagonal else [])
     if not pairs:
         return df.sparkSession.createDataFrame([], "column string, other string, value double")
-    # Margins are sums over the counted cells, so the table is read once.
+    # Margins are sums over the counted cells, whose shuffle is reused, so the table is read once. They are joined rather
+    # than read over a window: a label that meets very many others is then a skewed join, which Spark splits.
     pair = [*keys, "column", "other"]
-    row, col = Window.partitionBy(*pair, "value"), Window.partitionBy(*pair, "condition")
-    cells = _pair_counts(df, pairs, keys).withColumns({"r": F.sum("n").over(row), "in_row": F.count("*").over(row)})
-    cells = cells.withColumns({"c": F.sum("n").over(col), "in_col": F.count("*").over(col)})
+    counted = _pair_counts(df, pairs, keys)
+    cells = _with_margin(counted, counted, pair, "value", "r", "in_row")
+    cells = _with_margin(cells, counted, pair, "condition", "c", "in_col")
     sums = cells.groupBy(*pair).agg(
         F.sum("n").alias("rows"),
         F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("fit"),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tabweave.functions.numeric import rounded
 from tabweave.roles import Roles, cat_cols, cont_cols
 
-MAX_CARD_VALUES = 100_000
 
 # Statistic names accepted in a selection, their profile column and their wording here.
 STATS = {
@@ -107,9 +106,13 @@ def numeric_card(
     return profile.select(*group, text.alias("body"))
 
 
-def category_card(dictionary: DataFrame, style: str = "percent", keys: Sequence[str] = (), order: str = "code") -> DataFrame:
+def category_card(
+    dictionary: DataFrame, style: str = "percent", keys: Sequence[str] = (), order: str = "code", max_values: int | None = None
+) -> DataFrame:
     """``(keys, column, body)`` from ``(keys, column, value, prob, <order>)``.
 
+    A card is one text with every value, so a task has to hold it. ``max_values`` makes more values an error.
+
     Styles: ``list`` (values and probabilities in two lists), ``percent`` (a line per value) and ``no_stats`` (values).
     """
     group = [*keys, "column"]
@@ -119,14 +122,15 @@ def category_card(dictionary: DataFrame, style: str = "percent", keys: Sequence[
     )
     line = F.concat(F.lit("- "), F.col("value"))
     item = F.concat(line, F.lit(": "), share) if style == "percent" else line
-    sizes = dictionary.groupBy(*group).agg(F.count("*").alias("_entries"))
-    checked = dictionary.join(sizes, group).withColumn(
-        "value",
-        F.when(F.col("_entries") <= MAX_CARD_VALUES, F.col("value")).otherwise(
-            F.raise_error(F.concat(F.lit("too many categories for a card: "), F.col("column")))
-        ),
-    )
-    rows = checked.groupBy(*group).agg(
+    if max_values is not None:
+        sizes = dictionary.groupBy(*group).agg(F.count("*").alias("_entries"))
+        dictionary = dictionary.join(sizes, group).withColumn(
+            "value",
+            F.when(F.col("_entries") <= max_values, F.col("value")).otherwise(
+                F.raise_error(F.concat(F.lit("too many categories for a card: "), F.col("column")))
+            ),
+        )
+    rows = dictionary.groupBy(*group).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(F.col(order).alias("o"), "value", item.alias("item"), F.col("prob").cast("string").alias("p"))

@@ -17,9 +17,8 @@ from tabweave.sources.corpora import MESSAGES
 MAX_GROUP = 8
 MIN_ROWS = 8
 SURVIVING = 0.96
-ROWS_ASKED = 20
-# Turns of one chat that go into one text.
-TURNS_PER_TEXT = 1024
+# Rows a chat asks for.
+ROWS_ASKED, CSV_ROWS_ASKED = 20, 25
 
 SYSTEM = (
     "You write synthetic rows for a table. Column descriptions tell you the types, frequencies, ranges and "
@@ -49,14 +48,16 @@ def build_chats(
     n: int,
     layout: str = "csv",
     spark=None,
-    rows: int = ROWS_ASKED,
+    rows: int | None = None,
     system: bool = True,
 ) -> DataFrame:
     """``n`` copies of the opening chat.
 
     ``csv`` and ``json`` ask for whole rows in one go, from the cards of all columns; ``columnwise`` only opens the
     chat, and its turns follow per column group. Without ``system`` everything is in a single user message.
+    ``rows`` are asked for, by default 25 lines or 20 objects.
     """
+    rows = rows or (CSV_ROWS_ASKED if layout == "csv" else ROWS_ASKED)
     if layout == "columnwise":
         spark = spark or cards.sparkSession
         opening = F.array(message("system", F.lit(SYSTEM))) if system else F.array().cast(MESSAGES)
@@ -208,21 +209,26 @@ def route_chats(chats: DataFrame, replies: DataFrame, valid: DataFrame, normalis
     )
 
 
+def _part(turn: str, turns: int | None) -> Column:
+    part = F.lit(0) if turns is None else F.floor(F.col(turn) / turns)
+    return part.cast("bigint").alias("part")
+
+
 def chat_to_text(
     df: DataFrame,
     key: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    turns_per_text: int = TURNS_PER_TEXT,
+    turns_per_text: int | None = None,
 ) -> DataFrame:
     """``(key, part, text)``: the messages of each chat in turn order as training text.
 
-    A chat is one text, ``part`` 0. Only a chat beyond ``turns_per_text`` turns continues in further parts, so that no
-    key, however long, has to fit one task.
+    A chat is one text, ``part`` 0, however long; a text is one value, so a task has to hold it. ``turns_per_text`` asks
+    for texts of so many turns at most: a longer chat then continues in further parts.
     """
     line = F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), F.col(text))
-    part = F.floor(F.col(turn) / turns_per_text).cast("bigint").alias("part")
+    part = _part(turn, turns_per_text)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), line.alias("line"))))
     return df.groupBy(key, part).agg(F.array_join(F.transform(ordered, lambda m: m["line"]), "\n").alias("text"))
 
@@ -233,10 +239,10 @@ def collect_chats(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    turns_per_chat: int = TURNS_PER_TEXT,
+    turns_per_chat: int | None = None,
 ) -> DataFrame:
-    """``(key, part, messages)`` from a table of turns; a chat beyond ``turns_per_chat`` turns continues in further parts."""
-    part = F.floor(F.col(turn) / turns_per_chat).cast("bigint").alias("part")
+    """``(key, part, messages)`` from a table of turns; a chat is one array, unless ``turns_per_chat`` cuts it in parts."""
+    part = _part(turn, turns_per_chat)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("content"))))
     messages = F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     return df.groupBy(key, part).agg(messages.alias("messages"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,7 +80,8 @@ def rank_intervals(
     """Add ``interval``: the number of ``ends`` below the 1-based rank of a row; ``ends`` ascend.
 
     Ranks follow a unique ``order`` or the seeded hash of a unique ``key``. A small table is ranked. Of a large one only
-    the rows at the ends are looked up, and every row is then compared with them: no row is moved.
+    the rows at the ends are looked up, and every row is then compared with them: no row is moved. Nulls rank first and
+    NaN last, on either path.
     """
     rows = df.count()
     ends = [min(e, rows) for e in ends]
@@ -94,24 +95,45 @@ def rank_intervals(
         below = [F.when(F.col("_rank") > e, 1).otherwise(0) for e in ends]
         return ranked.withColumn("interval", sum(below, F.lit(0))).drop("_rank")
     wanted = sorted({e for e in ends if e > 0})
-    leads = dict(zip(wanted, values_at_ranks(df, lead, wanted, rows_per_part or ROWS_PER_PART)))
+    # Nulls come first and NaN last, as in a sort; the ranks between are those of the numbers.
     tagged = df.withColumn("_lead", lead.cast("double"))
-    distinct = sorted(set(leads.values()))
-    before = tagged.agg(*[F.count_if(F.col("_lead") < v).alias(f"b{i}") for i, v in enumerate(distinct)]).first()
-    first = dict(zip(distinct, before)) if distinct else {}
-    # Rows that share the lead of an end are ranked among themselves by their key.
-    window = Window.partitionBy("_lead").orderBy(*ties)
-    tied = tagged.filter(F.col("_lead").isin(distinct)).select("_lead", *ties, F.row_number().over(window).alias("_at"))
-    spots = [(F.col("_lead") == leads[e]) & (F.col("_at") == e - first[leads[e]]) for e in wanted]
-    marks = {(r["_lead"], r["_at"]): r for r in tied.filter(reduce(Column.__or__, spots, F.lit(False))).collect()}
+    nulls, numbers = tagged.agg(F.count_if(F.col("_lead").isNull()), F.count_if(F.col("_lead").isNotNull() & ~F.isnan("_lead"))).first()
+    among = [e - nulls for e in wanted if nulls < e <= nulls + numbers]
+    known = tagged.filter(F.col("_lead").isNotNull() & ~F.isnan("_lead"))
+    found = dict(zip(among, values_at_ranks(known, F.col("_lead"), among, rows_per_part or ROWS_PER_PART) if among else []))
+    leads = {e: found[e - nulls] if e - nulls in found else None if e <= nulls else math.nan for e in wanted}
+    distinct = sorted(set(found.values()))
+    before = tagged.agg(*[F.count_if(F.col("_lead") < v).alias(f"b{i}") for i, v in enumerate(distinct)]).first() if distinct else ()
+    first = {v: nulls + n for v, n in zip(distinct, before)}
+
+    def same(value: float | None) -> Column:
+        if value is None:
+            return F.col("_lead").isNull()
+        return F.col("_lead").isNotNull() & (F.isnan("_lead") if math.isnan(value) else F.col("_lead") == value)
+
+    def above(value: float | None) -> Column:
+        # Spark compares NaN as the largest number.
+        return F.col("_lead").isNotNull() if value is None else F.coalesce(F.col("_lead") > F.lit(value), F.lit(False))
+
+    # Rows that share the lead of an end are ranked among themselves by their key, in parts if they are many.
+    marks = {}
+    for value in {None if v is None else repr(v): v for v in leads.values()}.values():
+        mine = [e for e in wanted if repr(leads[e]) == repr(value)]
+        start = 0 if value is None else nulls + numbers if math.isnan(value) else first[value]
+        tied = global_rank(tagged.filter(same(value)).select(*ties), ties, "_at", rows_per_part=rows_per_part)
+        for row in tied.filter(F.col("_at").isin([e - start for e in mine])).collect():
+            marks[row["_at"] + start] = row
+
+    def place(values: Mapping[str, Column]) -> Column:
+        # A null sorts before any value.
+        return F.struct(*[x for c in ties for x in (values[c].isNotNull().alias(f"k_{c}"), values[c].alias(c))])
 
     def beyond(e: int) -> Column:
         if e == 0:
             return F.lit(1)
-        mark = marks[leads[e], e - first[leads[e]]]
-        last = F.struct(*[F.lit(mark[c]).cast(df.schema[c].dataType).alias(c) for c in ties])
-        later = (F.col("_lead") == leads[e]) & (F.struct(*[F.col(c).alias(c) for c in ties]) > last)
-        return F.when((F.col("_lead") > leads[e]) | later, 1).otherwise(0)
+        last = place({c: F.lit(marks[e][c]).cast(df.schema[c].dataType) for c in ties})
+        later = same(leads[e]) & (place({c: F.col(c) for c in ties}) > last)
+        return F.when(above(leads[e]) | later, 1).otherwise(0)
 
     return tagged.withColumn("interval", sum([beyond(e) for e in ends], F.lit(0))).drop("_lead")
 

@@ -97,15 +97,21 @@ def category_profile(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (
 
 
 def fit_distribution(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), rows_per_part: int | None = None
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str] = (),
+    rows_per_part: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Best of normal, exponential and uniform by the Kolmogorov-Smirnov distance of the maximum-likelihood fit.
 
     For a given row count the test's p value falls as the distance grows, so the smallest distance wins and the earlier
     candidate wins a tie. A constant column has no fit, a column without numbers no row. ``loc`` and ``scale`` are those of the winner.
+    ``profile`` is the ``numeric_profile`` if there is one already.
     """
     ranked = ranked_values(df, cols, keys, rows_per_part)
-    fit = column_moments(df, cols, keys).select(*keys, "column", "mean", "std", "min", "max")
+    fit = column_moments(df, cols, keys) if profile is None else profile
+    fit = fit.select(*keys, "column", "mean", "std", "min", "max")
     joined = ranked.join(small_side(fit, keys), [*keys, "column"])
     x, rows = F.col("value"), F.col("rows")
     # In steps of named columns: an expression used many times is computed once per value.
@@ -204,14 +210,20 @@ def choose_modes(bins: pd.DataFrame) -> np.ndarray:
 
 
 def fit_modes(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), rows_per_part: int | None = None
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str] = (),
+    rows_per_part: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """``(keys, column, mode, mean, weight, std)`` of a one-dimensional normal mixture per column.
 
     Rows are first reduced to a few thousand weighted bins per column (fine between the 1st and 99th percentile, coarse
-    outside), with partial sums on the map side; only the bins of a column reach its task.
+    outside), with partial sums on the map side; only the bins of a column reach its task. ``profile`` is the
+    ``numeric_profile`` if there is one already.
     """
-    profile = numeric_profile(df, cols, keys, rows_per_part).select(*keys, "column", "min", "p01", "p50", "p99", "max")
+    profile = numeric_profile(df, cols, keys, rows_per_part) if profile is None else profile
+    profile = profile.select(*keys, "column", "min", "p01", "p50", "p99", "max")
     long = df.select(*keys, F.explode(long_values(cols, "double")).alias("_v")).select(*keys, "_v.*")
     x, off = F.col("value"), F.col("value") - F.col("p50")
 

@@ -16,7 +16,8 @@ from tabweave.operators.dictionary import dictionary_sizes
 from tabweave.roles import Roles, cat_cols, cont_cols
 
 # What counts as an object, a flat object and a number in a reply.
-OBJECT = r"(\{[^{}]*\})"
+# An object ends at the first closing brace outside of a quoted text; texts may hold braces.
+OBJECT = r"""(\{(?:[^{}"']++|"[^"]*+"|'[^']*+')*+\})"""
 FLAT_OBJECT = r'^\{(?:\s*+"[^"]*+"\s*+:\s*+(?:"[^"]*+"|-?+\d++(?:\.\d++)?+)\s*+,?+)++\s*+\}$'
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 

@@ -1,7 +1,7 @@
 """How one column's distribution shifts under a condition on another, for the associated pairs only.
 
 ``edges`` is the result of ``association_edges``: at most the square of the column count per key. Pairs without an
-edge are removed right after the expansion, before anything is counted or shuffled. Cells that were never seen are
+edge are never counted or shuffled. Cells that were never seen are
 part of the answer (their shift is minus the base probability), so the result holds every label combination of an edge;
 ``observed_only`` gives the seen cells alone, where label sets are too large for all combinations.
 """
@@ -30,7 +30,19 @@ def _empty(df: DataFrame, keys: Sequence[str], names: Sequence[str], numbers: Se
 def _pairs(
     df: DataFrame, edges: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str], left: str, right: str
 ) -> DataFrame:
-    """``(keys, column, other, a, b)`` of each row and each pair that is an edge."""
+    """``(keys, column, other, a, b)`` of each row and each pair that is an edge.
+
+    Without keys there are at most as many edges as pairs of columns: they are looked up first, and rows are expanded to
+    these pairs only.
+    """
+    if not keys:
+        near = {(r["column"], r["other"]) for r in edges.select("column", "other").distinct().collect()}
+        pairs = [p for p in pairs if p in near]
+        if not pairs:
+            names = F.lit(None).cast("string")
+            return df.select(
+                names.alias("column"), names.alias("other"), F.lit(None).cast(left).alias("a"), F.lit(None).cast(right).alias("b")
+            ).filter(F.lit(False))
     structs = [
         F.struct(
             F.lit(a).alias("column"),
@@ -41,8 +53,10 @@ def _pairs(
         for a, b in pairs
     ]
     long = df.select(*keys, F.explode(F.array(*structs)).alias("_p")).select(*keys, "_p.*")
+    if not keys:
+        return long
     wanted = edges.select(*keys, "column", "other").distinct()
-    return long.join(small_side(wanted, keys), [*keys, "column", "other"], "left_semi")
+    return long.join(wanted, [*keys, "column", "other"], "left_semi")
 
 
 def _label_shifts(cells: DataFrame, keys: Sequence[str], observed_only: bool, conditions: DataFrame | None = None) -> DataFrame:

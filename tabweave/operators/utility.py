@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, Transformer
@@ -17,7 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.operators.fidelity import apply_scaler
@@ -35,7 +36,8 @@ def _assembled(df: DataFrame, features: Sequence[str], label: str = "target") ->
         F.col(f"`{label}`").cast("double").alias("label"),
     )
     names = [f"f{i}" for i in range(len(features))]
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(safe).select("features", "label")
+    # Scores have to cover all rows: a null is an error here, not a row less. ``drop_incomplete`` comes before.
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(safe).select("features", "label")
 
 
 def _classifier(model: str, features: int, classes: int, rows: int):
@@ -82,19 +84,24 @@ def utility_classification(
 
 
 def _gram(df: DataFrame, features: Sequence[str], label: str):
-    """Count, sums and cross products of features and label from one aggregation: a d x d result for the driver."""
+    """Count, means and centred cross products over the complete rows: a d x d result for the driver.
+
+    Covariances are aggregated about running means, so large means or counts cancel nothing.
+    """
     names = [*features, label]
-    x = [F.col(f"`{c}`").cast("double") for c in names]
-    aggs = [F.count("*")] + [F.sum(a) for a in x] + [F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i + 1)]
-    row = df.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).first()
-    d = len(names)
-    cross = np.zeros((d, d))
-    at = 1 + d
-    for i in range(d):
-        for j in range(i + 1):
-            cross[i, j] = cross[j, i] = row[at]
-            at += 1
-    return row[0], np.array(row[1:1 + d], float), cross
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    whole = [F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}") for i in range(len(names))]
+    rows = rows.filter(reduce(Column.__and__, whole))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    aggs = [F.count("*"), *[F.avg(f"x{i}") for i in range(len(names))], *[F.covar_pop(f"x{i}", f"x{j}") for i, j in pairs]]
+    row = rows.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).first()
+    n, d = row[0], len(names)
+    if not n:
+        raise ValueError("no complete rows to train on")
+    centred = np.zeros((d, d))
+    for (i, j), value in zip(pairs, row[1 + d :]):
+        centred[i, j] = centred[j, i] = n * value
+    return n, np.array(row[1 : 1 + d], float), centred
 
 
 def bayesian_ridge(df: DataFrame, features: Sequence[str], label: str, iterations: int = 300, tol: float = 1e-3):
@@ -103,9 +110,7 @@ def bayesian_ridge(df: DataFrame, features: Sequence[str], label: str, iteration
     The table is read once; the iteration works on a matrix as wide as the feature list. Fixed values: the four
     hyperprior parameters of 1e-6.
     """
-    n, sums, cross = _gram(df, features, label)
-    mean = sums / n
-    centred = cross - n * np.outer(mean, mean)
+    n, mean, centred = _gram(df, features, label)
     xx, xy, yy = centred[:-1, :-1], centred[:-1, -1], centred[-1, -1]
     prior = 1e-6
     eigen, vectors = np.linalg.eigh(xx)

@@ -20,7 +20,6 @@ KEY = "conv_id"
 SAMPLE_ROWS, SAMPLE_SHARE = 500, 0.75
 FEWEST_EXAMPLES, MOST_EXAMPLES = 20, 25
 EVAL_EVERY = 5
-ALL_EXAMPLES = 1_000_000
 
 
 def conversation_count(num_examples: int | None) -> int:
@@ -34,9 +33,11 @@ def split_of(key: Column) -> Column:
     return F.when(F.pmod(key, F.lit(EVAL_EVERY)) == 0, "eval").otherwise("train")
 
 
-def conversation_samples(df: DataFrame, row_key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """``(conv_id, draw, columns...)``: each conversation's own rows to profile."""
-    size = min(SAMPLE_ROWS, int(df.count() * SAMPLE_SHARE))
+def conversation_samples(
+    df: DataFrame, row_key: Sequence[str], n: int, seed: int, rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE
+) -> DataFrame:
+    """``(conv_id, draw, columns...)``: each conversation's own ``rows`` to profile, at most a ``share`` of the table."""
+    size = min(rows, int(df.count() * share))
     keys = df.sparkSession.range(n).select(F.col("id").alias(KEY), F.lit(size).alias("size"))
     return sample_rows_per_key(df, row_key, keys, KEY, "size", seed)
 
@@ -44,9 +45,10 @@ def conversation_samples(df: DataFrame, row_key: Sequence[str], n: int, seed: in
 def conversation_examples(
     df: DataFrame, row_key: Sequence[str], n: int, num_examples: int | None, seed: int
 ) -> DataFrame:
-    """``(conv_id, draw, columns...)``: 20 to 25 rows out of the first ``num_examples`` shuffled rows."""
-    budget = num_examples or ALL_EXAMPLES
-    pool = rank_intervals(df, [budget], key=row_key, seed=seed).filter(F.col("interval") == 0).drop("interval")
+    """``(conv_id, draw, columns...)``: 20 to 25 rows out of the first ``num_examples`` shuffled rows, or of all (None)."""
+    pool = df
+    if num_examples is not None:
+        pool = rank_intervals(df, [num_examples], key=row_key, seed=seed).filter(F.col("interval") == 0).drop("interval")
     span = MOST_EXAMPLES - FEWEST_EXAMPLES + 1
     size = FEWEST_EXAMPLES + F.floor(unit(seed, "id", F.lit("examples")) * span)
     keys = df.sparkSession.range(n).select(F.col("id").alias(KEY), size.alias("size"))
@@ -89,9 +91,14 @@ def build_corpus(
     stats: Sequence[str] = cards.DEFAULT_STATS,
     shapes: bool = True,
     seed: int = 42,
+    sample_rows: int = SAMPLE_ROWS,
+    sample_share: float = SAMPLE_SHARE,
 ) -> DataFrame:
     """Conversations over complete rows, every growing prefix as a chat of its own.
 
+    Each conversation profiles ``sample_rows`` rows, at most a ``sample_share`` of the table, and shows rows out of the
+    first ``num_examples`` shuffled ones, or out of all (None).
+
     All conversations are built side by side: after one scan that draws their rows, everything is grouped by
     conversation, and no step depends on the size of the table.
     """
@@ -101,8 +108,8 @@ def build_corpus(
     spark = df.sparkSession
 
     kept = durable(drop_random_columns(spark.range(n).withColumnRenamed("id", KEY), KEY, list(roles), target, seed))
-    sample = durable(conversation_samples(rows, row_key, n, seed))
-    examples = conversation_examples(rows, row_key, n, num_examples, seed)
+    sample = durable(conversation_samples(rows, row_key, n, seed, sample_rows, sample_share))
+    examples = durable(conversation_examples(rows, row_key, n, num_examples, seed))
 
     by = [KEY]
     edges = durable(_kept_only(association.association_edges(sample, roles, keys=by), kept, "column", "other"))
@@ -114,8 +121,8 @@ def build_corpus(
     numeric = None
     if conts:
         numeric = durable(_kept_only(profile.numeric_profile(sample, conts, by), kept, "column"))
-        shape = profile.fit_distribution(sample, conts, by) if shapes else None
-        modes = profile.fit_modes(sample, conts, by) if shapes else None
+        shape = profile.fit_distribution(sample, conts, by, profile=numeric) if shapes else None
+        modes = profile.fit_modes(sample, conts, by, profile=numeric) if shapes else None
         bodies.append(cards.numeric_card(numeric, stats, by, shape, modes))
     if cats:
         labels = _kept_only(profile.category_profile(sample, cats, by), kept, "column")

@@ -39,14 +39,15 @@ def profile_table(
     numeric = durable(profile.numeric_profile(df, conts)) if conts else _no_numbers(df)
     edges = durable(association.association_edges(df, roles, symmetric=symmetric))
     labels = durable(dictionary.fit_dictionary(df, cats, order_key)) if cats else _no_labels(df)
-    by_cat = shifts.cat_given_cat(df, edges, roles)
-    by_cont = shifts.cat_given_cont(df, edges, roles, profile=numeric)
+    # Cards name the labels that are more likely; label pairs that were never seen are none of them.
+    by_cat = shifts.cat_given_cat(df, edges, roles, observed_only=True)
+    by_cont = shifts.cat_given_cont(df, edges, roles, profile=numeric, observed_only=True)
     return TableProfile(
         roles,
         labels,
         numeric,
-        durable(profile.fit_distribution(df, conts)) if shapes and conts else None,
-        durable(profile.fit_modes(df, conts)) if shapes and conts else None,
+        durable(profile.fit_distribution(df, conts, profile=numeric)) if shapes and conts else None,
+        durable(profile.fit_modes(df, conts, profile=numeric)) if shapes and conts else None,
         edges,
         durable(by_cat.unionByName(by_cont)),
         durable(shifts.cont_given_cat(df, edges, roles)),

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | T.StructType | None = None) -> DataFrame:
-    """A parquet table or a headered CSV. Give CSVs a schema at scale: inference reads the file twice."""
+def read_table(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: str | T.StructType | None = None, multiline: bool = False
+) -> DataFrame:
+    """A parquet table or a headered CSV. Give CSVs a schema at scale: inference reads the file twice.
+
+    ``multiline`` reads CSVs whose quoted texts hold line breaks; each file is then one task, however large.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError(f"unknown format {fmt!r}")
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 

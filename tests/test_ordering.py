@@ -89,6 +89,32 @@ def test_rank_intervals_by_boundaries(spark, ends):
         assert [sum(v > i for v in a.values()) for i in range(len(ends))] == [1000 - e for e in low]
 
 
+@pytest.mark.parametrize("ends", [[10], [120, 250], [799, 800, 801], [960, 1000]])
+def test_rank_intervals_with_nulls_and_a_hot_lead(spark, ends):
+    """Nulls first and NaN last on both paths; one value leads nine tenths of the numbers."""
+    from tabweave.operators.prepare import rank_intervals
+
+    kind = F.when(F.col("id") % 8 == 0, None).when(F.col("id") % 25 == 1, float("nan")).when(F.col("id") % 10 == 3, -1.5).otherwise(2.0)
+    data = spark.range(1000).select("id", kind.cast("double").alias("k"))
+    a = {r.id: r.interval for r in rank_intervals(data, ends, order=["k", "id"]).collect()}
+    b = {r.id: r.interval for r in rank_intervals(data, ends, order=["k", "id"], rows_per_part=50).collect()}
+    assert a == b and [sum(v > i for v in a.values()) for i in range(len(ends))] == [1000 - e for e in ends]
+
+
+def test_large_dictionaries_read_the_table_once(spark, tmp_path):
+    from tabweave.operators.dictionary import encode
+
+    path = str(tmp_path / "rows")
+    spark.range(100).select(*[(F.col("id") % (i + 2)).cast("string").alias(f"c{i}") for i in range(4)]).write.parquet(path)
+    df = spark.read.parquet(path)
+    rows = [(f"c{i}", str(v), v, 50) for i in range(4) for v in range(i + 2)]
+    entries = spark.createDataFrame(rows, "column string, value string, code bigint, n bigint")
+    coded = encode(df, entries, {f"c{i}": "str" for i in range(4)}, sizes={f"c{i}": 10**9 for i in range(4)})
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    assert coded.filter("c3 IS NULL").count() == 0 and coded.count() == 100
+
+
 def test_long_texts_with_a_common_start(spark):
     """Cut points are starts of texts; texts that share them are ranked all the same."""
     data = spark.range(600).select("id", F.concat(F.repeat(F.lit("x"), 100), F.lpad(F.col("id").cast("string"), 4, "0")).alias("t"))

@@ -70,7 +70,7 @@ def test_csv_files(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     with open(path, "w") as f:
         f.write('id,"name, full",x\n1,"a ""b""\nc",2.5\n2,,3\n')
-    rows = read_table(spark, path, "csv").orderBy("id").collect()
+    rows = read_table(spark, path, "csv", multiline=True).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, 'a "b"\nc', 2.5), (2, None, 3.0)]
     with pytest.raises(ValueError):
         read_table(spark, path, "orc")

@@ -105,3 +105,12 @@ def test_accepted_and_rejected_are_complementary(spark, tables):
 def test_carriage_returns_are_stripped(spark):
     got = replies.parse_csv_replies(reply(spark, "red,\t5 ,7.5\r\nred,6,8\r"), list(ROLES)).orderBy("position").collect()
     assert [(r["size"], r.price) for r in got] == [("5", "7.5"), ("6", "8")]
+
+
+def test_braces_inside_of_texts(spark):
+    """A brace in a text does not end an object; one without its quote does not swallow the next object."""
+    text = 'x {"a": "x {y}", "b": 1} and {\'a\': "}", "b": 2} {"a": "open, {"a": "z", "b": 3}'
+    df = spark.createDataFrame([(1, text)], "chat_id bigint, response string")
+    rows = replies.parse_json_replies(df, ["a", "b"]).orderBy("b").collect()
+    assert [(r.a, r.b) for r in rows] == [("x {y}", "1"), ("}", "2"), ("z", "3")]
+    assert replies.normalise_reply(df).first().response.count("\n") == 2

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabweave.operators import fidelity, neighbours, privacy, utility
-from tabweave.plans.scoring import default_metrics, score_table, utility_metrics, with_control
+from tabweave.plans.scoring import default_metrics, metric_names, score_table, utility_metrics, with_control
 
 
 def points(spark, array, names="abc"):
@@ -180,17 +180,45 @@ def test_score_table_reports_errors_and_groups(spark):
     def broken(train, test, synthetic):
         raise ValueError("cannot score this")
 
-    metrics = [("LinearRegression-MSE", utility_metrics(["a", "b"], "regression")[0][1]), ("mine-Odd", broken)]
+    def fails_later(train, test, synthetic):
+        return synthetic.agg(F.max(F.raise_error(F.lit("broken row"))).cast("double").alias("score"))
+
+    metrics = [("LinearRegression-MSE", utility_metrics(["a", "b"], "regression")[0][1]), ("mine-Odd", broken), ("mine-Late", fails_later)]
     rows = score_table(with_control(df, df), df, df, metrics, repetition=2).collect()
-    assert {(r.model, r.grp) for r in rows} == {(m, g) for m in ("synthetic", "GT") for g in ("MSE", "Odd")}
+    assert {(r.model, r.grp) for r in rows} == {(m, g) for m in ("synthetic", "GT") for g in ("MSE", "Odd", "Late")}
     for r in rows:
         assert r.repetition == 2
-        assert (r.score, r.error) == (-1.0, "cannot score this") if r.grp == "Odd" else r.error is None
+        assert (r.score, r.error) == (-1.0, "cannot score this") if r.grp == "Odd" else r.grp == "Late" or r.error is None
+        assert r.grp != "Late" or (r.score == -1 and "broken row" in r.error)
+
+
+def test_score_table_of_repetitions(spark):
+    _, _, df = regression_data(spark)
+    parts = df.withColumn("repetition", F.pmod(F.xxhash64("a"), F.lit(3)))
+    metrics = [("LinearRegression-MSE", utility_metrics(["a", "b"], "regression")[0][1])]
+    rows = score_table({"synthetic": parts, "GT": df}, df, df, metrics).collect()
+    assert sorted((r.model, r.repetition) for r in rows) == [("GT", 0), ("synthetic", 0), ("synthetic", 1), ("synthetic", 2)]
+    assert all(r.error is None and r.score > 0 for r in rows)
+
+
+def test_null_rows_do_not_bend_a_fit(spark):
+    rows = [(float(x), 2.0 * x + 1) for x in range(50)] + [(None, 5.0), (7.0, None)]
+    df = spark.createDataFrame(rows, "a double, target double")
+    weights, intercept = utility.bayesian_ridge(df, ["a"], "target")
+    assert weights[0] == pytest.approx(2, abs=1e-4) and intercept == pytest.approx(1, abs=1e-2)
+    far = df.withColumns({"a": F.col("a") + 1e9, "target": F.col("target") + 1e9})
+    assert utility.bayesian_ridge(far, ["a"], "target")[0][0] == pytest.approx(2, abs=1e-4)
+
+
+def test_null_rows_are_an_error_for_classifiers(spark):
+    df = spark.createDataFrame([(1.0, 0), (None, 1), (3.0, 1)], "a double, target int")
+    with pytest.raises(Exception, match="(?i)null|nan|invalid"):
+        utility.utility_classification(df, df, ["a"], "DecisionTreeClassifier").collect()
 
 
 def test_default_metrics_by_task():
-    names = [n for n, _ in default_metrics(["a", "b", "target"], "classification")]
+    names = metric_names(default_metrics(["a", "b", "target"], "classification"))
     assert len(names) == 14 and names[-1] == "privacy-Dub"
-    assert [n for n, _ in default_metrics(["a", "target"], "regression")][:4] == [
+    assert metric_names(default_metrics(["a", "target"], "regression"))[:4] == [
         "LinearRegression-MSE", "Ridge-MSE", "Lasso-MSE", "BayesianRidge-MSE",
     ]
