@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
 
 from tabweave.operators import association, shifts
 from tabweave.session import durable
@@ -89,6 +90,18 @@ def eta_matrix_one_sided(spark, sf):
     return trimmed(association.eta_matrix(documents, ["lang", "source"], ["n_chars"], symmetric=False), 6, "value")
 
 
+@query(
+    f"""WITH {SALES_SQL}, s AS (SELECT band, month > 6 AS late FROM sales),
+    cells AS (SELECT band, late, count(*) AS n FROM s GROUP BY ALL),
+    sides AS (SELECT late, count(*) AS size FROM s GROUP BY ALL), classes AS (SELECT band, count(*) AS n FROM s GROUP BY ALL)
+    SELECT 'band' AS "column", 'late' AS other, {r("1 - (SELECT sum(n * ln(n / size)) FROM cells JOIN sides USING (late)) / (SELECT sum(n * ln(n / (SELECT count(*) FROM s))) FROM classes)", 5)} AS value"""
+)
+def pseudo_r2_two_values(spark, sf):
+    """On a column of two values the fitted probabilities are the shares, so the likelihoods are counts."""
+    rows = sales(spark, sf).withColumn("late", F.when(F.col("month") > 6, 1).otherwise(0))
+    return trimmed(association.pseudo_r2(rows, "band", "late"), 5, "value")
+
+
 @query()
 def pseudo_r2(spark, sf):
     return association.pseudo_r2(sales(spark, sf), "band", "month")

@@ -215,11 +215,18 @@ def dcr_mean(spark, sf):
     return trimmed(privacy.dcr_mean([ours], theirs, ["nation", "balance"]), 6, "score")
 
 
-@query()
+_GAP = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) ** 2" for c in SALES_CONTS) + ")"
+
+
+@query(
+    f"""WITH {SPLIT_SQL},
+    a AS (SELECT row_number() OVER () AS at, * FROM ({_SCALED('train', SALES_CONTS)})), b AS ({_SCALED('test', SALES_CONTS)})
+    SELECT {r('avg(d)')} AS score FROM (SELECT min({_GAP}) AS d FROM a CROSS JOIN b GROUP BY a.at)"""
+)
 def dcr_mean_orders(spark, sf):
     """Training orders against test orders; both sides grow with the table."""
     train, test = parts(spark, sf)
-    return privacy.dcr_mean([test], train, SALES_CONTS)
+    return trimmed(privacy.dcr_mean([test], train, SALES_CONTS), 6, "score")
 
 
 def _classify(model):
@@ -275,11 +282,41 @@ def utility_BayesianRidge(spark, sf):
     return utility.mse(pred)
 
 
-@query()
+# Least squares with two features from their centred products.
+_TWO = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in SALES_CONTS)
+
+
+@query(
+    f"""WITH {SPLIT_SQL},
+    z AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SALES_CONTS)} FROM train),
+    x AS (SELECT price AS p, month AS m, trunc(duty) AS y FROM (SELECT {_TWO} FROM train CROSS JOIN z)),
+    t AS (SELECT price AS p, month AS m, duty AS y FROM (SELECT {_TWO} FROM test CROSS JOIN z)),
+    g AS (SELECT avg(p) AS ap, avg(m) AS am, avg(y) AS ay, var_pop(p) AS pp, var_pop(m) AS mm, covar_pop(p, m) AS pm,
+      covar_pop(p, y) AS py, covar_pop(m, y) AS my FROM x),
+    f AS (SELECT *, (py * mm - my * pm) / (pp * mm - pm * pm) AS bp, (my * pp - py * pm) / (pp * mm - pm * pm) AS bm FROM g)
+    SELECT {r("avg((y - (ay + bp * (p - ap) + bm * (m - am))) ** 2)", 5)} AS score FROM t CROSS JOIN f"""
+)
 def utility_truncated_target(spark, sf):
     train, test = parts(spark, sf)
     scaler = fidelity.fit_scaler(train, SALES_CONTS)
-    return utility.mse(utility.utility_regression(train, test, ["price", "month"], "LinearRegression", "duty", scaler, truncate_target=True))
+    pred = utility.utility_regression(train, test, ["price", "month"], "LinearRegression", "duty", scaler, truncate_target=True)
+    return trimmed(utility.mse(pred), 5, "score")
+
+
+@query(
+    f"""WITH {SPLIT_SQL}, c AS (SELECT DISTINCT month > 6 AS late FROM test)
+    SELECT {r("avg(2 * h / (a + g))")} AS score FROM (
+      SELECT late, count(*) FILTER ((month > 6) = late) AS h, count(*) FILTER ((month > 6) = late) AS a,
+        count(*) FILTER ((month > 6) = late) AS g FROM test CROSS JOIN c GROUP BY late)"""
+)
+def utility_tree_one_threshold(spark, sf):
+    """A target that one threshold separates: the tree finds it, and every test row is right."""
+    train, test = parts(spark, sf)
+    late = F.when(F.col("month") > 6, 1).otherwise(0)
+    pred = utility.utility_classification(
+        train.withColumn("target", late), test.withColumn("target", late), ["month", "price"], "DecisionTreeClassifier"
+    )
+    return trimmed(utility.f1_macro(pred), 6, "score")
 
 
 @query()

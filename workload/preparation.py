@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tabweave.functions.ordering import hash_rank
 from tabweave.functions.seeded import seeded_hash
 from tabweave.operators import prepare
-from tabweave.sources import read_corpus, read_table, write_corpus, write_generated, write_scores
+from tabweave.sources import read_corpus, read_roles, read_table, target_column, write_corpus, write_generated, write_scores
 from workload.common import hash_sql, query, scratch, table, unit_sql
 
 ORDERS_GAPS_SQL = """
@@ -210,3 +212,31 @@ _COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnfla
 def drop_random_columns(spark, sf):
     keys = table(spark, sf, "conversations").select("conv_id").distinct()
     return prepare.drop_random_columns(keys, "conv_id", _COLUMNS, "l_returnflag")
+
+
+_PART_ROLES = {"p_partkey": "int", "p_name": "str", "p_brand": "str", "p_size": "int", "p_retailprice": "float"}
+
+
+def _described(c: str) -> str:
+    return "Role: Target" if c == "p_brand" else "Role: Feature"
+
+
+@query(
+    "WITH d AS (" + " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS position, '{c}' AS \"column\", '{r}' AS role, '{_described(c)}, values: ' || count(DISTINCT {c}) AS description FROM part"
+        for i, (c, r) in enumerate(_PART_ROLES.items())
+    ) + ") SELECT *, description LIKE '%Role: Target%' AS is_target, 'p_brand' AS target FROM d"
+)
+def read_role_map(spark, sf):
+    """The role map of a table, written from its schema and read back, with the target it names."""
+    from tabweave.roles import infer_roles
+
+    part = table(spark, sf, "part").select(*_PART_ROLES)
+    counts = part.agg(*[F.count_distinct(c).alias(c) for c in _PART_ROLES]).first()
+    texts = {c: f"{_described(c)}, values: {counts[c]}" for c in _PART_ROLES}
+    folders = []
+    for name, content in (("types", infer_roles(part)), ("descriptions", texts)):
+        folders.append(scratch(spark, name))
+        spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(folders[-1])
+    roles = read_roles(spark, *folders)
+    return roles.withColumn("target", F.lit(target_column(roles)))
