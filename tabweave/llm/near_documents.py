@@ -28,7 +28,11 @@ SLOTS = BANDS * BAND_SLOTS
 BATCH_CHARS = 4_000_000
 # Members compared with one leader in one task.
 LEADER_GROUP = 256
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+# Members of each side of a block.
+BLOCK_MEMBERS = 512
+# Members of small buckets in one call.
+BATCH_MEMBERS = 2_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,7 +108,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo = WordHashes()
     for batch in batches:
-        for i, j in slices(batch["text"].str.len().fillna(0).to_numpy(), BATCH_CHARS):
+        for i, j in slices(batch["text"].map(lambda t: len(t or "")).to_numpy(), BATCH_CHARS):
             part = batch.iloc[i:j]
             sets = [multiset(t, memo) for t in part["text"]]
             keys = band_keys(signatures(sets))
@@ -119,7 +123,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo = WordHashes()
     for batch in batches:
-        for i, j in slices(batch["text"].str.len().fillna(0).to_numpy(), BATCH_CHARS):
+        for i, j in slices(batch["text"].map(lambda t: len(t or "")).to_numpy(), BATCH_CHARS):
             part = batch.iloc[i:j]
             sets = [multiset(t, memo) for t in part["text"]]
             # Of documents that share an id, only the one whose multiset is asked for counts.
@@ -182,8 +186,8 @@ def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", least
     smallest key, every one is marked. Rows without a key are left out. Keys are integers. Other columns are left out.
 
     In a bucket all members are first compared with one leader, then with another; what that joins needs no further
-    comparison. Members of different components that still share a bucket are then compared with each other, so no
-    link between components is lost, and groups of any size cost one comparison per member and round.
+    comparison. Members of different components that still share a bucket are then compared with each other in blocks, so
+    no link between components is lost, and what a leader joins costs one comparison per member and round.
     """
     docs = df.select(col(key).cast("bigint").alias("id"), col(text).alias("text")).filter("id IS NOT NULL")
     signed = saved(docs.mapInPandas(_signed, "id bigint, node bigint, shingles bigint, keys array<bigint>"), "signatures")
@@ -221,13 +225,108 @@ def _edges(docs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
         if turn:
             discard(left)
         left = following
-    # What is left: pairs of components in a bucket, then the members of both.
-    sets = left.select("key", "component").distinct()
-    several = sets.alias("a").join(sets.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")))
-    several = several.select("a.key", F.col("a.component").alias("first"), F.col("b.component").alias("second"))
-    pairs = several.join(left.select("key", F.col("component").alias("first"), F.col("node").alias("u")), ["key", "first"])
-    pairs = pairs.join(left.select("key", F.col("component").alias("second"), F.col("node").alias("v")), ["key", "second"])
-    return edges.unionByName(_verified(pairs.select("u", "v").distinct(), payload, least))
+    return edges.unionByName(_left_links(left, signed, payload, least))
+
+
+def _left_links(left: DataFrame, signed: DataFrame, payload: DataFrame, least: float) -> DataFrame:
+    """Links between components that still share a bucket, ``left`` as ``(key, node, component)``.
+
+    In each bucket the members outside of its largest component meet each other and those inside, in blocks; a block
+    compares its members in place and gives one edge per pair of components it joins. A pair that shares several bands
+    is compared in the first of them only.
+    """
+    sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    blocks = largest.select(
+        "key",
+        F.col("top.component").alias("major"),
+        F.ceil((F.col("all") - F.col("top.n")) / BLOCK_MEMBERS).cast("int").alias("minors"),
+        F.ceil(F.col("top.n") / BLOCK_MEMBERS).cast("int").alias("majors"),
+    )
+    placed = left.join(blocks, "key").withColumn("minor", F.col("component") != F.col("major"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    task = lambda a, b, inside: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(inside).alias("inside"))
+    own = F.col("block")
+    tasks = F.when(
+        F.col("minor"),
+        F.concat(
+            F.transform(span(F.col("minors")), lambda i: task(F.least(own, i), F.greatest(own, i), True)),
+            F.transform(span(F.col("majors")), lambda i: task(own, i, False)),
+        ),
+    ).otherwise(F.transform(span(F.col("minors")), lambda i: task(i, own, False)))
+    # Buckets of one block each are compared many at a time, which spares a call for each of very many small ones.
+    batches = max(1, left.count() // BATCH_MEMBERS)
+    small = (F.col("minors") == 1) & (F.col("majors") == 1)
+    batch = F.when(small, F.pmod(F.xxhash64("key"), F.lit(batches))).otherwise(F.col("key"))
+    sent = placed.select(batch.alias("batch"), "key", "node", "component", "minor", "block", F.explode(tasks).alias("task"))
+    # A class's keys and shingles are the same in all of its documents.
+    nodes = left.select("node").distinct()
+    known = signed.join(nodes, "node").dropDuplicates(["node"]).select("node", "keys").join(payload, "node")
+    rows = sent.join(saved(known, "left-members"), "node").select(
+        "batch", "key", F.col("task.a").alias("a"), F.col("task.b").alias("b"), F.col("task.inside").alias("inside"),
+        "node", "component", "minor", "block", "keys", "hashes", "extra",
+    )
+
+    def compare(name, group: pd.DataFrame) -> pd.DataFrame:
+        _, a, b, inside = name
+        order = np.argsort(group["key"].to_numpy(), kind="stable")
+        columns = {c: group[c].to_numpy()[order] for c in ("key", "node", "component", "minor", "block", "keys", "hashes", "extra")}
+        ends = np.append(np.flatnonzero(np.diff(columns["key"])) + 1, len(order))
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        out, start = [], 0
+        for end in ends.tolist():
+            places = np.arange(start, end)
+            minor, block = columns["minor"][start:end], columns["block"][start:end]
+            if inside:
+                mine, theirs = places[minor & (block == a)], places[minor & (block == b)]
+            else:
+                mine, theirs = places[minor], places[~minor]
+            if len(mine) and len(theirs):
+                out += _joining(columns, mine, theirs, bool(inside) and a == b, least, sets)
+            start = end
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return rows.groupBy("batch", "a", "b", "inside").applyInPandas(compare, "u bigint, v bigint")
+
+
+def _joining(columns: dict, mine: np.ndarray, theirs: np.ndarray, same: bool, least: float, sets: dict) -> list[tuple[int, int]]:
+    """Pairs of nodes of one bucket whose links join components; a pair that shares an earlier band is left to that.
+
+    ``sets`` remembers the multisets of the nodes of a task.
+    """
+
+    def opened(at: int) -> tuple[np.ndarray, np.ndarray]:
+        node = columns["node"][at]
+        if node not in sets:
+            sets[node] = _unpacked(columns["hashes"][at], columns["extra"][at])
+        return sets[node]
+
+    key = columns["key"][mine[0]]
+    left_keys, right_keys = np.stack(columns["keys"][mine]), np.stack(columns["keys"][theirs])
+    band = int(np.flatnonzero(left_keys[0] == key)[0])
+    left_of, right_of = columns["component"][mine].astype(np.int64), columns["component"][theirs].astype(np.int64)
+    right_sizes = np.array([opened(j)[1].sum() for j in theirs])
+    out = []
+    for i, at in enumerate(mine.tolist()):
+        own = opened(at)
+        size = own[1].sum()
+        # An overlap cannot exceed the ratio of the sizes.
+        waiting = (np.minimum(right_sizes, size) >= least * np.maximum(right_sizes, size)) & (right_of != left_of[i])
+        if same:
+            waiting[: i + 1] = False
+        if waiting.any() and band:
+            waiting &= ~(right_keys[:, :band] == left_keys[i, :band]).any(axis=1)
+        while waiting.any():
+            j = int(waiting.argmax())
+            waiting[j] = False
+            if overlap(own, opened(theirs[j])) >= least:
+                out.append((int(columns["node"][at]), int(columns["node"][theirs[j]])))
+                joined, into = right_of[j], left_of[i]
+                right_of[right_of == joined] = into
+                left_of[left_of == joined] = into
+                waiting &= right_of != into
+    return out
 
 
 def drop_near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
@@ -235,5 +334,7 @@ def drop_near_documents(df: DataFrame, key: str = "doc_id", text: str = "text",
     smallest key. Of several rows with that key one stays. Rows without a key stay."""
     groups = near_documents(df, key, text, least)
     kept = groups.filter("kept").select(F.col(key).alias("_kept")).distinct()
-    named = df.filter(col(key).isNotNull()).join(kept, col(key).cast("bigint") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates([key]).unionByName(df.filter(col(key).isNull()))
+    # Rows travel as one struct, so that no column of theirs can clash.
+    rows = df.select(F.struct(*[col(c).alias(c) for c in df.columns]).alias("_row"), col(key).cast("bigint").alias("_id"))
+    named = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
+    return named.select("_row.*").unionByName(rows.filter("_id IS NULL").select("_row.*"))
