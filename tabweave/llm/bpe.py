@@ -24,7 +24,9 @@ from tabweave.llm.chunks import ChunkEncoder
 from tabweave.llm.common import BATCH_BYTES, slices
 
 # Pairs whose compatibility is remembered at once.
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 400_000
+# Chunks whose ids are remembered; a decoding worker often runs beside this one.
+MEMO_CHUNKS = 160_000
 # Marks that are one piece when they follow letters.
 MARKS = ".,;:!?"
 
@@ -66,7 +68,7 @@ class BytePairCodec:
         self.rank_of = {token.decode("latin-1"): rank for token, rank in made.items()}
         self.widest = max(map(len, made))
         self.fits: dict[int, bool] = {}
-        self.chunks = ChunkEncoder(lambda texts: [self.encode(t) for t in texts])
+        self.chunks = ChunkEncoder(lambda texts: [self.encode(t) for t in texts], MEMO_CHUNKS)
 
     def _merged(self, token: bytes, below: int) -> list[int]:
         """The token's bytes after all merges of a rank below ``below``, the lowest first."""

@@ -7,6 +7,7 @@ white space are encoded whole.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -41,33 +42,38 @@ def _sure(chunk: str) -> bool:
 
 
 class ChunkEncoder:
-    """``encode_many`` turns texts into lists of ids; of a worker's latest chunks the ids are remembered."""
+    """``encode_many`` turns texts into lists of ids; of a worker's latest ``memo`` chunks or so the ids are remembered."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
-        self.encode_many = encode_many
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], memo: int = MEMO_ENTRIES):
+        self.encode_many, self.memo = encode_many, memo
+        # Ids of a chunk as bytes, or False for a chunk that is not sure.
+        self.young: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, dtype=np.int32).tobytes() for ids in self.encode_many(texts)] if texts else []
+        return [array("i", ids).tobytes() for ids in self.encode_many(texts)] if texts else []
 
-    def _known(self, chunks: list[str]) -> list[bytes | None]:
-        """Ids of a space and each chunk; None for chunks that are not sure."""
+    def _known(self, chunks: list[str]) -> list[bytes | bool]:
+        """Ids of a space and each chunk; False for chunks that are not sure."""
         young, old = self.young, self.old
-        found = [young.get(c, 0) for c in chunks]
+        found = list(map(young.get, chunks))
         fresh = []
-        for i, ids in enumerate(found):
-            if ids == 0:
-                found[i] = old.get(chunks[i], 0) if _sure(chunks[i]) else None
-                if found[i] == 0:
-                    fresh.append(i)
-                elif len(chunks[i]) <= KEPT_CHARS:
-                    young[chunks[i]] = found[i]
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            chunk = chunks[i]
+            ids = old.get(chunk)
+            if ids is None and not _sure(chunk):
+                ids = False
+            if ids is None:
+                fresh.append(i)
+                continue
+            found[i] = ids
+            if len(chunk) <= KEPT_CHARS:
+                young[chunk] = ids
         for i, ids in zip(fresh, self._packed([" " + chunks[i] for i in fresh])):
             found[i] = ids
             if len(chunks[i]) <= KEPT_CHARS:
                 young[chunks[i]] = ids
-        if len(young) >= MEMO_ENTRIES // 2:
+        if len(young) >= self.memo // 2:
             self.old, self.young = young, {}
         return found
 
@@ -77,7 +83,7 @@ class ChunkEncoder:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         codes, offsets, chunks = dictionary_chunks(texts, lambda t: pc.split_pattern(t, " "))
         packed = self._known(chunks)
-        unsure = np.array([p is None for p in packed], dtype=bool)
+        unsure = np.array([p is False for p in packed], dtype=bool)
         # A text's first chunk has no space before it: it gets an entry of its own, as has a text encoded whole.
         heads = codes[offsets[:-1]]
         inner = unsure[codes]

@@ -18,9 +18,9 @@ from tabweave.session import checkpoint_folder
 
 SHINGLE_WORDS = 5
 # Entries a per-worker memo may hold before it starts afresh.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 # Bytes of text handled together, at least one document.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 NOT_WORD = re.compile(r"[\W_]+")
 
