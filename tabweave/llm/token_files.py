@@ -54,13 +54,17 @@ class LibraryEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
         rule = self.tokenizer.pre_tokenizer
         plain = isinstance(rule, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         self.direct = plain and rule.use_regex and not rule.add_prefix_space
         self.marks: dict[str, list[int]] = {"": []}
 
     def _piece(self, piece: str) -> list[int]:
-        spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
+            spelled = self.space + piece[1:]
+        else:
+            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         return [token.id for token in self.model.tokenize(spelled)]
 
     def _known(self, text: str) -> list[int] | None:
