@@ -56,7 +56,18 @@ def test_packing_holds_all_that_is_left(stages):
     assert got == want
 
 
-def test_run(spark, stages):
+def test_run_applies_the_stages_in_order(spark, monkeypatch):
     assert corpus_pipeline.ORACLE_SQL is None
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
-    assert ids == {r.doc_id for r in stages[3][0].select("doc_id").collect()}
+    calls = []
+
+    def stage(name, limit):
+        def apply(spark, docs, sf_dir):
+            calls.append((name, docs.count(), sf_dir))
+            return docs.filter(f"doc_id < {limit}")
+
+        return name, apply
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a", 100), stage("b", 50), stage("c", 20)])
+    sf = "/root/testdata/sf0.001"
+    assert corpus_pipeline.run(spark, sf).count() == 20
+    assert calls == [("a", 200, sf), ("b", 100, sf), ("c", 50, sf)]
