@@ -56,7 +56,8 @@ def _roots(found: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
 
 def _block(left: pd.DataFrame, right: pd.DataFrame, same: bool, least: float) -> pd.DataFrame:
     """Links and local components of one block; ``same`` says that both sides are the same rows."""
-    rows, cols = unit_rows(np.stack(left["vector"].to_numpy())), unit_rows(np.stack(right["vector"].to_numpy()))
+    # Stored vectors may be single precision; lengths and doubtful products need double.
+    rows, cols = (unit_rows(np.stack(side["vector"].to_numpy()).astype(float)) for side in (left, right))
     found = np.concatenate([linked(rows[i : i + 1024], cols, least) for i in range(0, len(rows), 1024)])
     ids, others = left["rep"].to_numpy(np.int64), right["rep"].to_numpy(np.int64)
     if same:

@@ -68,6 +68,21 @@ def test_the_limit_is_exact():
         assert em.linked(a, b, 0.95)[0, 0] == is_linked
 
 
+def test_float_vectors_next_to_the_limit(spark):
+    draw = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one = unit(draw.normal(size=(20_000, 64)))
+    aside = draw.normal(size=one.shape)
+    aside = unit(aside - (aside * one).sum(axis=1, keepdims=True) * one)
+    one, two = (x.astype("float32").astype(float) for x in (one, 0.95 * one + np.sqrt(1 - 0.95**2) * aside))
+    off = (unit(one) * unit(two)).sum(axis=1) - 0.95
+    planted = np.concatenate([np.flatnonzero(side & (np.abs(off) < 1e-8) & (np.abs(off) > 1e-13))[:150] for side in (off < 0, off > 0)])
+    vectors = np.concatenate((one[planted], two[planted]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in em.embedding_components(df, cell_rows=60).collect()}
+    assert got == brute(list(range(300 * 2)), vectors) and sum(n for n, _, _ in got.values()) == 300
+
+
 def test_query(spark):
     from tabweave.llm.queries import op1_embedding_components
 
