@@ -35,15 +35,25 @@ BROADCAST_BYTES = 8_000_000
 MAX_DEPTH = 24
 
 # Element and attribute names of HTML and of common page parts.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp"
+    " math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mfenced mstyle mpadded mphantom menclose mtable mtr mtd semantics"
+    " object canvas video audio".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object video audio textarea select".split())
+RAW = frozenset("script style noscript template iframe svg textarea select annotation annotation-xml".split())
 APART = frozenset("head nav footer aside form button dialog menu header".split()) | RAW
 APART_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert sidebar menu nav"
     " navbar navigation breadcrumb breadcrumbs footer comment comments replies respond disqus social share sharing related recommended newsletter subscribe"
-    " signup login search popup modal overlay pagination pager toolbar skip".split()
+    " signup login search popup modal overlay pagination pager toolbar skip"
+    " ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad cookie-banner cookie-bar cookie-consent cookie-notice side-bar site-footer site-nav main-nav"
+    " main-menu nav-bar nav-menu page-footer comment-form comment-list comment-section comments-area related-posts related-articles share-buttons social-links"
+    " social-share newsletter-signup search-form skip-link".split()
 )
+COMMENT_NAMES = frozenset("comment comments replies respond disqus comment-list comment-section comments-area".split())
+# Elements of running text: a name on them is no sign of a page part.
+TEXT_NAMES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figure figcaption caption".split())
 MAIN_NAMES = frozenset("article main".split())
 CLOSED_BY = {
     "p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()),
@@ -59,6 +69,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
+JOINT = re.compile(r"[-_]+")
 
 
 class Block:
@@ -70,12 +81,17 @@ class Block:
         self.text, self.path, self.apart, self.above = text, path, apart, above
 
 
-def read_page(source: str) -> tuple[list[Block], list[tuple[str, bool, bool]]]:
-    """Blocks in page order, and ``(path, apart, main)`` of each element that is no inline one."""
+def read_page(source: str, confirmed: frozenset[str] | set[str] | None = None) -> tuple[list[Block], list[tuple[str, bool, bool]]]:
+    """Blocks in page order, and ``(path, apart, main)`` of each element that is no inline one.
+
+    Parts stand apart by their tag or by a whole class name, id or role. Names mark nothing that is or holds most of the
+    page's articles, nor, where there are none, most of its text; with ``confirmed``, only parts at these paths.
+    """
     blocks: list[Block] = []
-    elements: list[tuple[str, bool, bool]] = []
-    # Open elements: name, number, path, whether it or one above is apart, whether it is in an article.
-    stack: list[tuple[str, int, str, bool, bool]] = [("", -1, "", False, False)]
+    # Elements: path, number of the one around it, the tag and the names that set it apart, whether it is an article.
+    seen: list[tuple[str, int, str, frozenset[str], bool]] = []
+    # Open elements: name, number, path, whether it is in an article.
+    stack: list[tuple[str, int, str, bool]] = [("", -1, "", False)]
     held: list[str] = []
     at = 0
 
@@ -83,7 +99,7 @@ def read_page(source: str) -> tuple[list[Block], list[tuple[str, bool, bool]]]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                blocks.append(Block(text, stack[-1][2], stack[-1][3], tuple(e[1] for e in stack[1:])))
+                blocks.append(Block(text, stack[-1][2], False, tuple(e[1] for e in stack[1:])))
             held.clear()
 
     def close(names: frozenset[str], scopes: frozenset[str]) -> None:
@@ -125,16 +141,64 @@ def read_page(source: str) -> tuple[list[Block], list[tuple[str, bool, bool]]]:
             continue
         if name in VOID or rest.endswith("/"):
             continue
-        words = [w for a in ATTRIBUTE.finditer(rest) for w in SPLIT.split((a[2] or a[3] or a[4] or "").lower()) if w]
-        _, _, path, apart, inside = stack[-1]
+        values = " ".join(a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(rest)).lower()
+        words = [w for w in SPLIT.split(values) if w]
+        _, _, path, inside = stack[-1]
         if len(stack) <= MAX_DEPTH:
             path = f"{path}/{name}" + "".join(f".{w}" for w in words[:4])
-        own = name in APART and not (name == "header" and inside) or not APART_NAMES.isdisjoint(words) and name not in ("body", "html")
-        main = name in MAIN_NAMES or "main" in words
-        elements.append((path, apart or own, main and not (apart or own)))
-        stack.append((name, len(elements) - 1, path, apart or own, inside or name == "article"))
+        whole = frozenset(JOINT.sub("-", v) for v in values.split())
+        names = APART_NAMES & whole if name not in ("body", "html") and name not in TEXT_NAMES else frozenset()
+        if confirmed is not None and path not in confirmed:
+            names = frozenset()
+        tag = "" if name not in APART or (name == "header" and inside) else name
+        seen.append((path, stack[-1][1], tag, names, name in MAIN_NAMES or "main" in whole))
+        stack.append((name, len(seen) - 1, path, inside or name == "article"))
     flush()
-    return blocks, elements
+    return blocks, _settle_parts(blocks, seen)
+
+
+def _settle_parts(blocks: list[Block], seen: list[tuple[str, int, str, frozenset[str], bool]]) -> list[tuple[str, bool, bool]]:
+    """``(path, apart, main)`` of the elements; marks the blocks that stand apart."""
+    count = len(seen)
+
+    def spread(own: list[bool]) -> list[bool]:
+        out = []
+        for i, mark in enumerate(own):
+            up = seen[i][1]
+            out.append(mark or (up >= 0 and out[up]))
+        return out
+
+    # A form may be laid around the whole page.
+    by_tag = spread([e[2] not in ("", "form") for e in seen])
+    articles = [e[4] and not t for e, t in zip(seen, by_tag)]
+    in_article = spread(articles)
+    holds = list(articles)
+    for i in range(count - 1, -1, -1):
+        if holds[i] and seen[i][1] >= 0:
+            holds[seen[i][1]] = True
+    named = any(articles)
+    whole, letters = 0, [0] * count
+    for block in blocks:
+        if block.above and by_tag[block.above[-1]]:
+            continue
+        if not named or (block.above and in_article[block.above[-1]]):
+            whole += len(block.text)
+            for i in block.above:
+                letters[i] += len(block.text)
+    marked = []
+    for (_, _, tag, names, _), most, held in zip(seen, letters, holds):
+        if named:
+            spared = held and 2 * most >= whole
+        else:
+            spared = bool(whole) and most >= MAIN_SHARE * whole and COMMENT_NAMES.isdisjoint(names)
+        marked.append(bool(tag or names) and not spared)
+    apart = spread([m or t for m, t in zip(marked, by_tag)])
+    if named and all(a for a, article in zip(apart, articles) if article):
+        # All articles were marked by names: names are wrong here.
+        apart = spread([t or (m and not h) for m, t, h in zip(marked, by_tag, holds)])
+    for block in blocks:
+        block.apart = bool(block.above) and apart[block.above[-1]]
+    return [(e[0], a, e[4] and not a) for e, a in zip(seen, apart)]
 
 
 def _number(text: str) -> int:
@@ -184,6 +248,14 @@ def host_templates(pages: DataFrame) -> DataFrame:
     return classes.groupBy("host").agg(F.collect_list(F.struct("on", "tokens")).alias("classes"))
 
 
+def confirmed_parts(classes: list) -> list[str] | None:
+    """Paths of elements that stand apart and are in the template; None for a host of too few pages to tell."""
+    tokens = [t for group in classes for t in group["tokens"]]
+    if not tokens or tokens[0]["pages"] < LEAST_PAGES:
+        return None
+    return sorted({t["path"] for t in tokens if t["apart"] and not t["text"]})
+
+
 def main_paths(classes: list) -> tuple[list[str], list[str]]:
     """The paths of a host's main slot and the numbers of its repeated texts, from its frequent classes."""
     skeleton, repeated = [], []
@@ -204,9 +276,9 @@ def main_paths(classes: list) -> tuple[list[str], list[str]]:
     return ([max(inner, key=lambda p: (p.count("/"), p))] if inner else []), repeated
 
 
-def page_text(source: str, main: set[str], repeated: set[str]) -> str:
+def page_text(source: str, main: set[str], repeated: set[str], confirmed: set[str] | None = None) -> str:
     """The text of the main slot; of a page without it, of its articles, or else of its body without template texts."""
-    blocks, elements = read_page(source)
+    blocks, elements = read_page(source, confirmed)
     chosen = {i for i, (path, apart, _) in enumerate(elements) if path in main and not apart}
     named = {i for i, (_, _, is_main) in enumerate(elements) if is_main}
     chosen = chosen | named if named else chosen
@@ -232,10 +304,10 @@ def main_text(df: DataFrame, url: str = "url", source: str = "html", name: str =
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [main_paths(c) for c in batch["classes"]]
-            yield pd.DataFrame({"_host": batch["host"], "_main": [f[0] for f in found], "_repeated": [f[1] for f in found]})
+            yield pd.DataFrame({"_host": batch["host"], "_main": [f[0] for f in found], "_repeated": [f[1] for f in found], "_parts": [confirmed_parts(c) for c in batch["classes"]]})
 
-    templates = saved(classes.mapInPandas(settle, "_host string, _main array<string>, _repeated array<string>"), "templates")
-    size = templates.agg(F.sum(F.octet_length(F.to_json(F.struct("_host", "_main", "_repeated"))))).first()[0] or 0
+    templates = saved(classes.mapInPandas(settle, "_host string, _main array<string>, _repeated array<string>, _parts array<string>"), "templates")
+    size = templates.agg(F.sum(F.octet_length(F.to_json(F.struct("_host", "_main", "_repeated", "_parts"))))).first()[0] or 0
     rows = df.select(
         F.struct(*([col(f.name).alias(f.name) for f in rest] or [F.lit(True).alias("_")])).alias("_row"), col(source).alias("_html"), host.alias("_at")
     )
@@ -243,10 +315,10 @@ def main_text(df: DataFrame, url: str = "url", source: str = "html", name: str =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
-            texts = [page_text(s, set(m or ()), set(r or ())) if s else "" for s, m, r in pages]
+            pages = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)))
+            texts = [page_text(s, set(m or ()), set(r or ()), None if p is None else set(p)) if s else "" for s, m, r, p in pages]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_out"])
 
     schema = T.StructType([rows.schema["_row"], T.StructField("_out", T.StringType())])
-    found = joined.select("_row", "_html", "_main", "_repeated").mapInArrow(extract, schema)
+    found = joined.select("_row", "_html", "_main", "_repeated", "_parts").mapInArrow(extract, schema)
     return found.select(*[F.col("_row")[f.name].alias(f.name) for f in rest], F.col("_out").alias(name))

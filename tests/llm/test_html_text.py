@@ -63,6 +63,23 @@ def test_equal_vectors_form_classes(spark):
     assert "/body/ul" in {t["path"] for t in by_path["/body"][1]} and "/body/ul/li" not in {t["path"] for t in by_path["/body"][1]}
 
 
+def test_names_do_not_lose_the_article(spark):
+    shell = "<html><body><nav>menu</nav>{}<footer>end</footer></body></html>"
+    bodies = {
+        "wrap": "<div class='content-sidebar-wrap'><article><p>text {i}</p></article></div>", "main": "<main class='site-main has-sidebar'><p>text {i}</p></main>",
+        "post": "<article class='post comments-open'><p>text {i}</p></article>", "holds": "<div class='search'><article class='social'><p>text {i}</p></article></div>",
+        "form": "<form id='aspnet'><article><p>text {i}</p></article></form>", "note": "<article><p>text</p><p class='notice'>{i}</p></article>",
+        "once": "<article><p>text {i}</p></article>", "math": "<article><p>text <math><mi>{i}</mi></math></p><object>o</object> <canvas>c</canvas></article>",
+    }
+    rows = [(100 * k + i, f"http://{name}.example.org/{i}", shell.format(body.format(i=i))) for k, (name, body) in enumerate(bodies.items()) for i in range(8)]
+    rows[6 * 8] = (600, "http://once.example.org/0", shell.format("<article><p>text 0</p><div class='alert'>kept</div></article>"))
+    got = extracted(spark, rows)
+    for k, name in enumerate(bodies):
+        for i in range(8):
+            want = {"math": f"text {i} o c", "once": f"text {i} kept" if i == 0 else f"text {i}"}.get(name, f"text {i}")
+            assert got[100 * k + i] == want, name
+
+
 BLOCK = re.compile(r"</?(?:p|h1|br|article)[^>]*>")
 
 
