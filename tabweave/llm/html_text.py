@@ -3,11 +3,12 @@
 Every page is read as a stream of tokens: elements with the path they stand at, and blocks of text at a path. Over the
 pages of a host a token has an occurrence vector, how often each page holds it; it is summed up as a number, so that equal
 vectors give equal numbers whatever the order of the pages. Tokens with equal vectors on enough pages form an equivalence
-class. Classes whose tokens occur once on nearly every page are the skeleton; classes whose tokens stand below a skeleton
-element are nested in it (lists of links in a menu, paragraphs in an article). Text tokens in a frequent class are part of
-the template. What is left between template tokens are slots. The main slot is the skeleton's article, or the innermost
-skeleton element that holds most of the text that varies; it is extracted without the parts that name themselves menus,
-notices, adverts, forms or comments.
+class. A class is valid if it has an element that stands once on each of its pages; it may be that of a layout which only
+some pages of the host follow. Classes of nearly all pages are the skeleton, other valid classes are nested in the slot of
+the skeleton that their elements stand below. Text tokens of valid classes and of nearly all pages are template and are left
+out wherever they stand, in articles too. The main slot is the article of the skeleton or layout, or else the innermost
+element that holds most of the text; the names of tags and classes decide where the template has such elements, and on
+pages without a template. It is extracted without the parts that name themselves menus, notices, adverts, forms or comments.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from tabweave.llm.common import col, saved
 # Share of a host's pages on which a token of the template occurs, and of its variable text that a main slot holds.
 FREQUENT = 0.8
 MAIN_SHARE = 0.6
+# Share of a host's pages that a layout of its own has.
+LAYOUT = 0.05
 # Pages of a host from which repeated text counts as template.
 LEAST_PAGES = 5
+# Pages on which a text inside an article has to be the same before it counts as template.
+ARTICLE_PAGES = 20
 BROADCAST_BYTES = 8_000_000
 # Elements deeper than this share the path of the one at this depth.
 MAX_DEPTH = 24
@@ -205,19 +210,27 @@ def _number(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big") >> 4
 
 
+def block_token(block: Block) -> str:
+    """The number of a text token: the same text at another path is another token."""
+    return f"{_number(f'{block.path} {block.text}'):x}"
+
+
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tokens of each page: how often it has them and, for elements, the letters of all text below that is not apart."""
+    """Tokens of each page: how often it has them and, for elements, the letters of all text below that
+    is not apart and their millionths of those of the page."""
     for batch in batches:
         rows = []
         for host, page, source in zip(batch["host"], batch["page"], batch["html"]):
             blocks, elements = read_page(source)
             counts: dict[tuple[str, str], list] = {}
             letters = [0] * len(elements)
+            whole = 0
             for block in blocks:
                 if not block.apart:
+                    whole += len(block.text)
                     for i in block.above:
                         letters[i] += len(block.text)
-                entry = counts.setdefault((block.path, f"{_number(block.text):x}"), [0, 0, block.apart, False])
+                entry = counts.setdefault((block.path, block_token(block)), [0, 0, block.apart, False])
                 entry[0] += 1
                 entry[1] += len(block.text)
             for (path, apart, main), below in zip(elements, letters):
@@ -225,25 +238,26 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 entry[0] += 1
                 entry[1] += below
             for (path, text), (n, size, apart, main) in counts.items():
-                rows.append((host, path, text, n, size, apart, main, _number(f"{page}|{n}")))
-        yield pd.DataFrame(rows, columns=["host", "path", "text", "n", "letters", "apart", "main", "vector"])
+                rows.append((host, path, text, n, size, 1_000_000 * size // max(1, whole), apart, main, _number(f"{page}|{n}")))
+        yield pd.DataFrame(rows, columns=["host", "path", "text", "n", "letters", "share", "apart", "main", "vector"])
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
     """``(host, classes)`` from ``(host, page, html)``: the frequent equivalence classes of each host.
 
     Tokens are counted across the cluster; of a host only the tokens of frequent classes meet in one row, which are no
-    more than a page has on average, divided by ``FREQUENT``.
+    more than a page has on average, divided by ``LAYOUT``.
     """
-    tokens = pages.mapInPandas(_tokens, "host string, path string, text string, n bigint, letters bigint, apart boolean, main boolean, vector bigint")
+    tokens = pages.mapInPandas(_tokens, "host string, path string, text string, n bigint, letters bigint, share bigint, apart boolean, main boolean, vector bigint")
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     vectors = tokens.groupBy("host", "path", "text").agg(
-        F.count("*").alias("on"), F.sum("n").alias("n"), F.sum("letters").alias("letters"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"),
+        F.count("*").alias("on"), F.sum("n").alias("n"), F.sum("letters").alias("letters"), F.sum("share").alias("share"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"),
         F.max("apart").alias("apart"), F.max("main").alias("main"),
     )
     # Classes: equal vectors. Their number of pages is part of the vector.
-    frequent = vectors.join(totals, "host").filter(F.col("on") >= FREQUENT * F.col("pages"))
-    token = F.struct("path", "text", "n", "letters", "apart", "main", "pages")
+    nearly_all, layout = F.col("on") >= FREQUENT * F.col("pages"), (F.col("on") >= LAYOUT * F.col("pages")) & (F.col("on") >= LEAST_PAGES)
+    frequent = vectors.join(totals, "host").filter(nearly_all | layout)
+    token = F.struct("path", "text", "n", "letters", "share", "apart", "main", "pages")
     classes = frequent.groupBy("host", "on", "vector").agg(F.collect_list(token).alias("tokens"))
     return classes.groupBy("host").agg(F.collect_list(F.struct("on", "tokens")).alias("classes"))
 
@@ -256,36 +270,84 @@ def confirmed_parts(classes: list) -> list[str] | None:
     return sorted({t["path"] for t in tokens if t["apart"] and not t["text"]})
 
 
-def main_paths(classes: list) -> tuple[list[str], list[str]]:
-    """The paths of a host's main slot and the numbers of its repeated texts, from its frequent classes."""
-    skeleton, repeated = [], []
+def outermost(paths: list[str]) -> list[str]:
+    return [p for p in paths if not any(p.startswith(f"{q}/") for q in paths)]
+
+
+def main_paths(classes: list) -> tuple[list[str], list[str], list[str], list[str]]:
+    """The paths of a host's main slot, those of the main slots of its layouts nested in it, the numbers of the texts of
+    nearly all pages, and those of texts that a valid class holds."""
+    skeleton, layouts, repeated, shared = [], [], [], []
+    articles = tuple({f"{t['path']}/" for group in classes for t in group["tokens"] if t["main"]})
     for group in classes:
-        for token in group["tokens"]:
-            if token["text"]:
-                if group["on"] >= LEAST_PAGES:
-                    repeated.append(token["text"])
-            elif token["n"] == group["on"] and not token["apart"]:
-                # One per page: an element of the skeleton, around a slot.
-                skeleton.append((token["path"], token["letters"], token["main"]))
-    named = sorted(path for path, _, main in skeleton if main)
-    if named:
-        # The outermost; an article inside it is part of it.
-        return [p for p in named if not any(p.startswith(f"{q}/") for q in named)], repeated
-    most = max((letters for _, letters, _ in skeleton), default=0)
-    inner = [path for path, letters, _ in skeleton if letters >= MAIN_SHARE * most and letters]
-    return ([max(inner, key=lambda p: (p.count("/"), p))] if inner else []), repeated
-
-
-def page_text(source: str, main: set[str], repeated: set[str], confirmed: set[str] | None = None) -> str:
-    """The text of the main slot; of a page without it, of its articles, or else of its body without template texts."""
+        # One per page: an element around a slot.
+        once = [t for t in group["tokens"] if not t["text"] and t["n"] == group["on"]]
+        texts = [t["text"] for t in group["tokens"] if t["text"] and (group["on"] >= ARTICLE_PAGES or not f"{t['path']}/".startswith(articles))]
+        everywhere = any(group["on"] >= FREQUENT * t["pages"] for t in group["tokens"][:1])
+        if group["on"] >= LEAST_PAGES:
+            if everywhere:
+                repeated += texts
+            elif once:
+                shared += texts
+        once = [t for t in once if not t["apart"]]
+        if everywhere:
+            skeleton += once
+        elif once:
+            layouts.append(once)
+    named = sorted(t["path"] for t in skeleton if t["main"])
+    most = max((t["letters"] for t in skeleton), default=0)
+    inner = [t["path"] for t in skeleton if t["letters"] >= MAIN_SHARE * most and t["letters"]]
+    # The outermost article; one inside it is part of it.
+    main = outermost(named) if named else [max(inner, key=lambda p: (p.count("/"), p))] if inner else []
+    nested = []
+    for once in layouts:
+        # By position: what stands in the slot that the skeleton leaves open, or beside it on pages that lack it.
+        below = [t for t in once if named or not main or t["path"].startswith(f"{main[0]}/")]
+        if own := [t["path"] for t in below if t["main"]]:
+            nested += outermost(sorted(own))
+        elif deep := [t["path"] for t in below if t["share"] >= MAIN_SHARE * 1_000_000 * t["n"]]:
+            nested.append(max(deep, key=lambda p: (p.count("/"), p)))
+    return main, sorted(set(nested)), repeated, shared
+
+
+def page_text(
+    source: str, main: set[str], repeated: set[str], confirmed: set[str] | None = None, nested: set[str] | frozenset = frozenset(),
+    shared: set[str] | frozenset = frozenset(),
+) -> str:
+    """The text of the main slot of the page's layout without template texts; of a page without it, of its articles, or
+    else of its body.
+
+    Texts that all or most of the slot consists of are no template: such pages are copies.
+    """
     blocks, elements = read_page(source, confirmed)
-    chosen = {i for i, (path, apart, _) in enumerate(elements) if path in main and not apart}
-    named = {i for i, (_, _, is_main) in enumerate(elements) if is_main}
-    chosen = chosen | named if named else chosen
-    inside = [b for b in blocks if not b.apart and (not chosen or not chosen.isdisjoint(b.above))]
-    if not named:
-        inside = [b for b in inside if f"{_number(b.text):x}" not in repeated]
-    return " ".join(b.text for b in inside)
+    free = [b for b in blocks if not b.apart]
+    tokens = [block_token(b) if repeated or shared else "" for b in free]
+
+    def within(chosen: set[int]) -> list[int]:
+        return [k for k, b in enumerate(free) if not chosen or not chosen.isdisjoint(b.above)]
+
+    def size(places: list[int]) -> int:
+        return sum(len(free[k].text) for k in places if tokens[k] not in repeated)
+
+    def at(paths) -> set[int]:
+        return {i for i, (path, apart, _) in enumerate(elements) if path in paths and not apart}
+
+    chosen, named = at(main), {i for i, (_, _, is_main) in enumerate(elements) if is_main}
+    if not any(elements[i][2] for i in chosen):
+        layout = at(nested)
+        articles = {i for i in layout if elements[i][2]}
+        if layout:
+            chosen = articles or layout
+        elif named and (not chosen or size(within(named)) >= MAIN_SHARE * size(within(chosen))):
+            chosen = set()
+    # Further articles of the page belong to its text.
+    chosen = chosen | named
+    inside = within(chosen)
+    left = [k for k in inside if tokens[k] not in repeated] or inside
+    own = [k for k in left if tokens[k] not in shared]
+    if 2 * sum(len(free[k].text) for k in own) >= sum(len(free[k].text) for k in left):
+        left = own
+    return " ".join(free[k].text for k in left)
 
 
 def main_text(df: DataFrame, url: str = "url", source: str = "html", name: str = "text") -> DataFrame:
@@ -300,14 +362,15 @@ def main_text(df: DataFrame, url: str = "url", source: str = "html", name: str =
     host = F.lower(F.coalesce(F.regexp_extract(col(url), r"^[^/]*//([^/?#]*)", 1), F.lit("")))
     pages = df.select(host.alias("host"), F.xxhash64(col(url), col(source)).alias("page"), F.coalesce(col(source), F.lit("")).alias("html"))
     classes = host_templates(pages)
+    names = ["_main", "_nested", "_repeated", "_shared", "_parts"]
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [main_paths(c) for c in batch["classes"]]
-            yield pd.DataFrame({"_host": batch["host"], "_main": [f[0] for f in found], "_repeated": [f[1] for f in found], "_parts": [confirmed_parts(c) for c in batch["classes"]]})
+            found = [(*main_paths(c), confirmed_parts(c)) for c in batch["classes"]]
+            yield pd.DataFrame({"_host": batch["host"], **{name: [f[i] for f in found] for i, name in enumerate(names)}})
 
-    templates = saved(classes.mapInPandas(settle, "_host string, _main array<string>, _repeated array<string>, _parts array<string>"), "templates")
-    size = templates.agg(F.sum(F.octet_length(F.to_json(F.struct("_host", "_main", "_repeated", "_parts"))))).first()[0] or 0
+    templates = saved(classes.mapInPandas(settle, "_host string, " + ", ".join(f"{n} array<string>" for n in names)), "templates")
+    size = templates.agg(F.sum(F.octet_length(F.to_json(F.struct("_host", *names))))).first()[0] or 0
     rows = df.select(
         F.struct(*([col(f.name).alias(f.name) for f in rest] or [F.lit(True).alias("_")])).alias("_row"), col(source).alias("_html"), host.alias("_at")
     )
@@ -315,10 +378,10 @@ def main_text(df: DataFrame, url: str = "url", source: str = "html", name: str =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)))
-            texts = [page_text(s, set(m or ()), set(r or ()), None if p is None else set(p)) if s else "" for s, m, r, p in pages]
+            pages = zip(*(batch.column(i).to_pylist() for i in range(1, 7)))
+            texts = [page_text(s, set(m or ()), set(r or ()), None if p is None else set(p), set(n or ()), set(h or ())) if s else "" for s, m, n, r, h, p in pages]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_out"])
 
     schema = T.StructType([rows.schema["_row"], T.StructField("_out", T.StringType())])
-    found = joined.select("_row", "_html", "_main", "_repeated", "_parts").mapInArrow(extract, schema)
+    found = joined.select("_row", "_html", *names).mapInArrow(extract, schema)
     return found.select(*[F.col("_row")[f.name].alias(f.name) for f in rest], F.col("_out").alias(name))

@@ -80,6 +80,22 @@ def test_names_do_not_lose_the_article(spark):
             assert got[100 * k + i] == want, name
 
 
+def test_template_text_inside_articles_and_layouts(spark):
+    boiler = "<article><p>Read our terms before use.</p><p>{t}</p></article>"
+    left = "<html><body><div class='a'><div class='link'>{s}</div><div class='words'><p>{t}</p><p>{t}</p><p>Told by the left desk.</p></div></div></body></html>"
+    right = "<html><body><div class='b'><section><div class='story'><p>{t}</p><p>{t}</p></div></section><div class='more'>{s}</div></div></body></html>"
+    third = "<html><body><div class='c'>{s}<article><p>{t}</p></article></div></body></html>"
+    text = lambda i: f"some words of page number {i} " * 4
+    rows = [(i, f"http://b.example.com/{i}", boiler.format(t=text(i))) for i in range(24)]
+    rows += [(100 + i, f"http://l.example.com/{i}", (left, right, third)[i % 3].format(t=text(i), s=f"see {i}")) for i in range(30)]
+    got = extracted(spark, rows)
+    assert all(got[i] == text(i).strip() for i in range(24))
+    for i in range(30):
+        assert got[100 + i] == " ".join([text(i).strip()] * (2, 2, 1)[i % 3])
+    copies = [(i, f"http://c.example.com/{i}", boiler.format(t="Always the same page.")) for i in range(24)]
+    assert set(extracted(spark, copies).values()) == {"Read our terms before use. Always the same page."}
+
+
 BLOCK = re.compile(r"</?(?:p|h1|br|article)[^>]*>")
 
 
