@@ -1,8 +1,9 @@
 """Licence scans: statements and licence files by TF-IDF cosine to templates, inherited along directories.
 
 Only DataFrame functions are used. Texts are cut into statements (lines and sentences); the terms of the statements that
-hold an anchor word are weighted like those of the templates and compared with them by a join on terms. A file that
-states no licence takes that of the nearest directory above it that has a licence file.
+hold an anchor word are weighted like those of the templates and compared with them by a join on terms. Headers (leading
+comments) and licence files are compared with header notices and whole licence texts too, as one vector each, by the idf of
+the scanned files. SPDX identifiers are read as they are. A file that states no licence takes that of the nearest directory above it that has a licence file.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import col
+from tabweave.llm.licence_texts import whole_texts
 
 LEAST_COSINE = 0.6
+# The same for headers and licence files, whose vectors share most common words.
+LEAST_WHOLE = 0.8
 MAX_DEPTH = 64
 
 # Usual statements of public licences.
@@ -32,6 +36,9 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
@@ -39,6 +46,7 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
@@ -49,6 +57,11 @@ TEMPLATES = (
 # Statements without one of these words are no licence statements; each template holds one.
 ANCHOR = r"(?i)licen[cs]e|copyright|rights reserved|redistribut|permission|public domain|public license|waived"
 TERM = r"[a-z0-9]+"
+# An SPDX tag and its first identifier; licences that have one.
+SPDX = r"(?i)SPDX-License-Identifier:[\s(]*([A-Za-z0-9.+-]+)"
+SPDX_LICENCES = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense", "ISC")
+COMMENT_LINE = r"^\s*(#|//|/\*|\*|;|--|%|$)"
+COMMENT_BLOCK = r"^\s*(?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|'''[\\s\\S]*?''')"
 ENDS = r"([.!?;])\s+"
 
 
@@ -79,6 +92,11 @@ def statements(df: DataFrame, key: str, text: str) -> DataFrame:
 def statement_licences(found: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """``(key, place, licence, score)``: the closest template of each statement, if its cosine is ``least`` or more."""
     spark = found.sparkSession
+    tag = F.regexp_replace(F.lower(F.regexp_extract("statement", SPDX, 1)), r"(-only|-or-later|\+)$", "")
+    # A tag names its licence, or one that is not listed; it is not compared.
+    listed = F.create_map(*[F.lit(x) for name in SPDX_LICENCES for x in (name.lower(), name)])
+    tags = found.filter(F.col("statement").rlike(SPDX)).select("key", "place", listed[tag].alias("licence"))
+    found = found.filter(~F.col("statement").rlike(SPDX))
     rows, idf = template_terms()
     # The templates are fixed, so their tables are small whatever the input.
     templates = F.broadcast(spark.createDataFrame(rows, "number int, licence string, term string, weight double"))
@@ -91,13 +109,56 @@ def statement_licences(found: DataFrame, least: float = LEAST_COSINE) -> DataFra
     dots = dots.groupBy("key", "place", "number", "licence").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["key", "place"]).withColumn("score", F.col("dot") / F.col("norm")).filter(F.round("score", 9) >= least)
     best = F.struct(F.round("score", 9).alias("score"), (-F.col("number")).alias("first"), "licence")
-    return scored.groupBy("key", "place").agg(F.max(best).alias("best")).select("key", "place", "best.licence", "best.score")
+    closest = scored.groupBy("key", "place").agg(F.max(best).alias("best")).select("key", "place", "best.licence", "best.score")
+    return closest.unionByName(tags.filter("licence IS NOT NULL").select("key", "place", "licence", F.lit(1.0).alias("score")))
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """``(key, place, whole)`` from ``(key, text, gives)``: the leading comment of each file and all of a licence file."""
+    lines = F.split("text", "\n")
+    ends = F.array_position(F.transform(lines, lambda line: line.rlike(COMMENT_LINE)), False)
+    block = F.regexp_extract("text", COMMENT_BLOCK, 0)
+    lead = F.when(block != "", block).otherwise(F.array_join(F.slice(lines, 1, F.when(ends == 0, F.size(lines)).otherwise(ends - 1).cast("int")), "\n"))
+    stated = rows.filter(F.col("text").rlike(ANCHOR))
+    parts = stated.select("key", F.posexplode(F.array(lead, F.when(F.col("gives"), F.col("text")))).alias("place", "whole"))
+    return parts.filter(F.col("whole").rlike(ANCHOR)).select("key", F.struct("place", F.xxhash64("whole").alias("hash")).alias("place"), "whole")
+
+
+def whole_licences(rows: DataFrame, least: float = LEAST_WHOLE) -> DataFrame:
+    """``(key, licence, score)`` of headers and licence files from ``(key, text, gives)``.
+
+    idf counts all ``rows``. Terms that no template has weigh as much as the mean of the others.
+    """
+    spark = rows.sparkSession
+    texts = whole_texts()
+    counts = [(n, licence, t, c) for n, (licence, text) in enumerate(texts) for t, c in sorted(Counter(re.findall(TERM, text.lower())).items())]
+    # The templates are fixed, so their tables are small whatever the input.
+    vocabulary = sorted({t for _, _, t, _ in counts})
+    known = spark.createDataFrame([(t,) for t in vocabulary], "term string")
+    every = F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"))
+    seen = rows.select(F.explode(F.array_distinct(every)).alias("term")).join(F.broadcast(known), "term").groupBy("term").agg(F.count("*").alias("df"))
+    files = F.broadcast(rows.agg(F.count("*").alias("files")))
+    idf = known.join(seen, "term", "left").crossJoin(files).select("term", (F.log((1 + F.col("files")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    plain = F.broadcast(idf.agg(F.avg("idf").alias("plain")))
+    templates = spark.createDataFrame(counts, "number int, licence string, term string, c int").join(F.broadcast(idf), "term")
+    templates = templates.withColumn("weight", F.col("c") * F.col("idf"))
+    lengths = templates.groupBy("number").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    templates = templates.join(F.broadcast(lengths), "number").select("number", "licence", "term", (F.col("weight") / F.col("length")).alias("weight"))
+    terms = headers(rows).select("key", "place", F.explode(F.regexp_extract_all(F.lower("whole"), F.lit(f"({TERM})"))).alias("term"))
+    own = terms.groupBy("key", "place", "term").agg(F.count("*").alias("n")).join(F.broadcast(idf), "term", "left").crossJoin(plain)
+    own = own.withColumn("own", F.col("n") * F.coalesce("idf", "plain"))
+    norms = own.groupBy("key", "place").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("norm"))
+    dots = own.filter("idf IS NOT NULL").select("key", "place", "term", "own").join(F.broadcast(templates), "term")
+    dots = dots.groupBy("key", "place", "number", "licence").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, ["key", "place"]).select("key", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= least)
+    return scored.groupBy("key").agg(F.max(F.struct("score", "licence")).alias("best")).select("key", "best.licence", "best.score")
 
 
 def scan_licences(files: DataFrame, path: str, text: str, is_licence_file: Column, least: float = LEAST_COSINE) -> DataFrame:
     """``(path, own_licence, own_score, n_statements, inherited_licence, inherited_from, licence)`` per distinct path.
 
-    ``own_licence`` is that of the best statement of the whole text (ties: the alphabetically first licence), null if
+    ``own_licence`` is that of the best statement of the whole text, or of its header or of the licence file as a whole if
+    that is closer (ties: the alphabetically first licence), null if
     none is close enough; null and empty texts state none. A licence file (``is_licence_file``, over the columns of
     ``files``) with an own licence gives it to its directory; of several in a directory the alphabetically first path
     counts. Other files inherit from the nearest directory at or above their own. ``licence`` is the own one, else the
@@ -108,6 +169,10 @@ def scan_licences(files: DataFrame, path: str, text: str, is_licence_file: Colum
     listed = rows.groupBy(col(path).alias("key")).agg(F.max(F.coalesce(is_licence_file, F.lit(False))).alias("gives"))
     found = statement_licences(_places(statements(rows, path, text)), least)
     top = found.groupBy("key").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    texts = rows.select(col(path).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"), F.coalesce(is_licence_file, F.lit(False)).alias("gives"))
+    whole = whole_licences(texts)
+    top = top.join(whole.select("key", F.col("score").alias("whole")), "key", "full").select("key", F.greatest("score", "whole").alias("score"), "n")
+    found = found.select("key", "licence", "score").unionByName(whole)
     named = found.join(top.select("key", F.col("score").alias("top")), "key").filter("score = top").groupBy("key").agg(F.min("licence").alias("licence"))
     own = listed.join(top.join(named, "key"), "key", "left")
     directory = F.regexp_extract("key", r"^(.*)/[^/]*$", 1)

@@ -70,6 +70,26 @@ def test_odd_tables(spark):
     assert lc.scan_licences(df.limit(0), "path", "text", F.lit(True)).count() == 0
 
 
+def test_headers_files_and_identifiers(spark):
+    from tabweave.llm.licence_texts import _gnu, whole_texts
+
+    def wrapped(text, mark):
+        words = text.split()
+        return "\n".join(mark + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+
+    rows = [(f"spdx/{name}", f"# SPDX-License-Identifier: {name}\ncode", False) for name in lc.SPDX_LICENCES]
+    rows += [("spdx/GPL-2.0-only", "// SPDX-License-Identifier: GPL-2.0-only", False), ("spdx/none", "// SPDX-License-Identifier: Zlib", False)]
+    rows += [(f"w{i}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + wrapped(text, ""), True) for i, (_, text) in enumerate(whole_texts())]
+    rows += [(f"h{v}/a.c", wrapped(_gnu("General Public License", v).replace("software:", "software;").replace("tion, either", "tion; either"), " * ") + "\nint main;", False) for v in "23"]
+    rows += [("s/cc", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", False)]
+    rows += [(f"x/{i}", "Plain text about the terms of this and that software and its use in the world.", False) for i in range(30)]
+    got = {p: r.own_licence for p, r in scan(spark, rows).items()}
+    assert {n: got[f"spdx/{n}"] for n in lc.SPDX_LICENCES} == {n: n for n in lc.SPDX_LICENCES}
+    assert got["spdx/GPL-2.0-only"] == "GPL-2.0" and got["spdx/none"] is None
+    assert [got[f"w{i}/LICENSE"] for i in range(len(whole_texts()))] == [n for n, _ in whole_texts()]
+    assert (got["h2/a.c"], got["h3/a.c"], got["s/cc"], got["x/1"]) == ("GPL-2.0", "GPL-3.0", "CC-BY-SA-4.0", None)
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("a", "x")], "path string, text string")
     plan = lc.scan_licences(df, "path", "text", F.lit(False))._jdf.queryExecution().toString()
