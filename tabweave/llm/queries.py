@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, embeddings, fingerprints, html_text, licences, near_documents, packing, quality, token_files, toxicity
+from tabweave.llm import bpe, embeddings, fingerprints, html_text, licences, near_documents, packing, phrases, quality, token_files, toxicity
 from tabweave.sources import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -81,11 +81,38 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf, "documents"), VOCABULARY, END_ID, ids=False)
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return phrases.collocations(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_components, op2_byte_bpe, op3_packing, op4_near_documents, op5_licences, op6_fingerprints, op7_toxicity,
-        op8_quality, op9_main_text, op10_token_files,
+        op8_quality, op9_main_text, op10_token_files, op11_collocations,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_collocations": r"""WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    numbered AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    words AS (SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM numbered),
+    runs AS (SELECT lang, w1, w1 || ' ' || lead(w1, 1) OVER piece AS w2, lead(w1, 2) OVER piece AS x3, lead(w1, 3) OVER piece AS x4,
+      lead(w1, 4) OVER piece AS x5 FROM words WINDOW piece AS (PARTITION BY p ORDER BY i)),
+    phrases AS (SELECT lang, unnest([1, 2, 3, 4, 5]) AS k, unnest([w1, w2, w2 || ' ' || x3, w2 || ' ' || x3 || ' ' || x4,
+      w2 || ' ' || x3 || ' ' || x4 || ' ' || x5]) AS phrase FROM runs),
+    f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS n FROM phrases WHERE phrase IS NOT NULL GROUP BY ALL),
+    totals AS (SELECT lang, sum(n)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY 1),
+    candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 100),
+    inner_phrases AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM candidates, unnest([2, 3, 4]) AS t(m), unnest(range(1, k - m + 2)) AS u(i) WHERE m < k GROUP BY ALL),
+    kept AS (SELECT c.* FROM candidates c LEFT JOIN inner_phrases USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+    cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1 : j], ' ') AS p1, array_to_string(w[j + 1 : k], ' ') AS p2 FROM kept, unnest(range(1, k)) AS t(j)),
+    scored AS (SELECT cuts.lang, cuts.phrase, a, j, x.n AS l, y.n AS r, t.n AS n, (1000 * a * t.n) // (x.n * y.n) AS score FROM cuts
+      JOIN f x ON x.lang = cuts.lang AND x.phrase = p1 JOIN f y ON y.lang = cuts.lang AND y.phrase = p2 JOIN totals t ON t.lang = cuts.lang),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+      r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM best QUALIFY rank <= 2000""",
+}
