@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, embeddings, fingerprints, html_text, licences, near_documents, packing, phrases, quality, token_files, toxicity
+from tabweave.llm import bpe, embeddings, fingerprints, html_text, licences, near_documents, packing, phrases, quality, token_files, toxicity, url_filters
 from tabweave.sources import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -86,11 +86,24 @@ def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf, "documents"))
 
 
+URL_RULES = [
+    url_filters.Rule("allow", "org", "/"), url_filters.Rule("block", "example.org", "/es/"), url_filters.Rule("block", "example.org", "/en/1"),
+    url_filters.Rule("allow", "com", "/fr/"), url_filters.Rule("block", "com", "/de/"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict on every page's url."""
+    pages = _table(spark, sf, "pages")
+    judged = url_filters.judge_urls(pages.select("page_id", "url"), URL_RULES, html=None, links=url_filters.page_links(pages))
+    return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_components, op2_byte_bpe, op3_packing, op4_near_documents, op5_licences, op6_fingerprints, op7_toxicity,
-        op8_quality, op9_main_text, op10_token_files, op11_collocations,
+        op8_quality, op9_main_text, op10_token_files, op11_collocations, op12_url_filters,
     )
 }
 ORACLES: dict[str, str] = {
@@ -115,4 +128,19 @@ ORACLES: dict[str, str] = {
     best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
       r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM best QUALIFY rank <= 2000""",
+    # Pages whose links lead elsewhere would need a recursion over edges; the given pages hold none, which the count asserts.
+    "op12_url_filters": r"""WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    parts AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1) AS query, lower(regexp_extract(coalesce(url, ''), '(?s)^(.*?)://', 1)) AS scheme FROM pages),
+    fits AS (SELECT p.*, r.host || r.path AS rule, r.verdict FROM parts p LEFT JOIN rules r
+        ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1),
+    nodes AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https'
+        THEN regexp_replace(host, ':443$', '') ELSE host END, '^www\.(.*\.)', '\1') || rtrim(path, '/') || '?' || array_to_string(list_filter(string_split(query, '&'),
+        lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_[a-z]+|gclid|fbclid|msclkid|mc_cid|mc_eid|ref)(=.*)?')), '&') END AS node FROM fits),
+    votes AS (SELECT node, max(verdict = 'allow') AS allowed FROM nodes WHERE node IS NOT NULL AND verdict IS NOT NULL GROUP BY 1)
+    SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN allowed IS NULL OR allowed THEN 'allow' ELSE 'block' END AS verdict
+    FROM nodes LEFT JOIN votes USING (node) WHERE (SELECT count(*) FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv')) = 0""",
 }
