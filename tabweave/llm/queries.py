@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, embeddings, fingerprints, html_text, licences, near_documents, packing, phrases, quality, token_files, toxicity, url_filters
+from tabweave.llm import bpe, embeddings, fingerprints, html_text, licences, near_documents, packing, phrases, quality, spellings, token_files, toxicity, url_filters
 from tabweave.sources import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -99,11 +99,17 @@ def op12_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op13_spelling_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The form and root of every word."""
+    return spellings.spelling_forms(spellings.count_words(_table(spark, sf, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_components, op2_byte_bpe, op3_packing, op4_near_documents, op5_licences, op6_fingerprints, op7_toxicity,
         op8_quality, op9_main_text, op10_token_files, op11_collocations, op12_url_filters,
+        op13_spelling_forms,
     )
 }
 ORACLES: dict[str, str] = {
