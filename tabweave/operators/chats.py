@@ -78,15 +78,18 @@ def build_chats(
     return cards.sparkSession.range(n).select(F.col("id").alias("chat_id"), messages.alias("messages"))
 
 
-def group_request(cards: Column, names: Column, known: Column, first: Column | bool, rows: int = ROWS_ASKED) -> Column:
-    """The user turn that asks for the next group: its cards, the task and the shape of an answer."""
+def group_request(cards: Column, names: Column, known: Column, first: Column | bool, rows: int = ROWS_ASKED, system: bool = True) -> Column:
+    """The user turn that asks for the next group: its cards, the task and the shape of an answer.
+
+    Chats without a ``system`` message get its text with every turn.
+    """
     earlier = F.lit("Copy the earlier columns of every row unchanged. ")
     first = F.lit(first) if isinstance(first, bool) else first
     example = F.concat(
         F.lit("{"), F.array_join(F.transform(known, lambda c: F.concat(F.lit('"'), c, F.lit('": "<value>"'))), ", "), F.lit("}")
     )
     return F.concat(
-        F.lit("Next columns: "), F.array_join(names, ", "), F.lit(".\n\n"), cards,
+        F.lit("" if system else SYSTEM + "\n"), F.lit("Next columns: "), F.array_join(names, ", "), F.lit(".\n\n"), cards,
         F.lit(f"\n\nWrite {rows} rows with these columns. "), F.when(first, F.lit("")).otherwise(earlier),
         F.lit(RULES + " Use one JSON object per row, like this with real values:\n"), example,
     )
@@ -179,10 +182,12 @@ def rows_to_json(
     return listed.select(*keys, F.array_join(F.transform("_r", lambda r: r["_t"]), "\n").alias("response"))
 
 
-def trim_history(messages: Column) -> Column:
-    """Of five messages keep the first and the last two; a shorter or longer history stays."""
-    kept = F.array(F.get(messages, F.lit(0)), F.get(messages, F.lit(3)), F.get(messages, F.lit(4)))
-    return F.when(F.size(messages) == 5, kept).otherwise(messages)
+def trim_history(messages: Column, system: bool = True) -> Column:
+    """Two finished turns become one: of five messages the first and the last two are kept, or of four without a
+    ``system`` message the last two. A shorter or longer history stays."""
+    places = (0, 3, 4) if system else (2, 3)
+    kept = F.array(*[F.get(messages, F.lit(i)) for i in places])
+    return F.when(F.size(messages) == (5 if system else 4), kept).otherwise(messages)
 
 
 def route_chats(chats: DataFrame, replies: DataFrame, valid: DataFrame, normalised: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:

@@ -51,11 +51,11 @@ def _validated(parsed: DataFrame, p: TableProfile, cols: Sequence[str], sizes: d
     return R.accepted(R.validate_rows(parsed, p.numeric, p.dictionary, roles, sizes))
 
 
-def one_shot_batch(p: TableProfile, fn: Model, n: int, variant: str = "basic", **card_options) -> Batch:
+def one_shot_batch(p: TableProfile, fn: Model, n: int, variant: str = "basic", system: bool = True, **card_options) -> Batch:
     """One round of ``n`` chats that each answer with whole rows."""
     layout = VARIANTS[variant]["layout"]
     cols = list(p.roles)
-    asked = C.build_chats(profile_cards(p, variant, **card_options), cols, n, layout)
+    asked = C.build_chats(profile_cards(p, variant, **card_options), cols, n, layout, system=system)
     replies = durable(C.complete_chats(asked, fn))
     parsed = R.parse_csv_replies(replies, cols) if layout == "csv" else R.parse_json_replies(replies, cols, exact=True)
     return Batch(durable(_validated(parsed, p, cols, dictionary_sizes(p.dictionary))), None, n)
@@ -79,6 +79,7 @@ def columnwise_batch(
     n: int,
     variant: str = "columnwise_relationships_json",
     min_rows: int = C.MIN_ROWS,
+    system: bool = True,
     **card_options,
 ) -> Batch:
     """One batch of chats that grow the rows group by group.
@@ -90,7 +91,7 @@ def columnwise_batch(
     sizes = dictionary_sizes(p.dictionary)
     spark = p.edges.sparkSession
     started = C.over_provisioned(n, len(groups))
-    good = C.build_chats(None, list(p.roles), started, "columnwise", spark)
+    good = C.build_chats(None, list(p.roles), started, "columnwise", spark, system=system)
     known: list[str] = []
     rows, failed = None, []
     for number, group in enumerate(groups):
@@ -102,8 +103,9 @@ def columnwise_batch(
             F.array(*[F.lit(c) for c in group]),
             F.array(*[F.lit(c) for c in known]),
             number == 0,
+            system=system,
         )
-        waiting = durable(good.withColumn("messages", C.trim_history(F.col("messages"))))
+        waiting = durable(good.withColumn("messages", C.trim_history(F.col("messages"), system)))
         ready, n_waiting, n_ready, stuck = [], waiting.count(), 0, 0
         rows_parts = []
         while n_waiting / max(1, n_waiting + n_ready) > ALLOWED_DROPOUT and stuck < STUCK_ROUNDS:
@@ -147,13 +149,16 @@ def generate_rows(
     descriptions: dict[str, str] | None = None,
     no_stats: bool = False,
     rows_per_part: int | None = None,
+    system: bool = True,
 ) -> DataFrame:
     """``(batch, chat_id, position, columns...)``: exactly ``count`` accepted rows, the earliest ones.
 
+    ``system=False`` is for models that take no system message: its text goes into the user turns.
+
     The first batch assumes sixteen rows per chat; later ones ask for what is missing at the rate seen so far. Three
     batches without a single row are an error.
     """
-    options = {"stats": stats, "descriptions": descriptions, "no_stats": no_stats}
+    options = {"stats": stats, "descriptions": descriptions, "no_stats": no_stats, "system": system}
     make = columnwise_batch if VARIANTS[variant]["layout"] == "columnwise" else one_shot_batch
     batches: list[DataFrame] = []
     have = chats = empty = 0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -9,23 +10,18 @@ from tabweave.operators import association, cards, chats, profile
 from tabweave.plans.corpus import prefixes
 from workload.associations import EDGES_SQL, sales_edges
 from workload.cards import NUMERIC_CARD_SQL
-from workload.common import LINEITEM_CONTS, SALES_ROLES, SALES_SQL, long_array, query, sales, table
+from workload.common import LINEITEM_CONTS, SALES_CATS, SALES_ROLES, SALES_SQL, hash_sql, long_array, query, sales, table
 
 
 def conversation_arrays(spark, sf):
-    """``(chat_id, messages)`` of the conversations table. A chat of over 1,024 turns is one chat per 1,024 turns."""
+    """``(chat_id, messages)`` of the conversations table."""
     whole = chats.collect_chats(table(spark, sf, "conversations"))
-    return whole.select(_chat_id(F.col("conv_id"), F.col("part")).alias("chat_id"), "messages")
-
-
-def _chat_id(conv_id, part):
-    return conv_id * 1_000_000 + part
+    return whole.select(F.col("conv_id").alias("chat_id"), "messages")
 
 
 CHATS_SQL = """
-numbered AS (SELECT *, conv_id * 1000000 + turn // 1024 AS chat_id FROM conversations),
-ordered AS (SELECT chat_id, role, text, row_number() OVER (PARTITION BY chat_id ORDER BY turn) AS i,
-  count(*) OVER (PARTITION BY chat_id) AS n FROM numbered)"""
+ordered AS (SELECT conv_id AS chat_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+  count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
 
 
 @query(
@@ -38,7 +34,16 @@ def trim_history(spark, sf):
 
 
 @query(
-    """SELECT conv_id, floor(turn / 1024)::BIGINT AS part, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) AS text
+    f"""WITH {CHATS_SQL} SELECT chat_id, string_agg(role || ': ' || text, chr(10) ORDER BY i) AS text FROM ordered
+    WHERE n <> 4 OR i > 2 GROUP BY chat_id"""
+)
+def trim_history_without_system(spark, sf):
+    trimmed = conversation_arrays(spark, sf).withColumn("messages", chats.trim_history(F.col("messages"), system=False))
+    return trimmed.select("chat_id", long_array(F.col("messages")).alias("text"))
+
+
+@query(
+    """SELECT conv_id, 0::BIGINT AS part, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) AS text
        FROM conversations GROUP BY ALL"""
 )
 def chat_to_text(spark, sf):
@@ -76,9 +81,7 @@ def long_messages(spark, sf):
 def route_chats(spark, sf):
     arrays = conversation_arrays(spark, sf)
     replies = arrays.select("chat_id", F.col("messages")[0]["content"].alias("response"))
-    part = F.floor(F.col("turn") / chats.TURNS_PER_TEXT)
-    answers = table(spark, sf, "conversations").filter("role = 'assistant'")
-    valid = answers.select(_chat_id(F.col("conv_id"), part).alias("chat_id"), "turn")
+    valid = table(spark, sf, "conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("chat_id"), "turn")
     normalised = replies.select("chat_id", F.concat(F.lit("kept "), "response").alias("response"))
     routed = chats.route_chats(arrays, replies, valid, normalised, min_rows=3)
     last = F.element_at("failed", -1)["content"]
@@ -152,17 +155,17 @@ def _sheet(spark, sf):
     return cards.column_card(body, {c: "float" for c in LINEITEM_CONTS})
 
 
-def _chat_sql(form: str) -> str:
+def _chat_sql(form: str, rows: int) -> str:
     body = NUMERIC_CARD_SQL.replace(
         'SELECT "column", ', """SELECT list_position(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'], "column") AS position,
           '# Column: ' || "column" || chr(10) || 'Type: float' || chr(10) || """, 1
     ).replace("AS body", "AS card")
-    text = f"\n\nWrite 20 new rows. {chats.RULES} Use {form}".replace("'", "''")
+    text = f"\n\nWrite {rows} new rows. {chats.RULES} Use {form}".replace("'", "''")
     return f"""SELECT c_custkey AS chat_id, 'system: {chats.SYSTEM}' || chr(10) || 'user: ' || sheet || '{text}' AS text
       FROM customer CROSS JOIN (SELECT string_agg(card, chr(10) || chr(10) ORDER BY position) AS sheet FROM ({body}))"""
 
 
-@query(_chat_sql("one line per row, comma separated, in this column order:\n" + ",".join(LINEITEM_CONTS)))
+@query(_chat_sql("one line per row, comma separated, in this column order:\n" + ",".join(LINEITEM_CONTS), chats.CSV_ROWS_ASKED))
 def build_chats_csv(spark, sf):
     """As many chats as there are customers."""
     n = table(spark, sf, "customer").count()
@@ -170,7 +173,7 @@ def build_chats_csv(spark, sf):
     return made.select("chat_id", long_array(F.col("messages")).alias("text"))
 
 
-@query(_chat_sql("one JSON object per row, like this with real values:\n" + chats.example_object(LINEITEM_CONTS)))
+@query(_chat_sql("one JSON object per row, like this with real values:\n" + chats.example_object(LINEITEM_CONTS), chats.ROWS_ASKED))
 def build_chats_json(spark, sf):
     n = table(spark, sf, "customer").count()
     made = chats.build_chats(_sheet(spark, sf), LINEITEM_CONTS, n, "json")
@@ -198,43 +201,92 @@ def complete_chats_failing(spark, sf):
     return chats.complete_chats(conversation_arrays(spark, sf), answer)
 
 
-def echo_model(values: dict):
-    """A stand-in for a model: twenty rows with the columns the last turn asks for."""
+# Rows that the stand-in for a model completes before its reply breaks off.
+MODEL_SEED, MODEL_ROWS = 42, 15
+
+
+def card_model(seed: int, rows: int):
+    """A stand-in for a model. It reads ranges and labels from the cards it has been shown, copies the rows of its last
+    reply and puts seeded values of the new columns behind them. Its reply has text around the rows and breaks off in
+    the middle of the next one."""
 
     def answer(talks):
         out = []
         for talk in talks:
-            cols = re.findall(r'"([^"]+)": "<value>"', talk[-1]["content"])
-            out.append("\n".join(json.dumps({c: values[c] for c in cols}) for _ in range(20)))
+            request = talk[-1]["content"]
+            known = re.findall(r'"([^"]+)": "<value>"', request)
+            cards = {c: body for c, body in re.findall(r"# Column: (.+)\n((?:(?!# Column: ).*\n?)+)", request)}
+            earlier = [json.loads(x) for x in re.findall(r"\{[^{}]*\}", talk[-2]["content"])] if talk[-2:-1] and talk[-2]["role"] == "assistant" else [{}] * (rows + 1)
+            made = []
+            for j, row in enumerate(earlier):
+                row = dict(row)
+                for c in [c for c in known if c in cards]:
+                    digest = hashlib.md5(f"{seed}|{c}|{j}".encode()).hexdigest()
+                    draw = lambda n: int(digest[:13], 16) * n >> 52
+                    limits = re.search(r"minimum (-?[0-9.]+), maximum (-?[0-9.]+[0-9])", cards[c])
+                    if not limits:
+                        labels = re.findall(r"^- (.*): in (?:fewer than )?\d+ of 100 rows$", cards[c], re.M)
+                        row[c] = labels[draw(len(labels))]
+                        continue
+                    low, high = (round(float(x) * 1000) for x in limits.groups())
+                    if "Type: int" in cards[c]:
+                        row[c] = low // 1000 + draw(high // 1000 - low // 1000 + 1)
+                    else:
+                        # Inside the limits, which a card shows to three decimals.
+                        row[c] = (low + 1 + draw(high - low - 1)) / 1000
+                made.append(json.dumps(row))
+            cut = made[rows:] or [made[-1]]
+            out.append("Here are the rows:\n" + "\n".join(made[:rows]) + "\n" + cut[0][: len(cut[0]) // 2])
         return out
 
     return answer
 
 
-SALES_ROW = {
-    "status": "O", "priority": "5-LOW", "band": "low", "half": "first", "quarter": "q1", "price": 50000.0, "duty": 40000.0, "month": 2,
-}
+def _generated_sql(chats_of_batch: str) -> str:
+    """Rows by the model's rule; ``chats_of_batch`` gives the number of chats that answer, by ``need`` rows asked for."""
+    cats = ", ".join(f"({hash_sql(MODEL_SEED, repr(c), 'j')}::HUGEINT * (SELECT count(DISTINCT {c}) FROM sales) // 4503599627370496)::BIGINT AS {c}" for c in SALES_CATS)
+    floats = ", ".join(
+        f"""((SELECT round(round(min({c}), 3) * 1000) FROM sales)::BIGINT + 1 + {hash_sql(MODEL_SEED, repr(c), 'j')}::HUGEINT
+          * ((SELECT round(round(max({c}), 3) * 1000) - round(round(min({c}), 3) * 1000) FROM sales)::BIGINT - 1) // 4503599627370496)::DOUBLE / 1000 AS {c}"""
+        for c in ("price", "duty")
+    )
+    return f"""WITH {SALES_SQL}, asked AS (SELECT count(*) AS need FROM customer),
+    batches AS (SELECT 0 AS batch, {chats_of_batch} AS n FROM asked),
+    more AS (SELECT * FROM batches UNION ALL SELECT 1, ceil((need - n * {MODEL_ROWS}) / {MODEL_ROWS})::BIGINT FROM batches, asked WHERE need > n * {MODEL_ROWS}),
+    rows AS (SELECT j, {cats}, {floats},
+      (SELECT min(month) FROM sales) + ({hash_sql(MODEL_SEED, "'month'", 'j')}::HUGEINT * (SELECT max(month) - min(month) + 1 FROM sales) // 4503599627370496)::BIGINT AS month
+      FROM (SELECT unnest(range({MODEL_ROWS})) AS j))
+    SELECT batch, chat_id, j::INTEGER AS position, {", ".join(SALES_ROLES)}
+    FROM (SELECT batch, unnest(range(n)) AS chat_id FROM more) CROSS JOIN rows ORDER BY batch, chat_id, j LIMIT (SELECT need FROM asked)"""
 
 
-def _generate(spark, sf, variant):
+def _generate(spark, sf, variant, **options):
     from tabweave.plans.generating import generate_rows
     from tabweave.plans.profiling import profile_table
 
-    data = sales(spark, sf)
-    p = profile_table(data, SALES_ROLES, "id", shapes=variant == "columnwise_relationships_json")
-    return generate_rows(p, echo_model(SALES_ROW), table(spark, sf, "customer").count(), variant)
+    p = profile_table(sales(spark, sf), SALES_ROLES, "id", shapes=variant == "columnwise_relationships_json")
+    model = card_model(MODEL_SEED, MODEL_ROWS)
+    return generate_rows(p, model, table(spark, sf, "customer").count(), variant, **options)
 
 
-@query()
+@query(_generated_sql("ceil(need / 16)::BIGINT"))
 def generate_rows_json(spark, sf):
+    """As many rows as there are customers; the first batch is short of them."""
     return _generate(spark, sf, "json_relationships")
 
 
-@query()
+# Chats are started for groups that may fail, so the first batch has enough rows.
+@query(_generated_sql("need"))
 def generate_rows_columnwise(spark, sf):
     return _generate(spark, sf, "columnwise_relationships_json")
 
 
+@query(_generated_sql("need"))
+def generate_rows_without_system(spark, sf):
+    """Column-wise chats for models that take no system message."""
+    return _generate(spark, sf, "columnwise_relationships_json_nodist", system=False)
+
+
 @query()
 def build_corpus(spark, sf):
     from tabweave.plans.corpus import build_corpus as build
