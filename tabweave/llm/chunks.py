@@ -42,10 +42,13 @@ def _sure(chunk: str) -> bool:
 
 
 class ChunkEncoder:
-    """``encode_many`` turns texts into lists of ids; of a worker's latest ``memo`` chunks or so the ids are remembered."""
+    """``encode_many`` turns texts into lists of ids; of a worker's latest ``memo`` chunks or so the ids are remembered.
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], memo: int = MEMO_ENTRIES):
-        self.encode_many, self.memo = encode_many, memo
+    Texts that hold one of the strings ``whole_if`` are encoded whole.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], memo: int = MEMO_ENTRIES, whole_if: tuple[str, ...] = ()):
+        self.encode_many, self.memo, self.whole_if = encode_many, memo, whole_if
         # Ids of a chunk as bytes, or False for a chunk that is not sure.
         self.young: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
@@ -90,6 +93,8 @@ class ChunkEncoder:
         inner[offsets[:-1]] = False
         whole = np.add.reduceat(inner, offsets[:-1]) > 0
         whole |= unsure[heads] & (np.diff(offsets) > 1)
+        for mark in self.whole_if:
+            whole |= pc.match_substring(texts.fill_null(""), mark).to_numpy(zero_copy_only=False)
         own = [texts[i].as_py() or "" if w else chunks[h] for i, (w, h) in enumerate(zip(whole.tolist(), heads.tolist()))]
         packed += self._packed(own)
         codes = codes.astype(np.int64)

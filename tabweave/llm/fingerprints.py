@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import col, mix
@@ -119,24 +119,21 @@ def edited_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Texts are shuffled once, into ranges of ids; the first document of each range is also sent to the range before.
     """
-    cuts = id_cuts(df, key, text)
+    rows = df.select(col(key).cast("bigint").alias("key"), F.coalesce(col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    cuts = id_cuts(rows, "key", "text", "tie")
     parts = len(cuts) + 1
-    rows = df.select(col(key).cast("bigint").alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
-    rows = in_ranges(rows, "key", cuts, "part").withColumn("tie", F.xxhash64("text"))
-    place = F.struct(F.col("key").isNotNull().alias("known"), F.coalesce("key", F.lit(0)).alias("key"), "tie")
-    # One row per range reaches the driver: the place of its first document.
-    firsts = {r["part"]: r["first"] for r in rows.groupBy("part").agg(F.min(place).alias("first")).collect()}
-    filled = sorted(firsts)
-    if not filled:
-        wanted = F.array().cast("array<int>")
-    else:
-        # A range's first document is a copy at the end of the range before; that of the first goes to the last.
-        pairs = [(firsts[p], filled[i - 1]) for i, p in enumerate(filled)]
-        known = F.create_map(*[x for f, to in pairs for x in (
-            F.struct(F.lit(f["known"]).alias("known"), F.lit(f["key"]).cast("bigint").alias("key"), F.lit(f["tie"]).cast("bigint").alias("tie")).cast("string"),
-            F.lit(to))])
-        wanted = F.array_compact(F.array(known[place.cast("string")]))
-    copies = rows.withColumn("to", F.explode(wanted)).select("key", "text", "tie", F.col("to").cast("int").alias("part"), F.lit(1).alias("copy"))
+    rows = in_ranges(rows, "key", "tie", cuts, "part")
+    known, id_ = F.col("key").isNotNull(), F.coalesce("key", F.lit(0))
+    firsts = rows.groupBy("part").agg(F.min(F.struct(known.alias("known"), id_.alias("id"), "tie")).alias("first"))
+    # A range's first document is a copy at the end of the filled range before; that of the first range goes to the last.
+    # One row per range, of which there is a bounded number.
+    order = Window.orderBy("part")
+    last = F.max("part").over(Window.partitionBy())
+    sent = F.broadcast(firsts.select(
+        F.col("first.known").alias("_known"), F.col("first.id").alias("_id"), F.col("first.tie").alias("_tie"), F.coalesce(F.lag("part").over(order), last).alias("to"),
+    ))
+    met = (known == F.col("_known")) & (id_ == F.col("_id")) & (F.col("tie") == F.col("_tie"))
+    copies = rows.join(sent, met).select("key", "text", "tie", F.col("to").alias("part"), F.lit(1).alias("copy"))
     # Rows that equal the first one in every way are all copied; the reader stops at the first.
     both = rows.select("key", "text", "tie", "part", F.lit(0).alias("copy")).unionByName(copies)
     ordered = sorted_ranges(both, "part", parts, ["copy", F.asc_nulls_first("key"), "tie"])

@@ -17,12 +17,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.chunks import ChunkEncoder
 from tabweave.llm.common import BATCH_BYTES, col, new_path, slices
-from tabweave.llm.ordered import id_cuts, in_ranges, sorted_ranges
+from tabweave.llm.ordered import id_cuts, sorted_ranges
 
 # Tokens after which a block is closed, after the document at hand.
 BLOCK_TOKENS = 2_000_000
@@ -50,14 +50,17 @@ class LibraryEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # The library finds added tokens, special ones included, anywhere in a text.
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        plain = [t.content for t in added if t.content.strip(MARKS).isalpha()]
+        # Those that reach over white space, or look beyond their own letters, may not meet a cut.
+        self.wide = tuple(t.content.strip() for t in added if any(map(str.isspace, t.content)) or t.lstrip or t.rstrip or t.single_word)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.space = self.letters[0x20]
         rule = self.tokenizer.pre_tokenizer
-        plain = isinstance(rule, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
-        self.direct = plain and rule.use_regex and not rule.add_prefix_space
+        known_rule = isinstance(rule, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        self.direct = known_rule and rule.use_regex and not rule.add_prefix_space and not plain
         self.marks: dict[str, list[int]] = {"": []}
 
     def _piece(self, piece: str) -> list[int]:
@@ -90,7 +93,8 @@ class LibraryEncoder:
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> ChunkEncoder:
     """The library's encoder behind a memo of chunks, built once per worker."""
-    return ChunkEncoder(LibraryEncoder(path))
+    encoder = LibraryEncoder(path)
+    return ChunkEncoder(encoder, whole_if=encoder.wide)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -125,30 +129,37 @@ def unpack(table: bytes, control: bytes, data: bytes, count: int) -> np.ndarray:
 def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append ``end_id`` and write the ids to ``path`` in ascending order of ``key``.
 
-    Texts are encoded where they are read and only ids are shuffled, into ranges of ids that one task each sorts and
+    Ids are those of the library's plain ``encode`` without special tokens around the text; the strings of added tokens
+    inside a text become their ids, as the library has it. Texts are encoded where they are read and only ids are shuffled, into ranges of ids that one task each sorts and
     writes. Null and empty texts are the end id alone; null keys come first; documents that share a key are ordered by a
-    hash of their ids. ``vocabulary`` is a file of the tokenizers library that every worker can read.
+    hash of their texts. ``vocabulary`` is a file of the tokenizers library that every worker can read.
     """
-    cuts = id_cuts(df, key, text)
-    rows = in_ranges(df.select(col(key).cast("bigint").alias("doc"), col(text).alias("text")), "doc", cuts, "part")
+    held = df.select(col(key).cast("bigint").alias("doc"), col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    cuts = id_cuts(held, "doc", "text", "tie")
+    numbers = held.sparkSession.sparkContext.broadcast(cuts)
+    rows = held.select(F.col("doc").isNotNull().alias("known"), F.coalesce("doc", F.lit(0)).alias("id"), "tie", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column("text")
+            known, ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("known", "id", "tie"))
+            places = numbers.value.places(known.astype(bool), ids, ties)
+            docs = pa.array(ids, pa.int64(), mask=~known.astype(bool))
             for i, j in slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), BATCH_BYTES):
                 found, counts = encoder.encode(texts.slice(i, j - i))
                 # Ids of up to two bytes are stored in two.
                 narrow = found.astype("<u2") if not len(found) or found.max() < 1 << 16 else found.astype("<u4")
                 width = narrow.dtype.itemsize
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))) * width, pa.int64())
-                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, offsets.buffers()[1], pa.py_buffer(narrow.tobytes())])
+                encoded_ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, offsets.buffers()[1], pa.py_buffer(narrow.tobytes())])
                 sizes = pa.array(np.full(j - i, width, dtype=np.int32))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), sizes, ids.cast(pa.binary())], ["doc", "part", "width", "ids"])
+                columns = [docs.slice(i, j - i), pa.array(places[i:j]), pa.array(ties[i:j]), sizes, encoded_ids.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "part", "tie", "width", "ids"])
 
-    encoded = rows.select("doc", "text", "part").mapInArrow(encode, "doc bigint, part int, width int, ids binary")
-    ordered = sorted_ranges(encoded, "part", len(cuts) + 1, [F.asc_nulls_first("doc"), F.xxhash64("ids")])
+    encoded = rows.mapInArrow(encode, "doc bigint, part int, tie bigint, width int, ids binary")
+    ordered = sorted_ranges(encoded, "part", len(cuts) + 1, [F.asc_nulls_first("doc"), "tie"])
+    ordered = ordered.select("doc", "part", "width", "ids")
 
     def block(part: int, number: int, docs: list, held: list[np.ndarray]) -> pd.DataFrame:
         ids = np.concatenate(held)
@@ -182,26 +193,17 @@ BLOCK_DDL = "part int, block int, n_docs bigint, n_tokens bigint, docs binary, n
 SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())] + [(c, pa.binary()) for c in BLOCK[4:]])
 
 
-def _starts(files: DataFrame) -> DataFrame:
-    """The number of tokens before each range: one number per range, by way of the driver."""
-    totals = {r[0]: r[1] for r in files.groupBy("part").agg(F.sum("n_tokens")).collect()}
-    rows, before = [], 0
-    for part in sorted(totals):
-        rows.append((part, before))
-        before += totals[part]
-    return files.sparkSession.createDataFrame(rows, "part int, before bigint")
-
-
 def read_token_files(df: DataFrame, key: str = "doc_id", ids: bool = True) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32[, ids])`` of files read with ``spark.read.parquet``.
 
     ``start`` counts the tokens of all documents before. Blocks are decoded one by one in parallel.
     """
-    sizes = df.select("part", "block", "n_tokens")
-    inner = sizes.withColumnsRenamed({"block": "other", "n_tokens": "n"})
-    same = sizes.alias("a").join(inner.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.other") < F.col("a.block")), "left")
-    ahead = same.groupBy("a.part", "a.block").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("inner_before"))
-    placed = ahead.join(_starts(df), "part").select("part", "block", (F.col("before") + F.col("inner_before")).alias("before"))
+    # One row per block; blocks of a range are few, and so are ranges.
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    ranges = df.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before("n", earlier.orderBy("part")).alias("range_before"))
+    inner = df.select("part", "block", before("n_tokens", earlier.partitionBy("part").orderBy("block")).alias("inner_before"))
+    placed = inner.join(ranges, "part").select("part", "block", (F.col("range_before") + F.col("inner_before")).alias("before"))
     rows = df.join(placed, ["part", "block"]).select("before", *BLOCK[3:])
     kinds = f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
 

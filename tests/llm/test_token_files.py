@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = tokenizers.Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return tokenizers.Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("count", [0, 1, 2, 3, 5, 1000, 70_000])
@@ -57,6 +55,43 @@ def test_documents_in_order(spark, library, monkeypatch):
     assert got == expected(sorted(rows), library)
 
 
+def test_special_tokens_inside_texts(spark, library):
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b c", " <|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext", "end <|endoftext|>\n\n next"]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [50256]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [tuple(r) for r in tf.token_files(df, PATH, 2).orderBy("doc_id").collect()] == expected(rows, library)
+
+
+def test_added_tokens_that_reach_over_spaces(library):
+    tokenizer = tokenizers.Tokenizer.from_file(PATH)
+    tokenizer.add_tokens([tokenizers.AddedToken("big deal", normalized=False), tokenizers.AddedToken("wide", lstrip=True), tokenizers.AddedToken("one", single_word=True)])
+    import tempfile
+
+    with tempfile.NamedTemporaryFile(suffix=".json") as file:
+        tokenizer.save(file.name)
+        encoder = tf.library_encoder(file.name)
+    texts = ["a big deal now", "so wide it is", "some one or none", "no such words here", None]
+    ids, counts = encoder.encode(tf.pa.array(texts))
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_ranges_split_equal_and_missing_ids(spark):
+    from tabweave.llm.ordered import Cuts
+
+    draw = np.random.default_rng(5)
+    known, ids, ties = draw.random(2000) < 0.6, draw.integers(0, 4, 2000), draw.integers(-50, 50, 2000)
+    triples = sorted(zip(known.tolist(), np.where(known, ids, 0).tolist(), ties.tolist()))
+    cuts = sorted(set(triples[::100]))
+    got = Cuts(*(np.array(c) for c in zip(*cuts))).places(known, np.where(known, ids, 0), ties)
+    want = [sum(c <= t for c in cuts) for t in zip(known.tolist(), np.where(known, ids, 0).tolist(), ties.tolist())]
+    assert got.tolist() == want and len(set(want)) > 15
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)], "doc_id bigint, text string")
+    rows = tf.token_files(df, PATH, 2).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 300 + [7] * 300 and rows[-1].start + rows[-1].n_tokens == sum(r.n_tokens for r in rows)
+
+
 def test_odd_tables(spark, library):
     df = spark.createDataFrame([(None, "a"), (3, "b"), (3, "b"), (2, "")], "doc_id bigint, text string").withColumns({})
     got = tf.token_files(df.selectExpr("*", "1 AS part", "2 AS ids", "3 AS start"), PATH, 2).orderBy("start").collect()
