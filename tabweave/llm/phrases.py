@@ -1,8 +1,8 @@
 """Collocations: frequent word sequences that hold together better than chance, by Rabin-Karp fingerprints.
 
 Words are hashed, and numpy prefix polynomials over them give the fingerprint of every word sequence of a batch of texts in
-a few array operations. What is shuffled is a fingerprint, a second and independent one, a count and a pointer to a text
-that holds the sequence; never its words. Only sequences whose parts are frequent are counted: one scan counts words,
+a few array operations. What is shuffled is a fingerprint, a count, and in one number a second and independent fingerprint
+and a pointer to a text that holds the sequence; never its words. Only sequences whose parts are frequent are counted: one scan counts words,
 one counts pairs of frequent words, and one counts what is built of frequent pairs. Frequent parts are looked up in a bit
 table of bounded size; a false hit costs a shuffled row and changes no result. Fingerprints that stand for more than one
 sequence show in the second one and are counted again by their words; all others are spelled out from the one text
@@ -172,11 +172,22 @@ def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[begin], np.diff(np.append(begin, len(a)))
 
 
-PRINTS = "size int, fp bigint, second bigint, n bigint, doc bigint"
+PRINTS = "size int, fp bigint, tag bigint, n bigint"
+# A tag is 31 bits of the second fingerprint and 32 bits of the hash of a text.
+TAG_DOC = 32
+
+
+def _tags(second: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Tags of sequences with these second fingerprints in texts with these hashes."""
+    return (_short(second) << TAG_DOC) | (doc & ((1 << TAG_DOC) - 1))
+
+
+def _short(second: np.ndarray) -> np.ndarray:
+    return (second >> np.uint64(33)).view(np.int64)
 
 
 def _frequent(docs: DataFrame, sizes: Sequence[int], parts: BitTable | None, least: int, mask: int) -> DataFrame:
-    """``(size, fp, low, high, n, doc)`` of all sequences of these sizes that occur ``least`` times; with size 1 also the
+    """``(size, fp, low, high, n, doc)``, with the least and greatest second fingerprint and a text's hash, of all sequences of these sizes that occur ``least`` times; with size 1 also the
     number of words per language, as size 0."""
     part_size = min(sizes) - 1
 
@@ -184,26 +195,29 @@ def _frequent(docs: DataFrame, sizes: Sequence[int], parts: BitTable | None, lea
         for part, scan in _batches(batches, mask):
             docs_of = part.column("doc").to_numpy()
 
-            def rows(size, first, second, counts, doc):
-                columns = [np.full(len(first), size, np.int32), first.view(np.int64), second.view(np.int64), counts, doc]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["size", "fp", "second", "n", "doc"])
+            def rows(size, at, first, second):
+                index, counts = _counted(first, second)
+                tags = _tags(second[index], docs_of[scan.doc[at[index]]])
+                columns = [np.full(len(index), size, np.int32), first[index].view(np.int64), tags, counts]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["size", "fp", "tag", "n"])
 
             for size in sizes:
                 at = _places(scan, size, parts, part_size)
                 if not len(at):
                     continue
-                first, second = scan.prints(size, at), scan.prints(size, at, True)
-                index, counts = _counted(first, second)
-                yield rows(size, first[index], second[index], counts, docs_of[scan.doc[at[index]]])
+                yield rows(size, at, scan.prints(size, at), scan.prints(size, at, True))
                 if size == 1:
-                    index, counts = _counted(scan.seeds, scan.seeds)
-                    yield rows(0, scan.seeds[index], scan.seeds[index], counts, docs_of[scan.doc[index]])
+                    yield rows(0, at, scan.seeds, scan.seeds)
 
     found = docs.select("text", "seed", "doc").mapInArrow(scan_task, PRINTS)
-    sums = found.groupBy("size", "fp").agg(
-        F.min("second").alias("low"), F.max("second").alias("high"), F.sum("n").alias("n"), F.min("doc").alias("doc")
-    )
-    return saved(sums.filter((F.col("n") >= least) | (F.col("size") == 0)), "phrase-prints")
+    sums = found.groupBy("size", "fp").agg(F.min("tag").alias("first"), F.max("tag").alias("last"), F.sum("n").alias("n"))
+    kept = sums.filter((F.col("n") >= least) | (F.col("size") == 0))
+    second = lambda c: F.shiftright(c, TAG_DOC)
+    return saved(kept.select("size", "fp", second("first").alias("low"), second("last").alias("high"), "n", _doc(F.col("first")).alias("doc")), "phrase-prints")
+
+
+def _doc(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << TAG_DOC) - 1))
 
 
 WORDS = "lang string, size int, phrase string, fp bigint, n bigint"
@@ -212,8 +226,8 @@ WORDS = "lang string, size int, phrase string, fp bigint, n bigint"
 def _spelled(docs: DataFrame, prints: DataFrame, mask: int) -> DataFrame:
     """``(lang, size, phrase, n)`` of fingerprints that stand for one sequence each, read from the texts they point to.
 
-    A text is pointed to by the least hash, so few texts serve most sequences. What a text spells is fingerprinted again
-    before it is believed.
+    The pointer is the least hash of a text, so few texts serve most sequences. Texts may share it: what one spells is
+    fingerprinted again before it is believed.
     """
     wanted = prints.groupBy("doc").agg(F.collect_list(F.struct("size", "fp", "low", "n")).alias("wanted"))
     few = prints.select("doc").distinct().limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
@@ -239,7 +253,7 @@ def _spelled(docs: DataFrame, prints: DataFrame, mask: int) -> DataFrame:
                     for j, w in zip(mine.tolist(), where.tolist()):
                         if w < len(first) and first[w] == fps[j].view(np.uint64):
                             begin = at[place[w] : place[w] + 1]
-                            if scan.prints(size, begin, True).view(np.int64)[0] == lows[j]:
+                            if _short(scan.prints(size, begin, True))[0] == lows[j]:
                                 out.append((lang, size, scan.phrase(int(begin[0]), size), int(fps[j]), int(counts[j])))
                 if out:
                     yield pa.RecordBatch.from_arrays(
@@ -289,7 +303,7 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     these two are not read, so their names cannot clash. An empty table gives empty results. Copies of rows count again.
     """
     tongue, body = F.coalesce(col(lang), F.lit(NO_LANG)), F.coalesce(col(text), F.lit(""))
-    docs = df.select(tongue.alias("lang"), body.alias("text")).select("lang", "text", F.xxhash64("lang").alias("seed"), F.xxhash64("lang", "text").alias("doc"))
+    docs = df.select(tongue.alias("lang"), body.alias("text")).select("lang", "text", F.xxhash64("lang").alias("seed"), _doc(F.xxhash64("lang", "text")).alias("doc"))
     levels = [_frequent(docs, [1], None, least, mask)]
     single = levels[0].filter("size = 1")
     if longest > 1:
