@@ -15,13 +15,12 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import col
+from tabweave.llm.common import col, saved
 from tabweave.llm.licence_texts import whole_texts
 
 LEAST_COSINE = 0.6
 # The same for headers and licence files, whose vectors share most common words.
 LEAST_WHOLE = 0.8
-MAX_DEPTH = 64
 
 # Usual statements of public licences.
 TEMPLATES = (
@@ -40,7 +39,8 @@ TEMPLATES = (
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    # Both clauses open with it; the whole text tells which.
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -52,16 +52,16 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 )
 # Statements without one of these words are no licence statements; each template holds one.
-ANCHOR = r"(?i)licen[cs]e|copyright|rights reserved|redistribut|permission|public domain|public license|waived"
+ANCHOR = r"(?i)licen[cs]e|copyright|redistribut|permission|public domain|waived|unauthori[sz]ed copying|proprietary"
 TERM = r"[a-z0-9]+"
 # An SPDX tag and its first identifier; licences that have one.
 SPDX = r"(?i)SPDX-License-Identifier:[\s(]*([A-Za-z0-9.+-]+)"
 SPDX_LICENCES = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense", "ISC")
 COMMENT_LINE = r"^\s*(#|//|/\*|\*|;|--|%|$)"
-COMMENT_BLOCK = r"^\s*(?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|'''[\\s\\S]*?''')"
+COMMENT_BLOCK = r"^\s*(?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')"
 ENDS = r"([.!?;])\s+"
 
 
@@ -90,7 +90,7 @@ def statements(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def statement_licences(found: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """``(key, place, licence, score)``: the closest template of each statement, if its cosine is ``least`` or more."""
+    """``(key, place, licence, score, tagged)``: the closest template of each statement, if its cosine is ``least`` or more."""
     spark = found.sparkSession
     tag = F.regexp_replace(F.lower(F.regexp_extract("statement", SPDX, 1)), r"(-only|-or-later|\+)$", "")
     # A tag names its licence, or one that is not listed; it is not compared.
@@ -109,8 +109,8 @@ def statement_licences(found: DataFrame, least: float = LEAST_COSINE) -> DataFra
     dots = dots.groupBy("key", "place", "number", "licence").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["key", "place"]).withColumn("score", F.col("dot") / F.col("norm")).filter(F.round("score", 9) >= least)
     best = F.struct(F.round("score", 9).alias("score"), (-F.col("number")).alias("first"), "licence")
-    closest = scored.groupBy("key", "place").agg(F.max(best).alias("best")).select("key", "place", "best.licence", "best.score")
-    return closest.unionByName(tags.filter("licence IS NOT NULL").select("key", "place", "licence", F.lit(1.0).alias("score")))
+    closest = scored.groupBy("key", "place").agg(F.max(best).alias("best")).select("key", "place", "best.licence", "best.score", F.lit(False).alias("tagged"))
+    return closest.unionByName(tags.filter("licence IS NOT NULL").select("key", "place", "licence", F.lit(1.0).alias("score"), F.lit(True).alias("tagged")))
 
 
 def headers(rows: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def headers(rows: DataFrame) -> DataFrame:
 def whole_licences(rows: DataFrame, least: float = LEAST_WHOLE) -> DataFrame:
     """``(key, licence, score)`` of headers and licence files from ``(key, text, gives)``.
 
-    idf counts all ``rows``. Terms that no template has weigh as much as the mean of the others.
+    idf counts all ``rows``. Terms that no template has weigh as much as the mean of the others. Texts are read twice: for the
+    files that hold each term, and for headers and licence files, whose terms are few and written once.
     """
     spark = rows.sparkSession
     texts = whole_texts()
@@ -138,14 +139,17 @@ def whole_licences(rows: DataFrame, least: float = LEAST_WHOLE) -> DataFrame:
     every = F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"))
     seen = rows.select(F.explode(F.array_distinct(every)).alias("term")).join(F.broadcast(known), "term").groupBy("term").agg(F.count("*").alias("df"))
     files = F.broadcast(rows.agg(F.count("*").alias("files")))
+    # One row per term of the templates.
     idf = known.join(seen, "term", "left").crossJoin(files).select("term", (F.log((1 + F.col("files")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    idf = saved(idf.coalesce(1), "licence-idf")
     plain = F.broadcast(idf.agg(F.avg("idf").alias("plain")))
     templates = spark.createDataFrame(counts, "number int, licence string, term string, c int").join(F.broadcast(idf), "term")
     templates = templates.withColumn("weight", F.col("c") * F.col("idf"))
     lengths = templates.groupBy("number").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     templates = templates.join(F.broadcast(lengths), "number").select("number", "licence", "term", (F.col("weight") / F.col("length")).alias("weight"))
     terms = headers(rows).select("key", "place", F.explode(F.regexp_extract_all(F.lower("whole"), F.lit(f"({TERM})"))).alias("term"))
-    own = terms.groupBy("key", "place", "term").agg(F.count("*").alias("n")).join(F.broadcast(idf), "term", "left").crossJoin(plain)
+    counted = saved(terms.groupBy("key", "place", "term").agg(F.count("*").alias("n")), "licence-terms")
+    own = counted.join(F.broadcast(idf), "term", "left").crossJoin(plain)
     own = own.withColumn("own", F.col("n") * F.coalesce("idf", "plain"))
     norms = own.groupBy("key", "place").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("norm"))
     dots = own.filter("idf IS NOT NULL").select("key", "place", "term", "own").join(F.broadcast(templates), "term")
@@ -157,30 +161,32 @@ def whole_licences(rows: DataFrame, least: float = LEAST_WHOLE) -> DataFrame:
 def scan_licences(files: DataFrame, path: str, text: str, is_licence_file: Column, least: float = LEAST_COSINE) -> DataFrame:
     """``(path, own_licence, own_score, n_statements, inherited_licence, inherited_from, licence)`` per distinct path.
 
-    ``own_licence`` is that of the best statement of the whole text, or of its header or of the licence file as a whole if
-    that is closer (ties: the alphabetically first licence), null if
-    none is close enough; null and empty texts state none. A licence file (``is_licence_file``, over the columns of
-    ``files``) with an own licence gives it to its directory; of several in a directory the alphabetically first path
+    ``own_licence`` is that of an SPDX identifier; else of the header or the licence file as a whole; else of the best
+    statement of the whole text (ties: the alphabetically first licence). It is null if none is close enough; a copyright line
+    or "all rights reserved" alone states no licence; null and empty texts state none. A licence file (``is_licence_file``, over the
+    columns of ``files``) with an own licence gives it to its directory; of several in a directory the alphabetically first path
     counts. Other files inherit from the nearest directory at or above their own. ``licence`` is the own one, else the
     inherited one. Rows without a path are left out; rows that share a path are one file whose statements are taken
-    together. Extra columns are left out. Paths have at most ``MAX_DEPTH`` directories that are looked at, nearest first.
+    together. Extra columns are left out.
     """
     rows = files.filter(col(path).isNotNull())
     listed = rows.groupBy(col(path).alias("key")).agg(F.max(F.coalesce(is_licence_file, F.lit(False))).alias("gives"))
-    found = statement_licences(_places(statements(rows, path, text)), least)
-    top = found.groupBy("key").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    stated = saved(_places(statements(rows, path, text)), "licence-statements")
+    found = saved(statement_licences(stated, least), "licence-statements")
     texts = rows.select(col(path).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"), F.coalesce(is_licence_file, F.lit(False)).alias("gives"))
-    whole = whole_licences(texts)
-    top = top.join(whole.select("key", F.col("score").alias("whole")), "key", "full").select("key", F.greatest("score", "whole").alias("score"), "n")
-    found = found.select("key", "licence", "score").unionByName(whole)
-    named = found.join(top.select("key", F.col("score").alias("top")), "key").filter("score = top").groupBy("key").agg(F.min("licence").alias("licence"))
-    own = listed.join(top.join(named, "key"), "key", "left")
+    whole = saved(whole_licences(texts), "licence-wholes")
+    rank = lambda n, value: F.struct(F.lit(n).alias("rank"), F.col("score")) if value is None else F.struct(value.alias("rank"), F.col("score"))
+    every = found.select("key", "licence", rank(0, F.when(F.col("tagged"), 2).otherwise(0)).alias("order"), F.lit(1).alias("n"))
+    every = every.unionByName(whole.select("key", "licence", rank(1, None).alias("order"), F.lit(0).alias("n")))
+    top = every.groupBy("key").agg(F.max("order").alias("top"), F.sum("n").alias("n"))
+    named = every.join(top, "key").filter("order = top").groupBy("key").agg(F.min("licence").alias("licence"), F.max("top.score").alias("score"), F.max(top["n"]).alias("n"))
+    own = listed.join(named, "key", "left")
     directory = F.regexp_extract("key", r"^(.*)/[^/]*$", 1)
     givers = own.filter("gives AND licence IS NOT NULL").groupBy(directory.alias("directory")).agg(F.min(F.struct("key", "licence")).alias("giver"))
     # Directories are far fewer than files: ancestors are looked up once per directory.
     directories = listed.select(directory.alias("directory")).distinct()
     parts = F.split("directory", "/")
-    levels = F.sequence(F.size(parts), F.greatest(F.lit(1), F.size(parts) - MAX_DEPTH + 1))
+    levels = F.sequence(F.size(parts), F.lit(1), F.lit(-1))
     above = F.transform(levels, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     above = F.when(F.col("directory") == "", F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(above, F.array(F.lit("")))))
     steps = directories.select("directory", F.posexplode(above).alias("steps", "ancestor"))

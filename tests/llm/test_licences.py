@@ -90,6 +90,43 @@ def test_headers_files_and_identifiers(spark):
     assert (got["h2/a.c"], got["h3/a.c"], got["s/cc"], got["x/1"]) == ("GPL-2.0", "GPL-3.0", "CC-BY-SA-4.0", None)
 
 
+def test_families_quoted_headers_and_reserved_rights(spark):
+    from tabweave.llm.licence_texts import whole_texts
+
+    texts = dict(whole_texts())
+    paragraphs = lambda name: "Copyright (c) 2020, Some Body. All rights reserved.\n\n" + re.sub(r"([.:;]) ", r"\1\n\n", texts[name])
+    mit = "Released under the MIT License."
+    rows = [(f"{name}/LICENSE", paragraphs(name), True) for name in ("BSD-2-Clause", "BSD-3-Clause")]
+    rows += [(f"quoted/{i}.py", f"{q}\n{texts['BSD-2-Clause']}\n{q}\nimport os\n", False) for i, q in enumerate(("\"\"\"", "'''"))]
+    rows += [("m/LICENSE", mit, True), ("m/a.c", "// Copyright X. All rights reserved.\n// More code below.\nint main;", False)]
+    rows += [("p/x", "The publisher said: all rights reserved. Nobody minds.", False), ("own/x", "Unauthorized copying of this file, via any medium, is strictly prohibited", False)]
+    rows += [("deep/LICENSE", mit, True), ("deep/" + "d/" * 150 + "x", "code", False)]
+    got = scan(spark, rows)
+    assert {n: got[f"{n}/LICENSE"].own_licence for n in ("BSD-2-Clause", "BSD-3-Clause")} == {n: n for n in ("BSD-2-Clause", "BSD-3-Clause")}
+    assert [got[f"quoted/{i}.py"].own_licence for i in (0, 1)] == ["BSD-2-Clause"] * 2
+    assert (got["m/a.c"].own_licence, got["m/a.c"].licence) == (None, "MIT") and got["p/x"].licence is None and got["own/x"].licence == "Proprietary"
+    assert got["deep/" + "d/" * 150 + "x"].inherited_from == "deep"
+
+
+def test_texts_are_read_three_times(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b", "x")], "path string, text string").write.parquet(path)
+    df, reads = spark.read.parquet(path), []
+    real = lc.saved
+
+    def counted(frame, name):
+        reads.append(frame._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<path:string,text:string>"))
+        return real(frame, name)
+
+    lc.saved = counted
+    try:
+        last = lc.scan_licences(df, "path", "text", F.col("path").endswith("LICENSE"))
+        reads.append(last._jdf.queryExecution().executedPlan().toString().count("struct<path:string,text:string>"))
+    finally:
+        lc.saved = real
+    assert sum(reads) <= 3
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("a", "x")], "path string, text string")
     plan = lc.scan_licences(df, "path", "text", F.lit(False))._jdf.queryExecution().toString()
