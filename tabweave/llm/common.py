@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ MEMO_ENTRIES = 300_000
 # Bytes of text handled together, at least one document.
 BATCH_BYTES = 4_000_000
 
-NOT_WORD = re.compile(r"[\W_]+")
+# What is no letter, mark or digit at either end of a chunk.
+EDGES = regex.compile(r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -102,16 +103,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Memo from a chunk between white space to the 64-bit hash of its word; 0 if it holds no letter or digit.
+    """Memo from a chunk between white space to the 64-bit hash of its word.
 
-    The word is the chunk in lower case without anything but letters and digits.
+    The word is the chunk in lower case without what is no letter, mark or digit at its ends; a chunk of nothing else is its
+    own word.
     """
 
     def __missing__(self, chunk: str) -> int:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        word = NOT_WORD.sub("", chunk.lower())
-        value = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+        lower = chunk.lower()
+        word = lower if lower.isalnum() else EDGES.sub("", lower) or lower
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         # A very long chunk is not worth keeping.
         if len(chunk) <= 64:
             self[chunk] = value
@@ -120,8 +123,7 @@ class WordHashes(dict):
 
 def word_hashes(text: str | None, memo: WordHashes) -> np.ndarray:
     chunks = (text or "").split()
-    found = np.fromiter(map(memo.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
-    return found[found != 0] if len(found) and not found.all() else found
+    return np.fromiter(map(memo.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:

@@ -42,9 +42,13 @@ def multiset(text: str | None, memo: WordHashes) -> tuple[np.ndarray, np.ndarray
     return np.unique(shingle_hashes(word_hashes(text, memo)), return_counts=True)
 
 
-def node_of(hashes: np.ndarray, weights: np.ndarray) -> int:
-    """The number of a multiset: documents with equal multisets are copies and share it."""
-    digest = hashlib.md5(hashes.tobytes() + weights.astype("<i8").tobytes()).digest()
+def node_of(text: str | None, hashes: np.ndarray, weights: np.ndarray) -> int:
+    """The number of a multiset: documents with equal multisets are copies and share it. Texts without words share it if they are equal."""
+    if len(hashes):
+        held = hashes.tobytes() + weights.astype("<i8").tobytes()
+    else:
+        held = b"null" if text is None else b"text" + text.encode("utf-8", "surrogatepass")
+    digest = hashlib.md5(held).digest()
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
@@ -114,7 +118,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys = band_keys(signatures(sets))
             yield pd.DataFrame({
                 "id": part["id"],
-                "node": [node_of(*s) for s in sets],
+                "node": [node_of(t, *s) for t, s in zip(part["text"], sets)],
                 "shingles": [int(s[1].sum()) for s in sets],
                 "keys": [k if len(s[0]) else k[:0] for k, s in zip(keys, sets)],
             })
@@ -127,7 +131,7 @@ def _payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[i:j]
             sets = [multiset(t, memo) for t in part["text"]]
             # Of documents that share an id, only the one whose multiset is asked for counts.
-            rows = [(n, *_packed(*s)) for n, s in zip(part["node"], sets) if node_of(*s) == n]
+            rows = [(n, *_packed(*s)) for n, t, s in zip(part["node"], part["text"], sets) if node_of(t, *s) == n]
             yield pd.DataFrame(rows, columns=["node", "hashes", "extra"])
 
 
@@ -178,9 +182,9 @@ def _in_components(members: DataFrame, edges: DataFrame) -> DataFrame:
 def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """``(key, class_id, group_id, n_copies, kept)`` for every row with a key.
 
-    Words are chunks between white space in lower case, without marks; shingles are runs of five (all words of a shorter
-    text). Documents with equal shingle multisets are copies and share ``class_id``, the smallest key among them;
-    texts without words are copies of each other. Classes are linked if they share a band and their weighted Jaccard
+    Words are chunks between white space in lower case, without punctuation at their ends (a chunk of nothing else is a word
+    as it is); shingles are runs of five (all words of a shorter text). Documents with equal shingle multisets are copies
+    and share ``class_id``, the smallest key among them; null, empty and blank texts are copies of equal ones only. Classes are linked if they share a band and their weighted Jaccard
     similarity is ``least`` or more. ``group_id`` is the smallest key that links reach, ``n_copies`` the size of the
     class, and ``kept`` marks the one row of the group to stay. Repeated rows are copies: of rows that share the
     smallest key, every one is marked. Rows without a key are left out. Keys are integers. Other columns are left out.
