@@ -22,10 +22,14 @@ def _text(key: Key) -> Column:
     return (F.col(key) if isinstance(key, str) else key).cast("string")
 
 
+def seeded_digest(seed: int, *keys: Key) -> Column:
+    """32 hexadecimal digits that depend on the seed and the keys only."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_text(k) for k in keys]))
+
+
 def seeded_hash(seed: int, *keys: Key) -> Column:
     """A bigint in ``[0, HASH_SPAN)`` that depends on the seed and the keys only."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[_text(k) for k in keys]))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
+    return F.conv(F.substring(seeded_digest(seed, *keys), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
 def unit(seed: int, *keys: Key) -> Column:
