@@ -1,8 +1,8 @@
 """Ranks and running totals over whole tables without an unpartitioned window.
 
-A window without (or with few) partition keys sorts everything in one task. Here the order range is cut into parts at
-sampled points that become literals of the plan; each part is ranked by itself and the totals of the parts before it
-are added. Cut points only steer the work: any cut points give the same ranks.
+A window without (or with few) partition keys sorts everything in one task. Here rows are dealt to parts by ranges of
+their order, or of a seeded hash; each part is summed up by itself and the totals of the parts before it are joined to it.
+Where the ranges are cut only steers the work: any cuts give the same ranks.
 """
 
 from __future__ import annotations
@@ -12,23 +12,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabweave.functions.seeded import HASH_SPAN
+from tabweave.session import durable
 
 PART = "_part"
 
 # Rows one window task may be given before the order range is cut.
 ROWS_PER_PART = 2_000_000
-MAX_PARTS = 4096
 # Cuts up to which the search is spelled out in generated code.
 INLINE_CUTS = 255
 SAMPLES_PER_PART = 30
-CUT_CHARS = 64
 
 
 def part_count(rows: int, rows_per_part: int | None = None) -> int:
-    return max(1, min(MAX_PARTS, math.ceil(rows / (rows_per_part or ROWS_PER_PART))))
+    return max(1, math.ceil(rows / (rows_per_part or ROWS_PER_PART)))
+
+
+def in_order_parts(df: DataFrame, order: Sequence[str], most: int, rows_per_part: int | None = None) -> tuple[DataFrame, bool]:
+    """``df`` with its part in ``PART``, rising along ``order``, and whether there are several.
+
+    ``most`` is a bound of the number of rows that is cheap to know. Only beyond what one task can hold is ``df`` written,
+    counted and dealt to ranges; no cut point passes through the plan, so the number of parts has no limit.
+    """
+    if part_count(most, rows_per_part) == 1:
+        return df.withColumn(PART, F.lit(0)), False
+    held = durable(df)
+    parts = part_count(held.count(), rows_per_part)
+    if parts == 1:
+        return held.withColumn(PART, F.lit(0)), False
+    # Written with the part, since another run of the same range partitioning may cut elsewhere.
+    return durable(held.repartitionByRange(parts, *[F.col(f"`{c}`") for c in order]).withColumn(PART, F.spark_partition_id())), True
 
 
 def _spread(points: list, parts: int) -> list:
@@ -64,97 +78,72 @@ def _branch(key: Column, cuts: Sequence[Column], low: int, high: int) -> Column:
     return F.when(cuts[middle] <= key, _branch(key, cuts, middle + 1, high)).otherwise(_branch(key, cuts, low, middle))
 
 
-def _cut_key(df: DataFrame, c: str) -> Column:
-    """A column as a cut point: the start of a text will do, which bounds what the driver is sent."""
-    col = F.col(f"`{c}`")
-    return (F.left(col, F.lit(CUT_CHARS)) if isinstance(df.schema[c].dataType, T.StringType) else col).alias(c)
-
-
-def value_cuts(
-    df: DataFrame, cols: Sequence[str], rows_per_part: int | None = None, least: int = 1
-) -> dict[str, list]:
-    """Sampled cut points of each column; empty lists while one task can hold a column.
-
-    ``least`` asks for that many parts even of a table that one task could hold.
-    """
+def value_cuts(df: DataFrame, cols: Sequence[str], parts: int) -> dict[str, list]:
+    """Sampled cut points of each column for about so many parts; they become literals, so ``parts`` has to be bounded."""
     rows = df.count()
-    parts = max(least, part_count(rows, rows_per_part))
     if parts == 1 or rows == 0:
         return {c: [] for c in cols}
     fraction = min(1.0, SAMPLES_PER_PART * parts / rows)
-    sample = df.select(*[_cut_key(df, c) for c in cols]).sample(fraction, seed=7).collect()
+    sample = df.select(*[F.col(f"`{c}`").alias(c) for c in cols]).sample(fraction, seed=7).collect()
     # A value that differs from itself is NaN, which Python cannot sort.
     return {c: _spread(sorted(r[i] for r in sample if r[i] is not None and r[i] == r[i]), parts) for i, c in enumerate(cols)}
 
 
-def key_part(df: DataFrame, order: Sequence[str], rows_per_part: int | None = None) -> Column | None:
-    """Part of each row in the order given by ``order``, compared as a whole so that a hot leading column is cut too.
-
-    None while one task can hold the table.
-    """
-    rows = df.count()
-    parts = part_count(rows, rows_per_part)
-    if parts == 1:
-        return None
-    fraction = min(1.0, SAMPLES_PER_PART * parts / rows)
-    points = df.select(*[_cut_key(df, c) for c in order]).sample(fraction, seed=7).orderBy(*order).collect()
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def literal(point) -> Column:
-        return F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, point)])
-
-    key = F.struct(*[F.col(c).alias(c) for c in order])
-    return part_of(key, [literal(p) for p in _spread(points, parts)])
-
-
 def hash_part(hashed: Column, parts: int) -> Column:
     """Part of a seeded hash; hashes are uniform, so equal ranges are equal parts."""
     return F.floor(hashed / F.lit(HASH_SPAN / parts)).cast("int")
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str | Column],
-    amount: Column | str,
-    name: str,
-    total: str | None = None,
+    amounts: dict[str, Column | str],
+    totals: dict[str, str] | None = None,
     split: bool = True,
+    last: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``amount`` per group; ``df`` carries the part of each row in ``PART``.
+    """Inclusive running sums of some ``amounts`` per group; ``df`` carries the part of each row in ``PART``.
 
-    ``total`` adds the sum of the whole group. ``split=False`` says that every row is in part 0.
+    ``totals`` names the sums of whole groups, by the name of the amount. ``last = (column, name)`` adds the greatest value of a
+    column in the parts before, null in the first one. ``split=False`` says that every row is in part 0.
     """
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    inside = Window.partitionBy(*group, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn(name, F.sum(amount).over(inside))
+    amounts = {n: F.col(a) if isinstance(a, str) else a for n, a in amounts.items()}
+    totals = totals or {}
+    own = [*group, PART] if split else [*group]
+    inside = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*group)
+    out = df.withColumns({n: F.sum(a).over(inside) for n, a in amounts.items()})
     if not split:
-        if total:
-            out = out.withColumn(total, F.sum(amount).over(Window.partitionBy(*group, PART)))
-        return out
-    across = Window.partitionBy(*group)
-    before = across.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*group, PART).agg(F.sum(amount).alias("_sum"))
+        out = out.withColumns({t: F.sum(amounts[n]).over(whole) for n, t in totals.items()})
+        return out.withColumn(last[1], F.lit(None).cast(df.schema[last[0]].dataType)) if last else out
+    before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*group, PART).agg(*[F.sum(a).alias(f"_sum_{n}") for n, a in amounts.items()], *([F.max(last[0]).alias("_last")] if last else []))
+    # One row per group and part.
     shift = sums.select(
         *group,
         PART,
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-        F.sum("_sum").over(across).alias("_whole"),
+        *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in amounts],
+        *[F.sum(f"_sum_{n}").over(whole).alias(t) for n, t in totals.items()],
+        *([F.max("_last").over(before).alias(last[1])] if last else []),
     )
-    out = out.join(shift, [*group, PART]).withColumn(name, F.col(name) + F.col("_before"))
-    if total:
-        out = out.withColumn(total, F.col("_whole"))
-    return out.drop("_before", "_whole")
+    out = out.join(shift, [*group, PART]).withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in amounts})
+    return out.drop(*[f"_before_{n}" for n in amounts])
+
+
+def running_total(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], amount: Column | str, name: str, total: str | None = None, split: bool = True
+) -> DataFrame:
+    """One of ``running_totals``; ``total`` adds the sum of the whole group."""
+    return running_totals(df, group, order, {name: amount}, {name: total} if total else None, split)
 
 
 def global_rank(
     df: DataFrame, order: Sequence[str], name: str, total: str | None = None, rows_per_part: int | None = None
 ) -> DataFrame:
     """1-based position of every row in the order of a unique key; ``total`` adds the row count."""
-    part = key_part(df, order, rows_per_part)
-    tagged = df.withColumn(PART, F.lit(0) if part is None else part)
-    out = running_total(tagged, [], order, F.lit(1).cast("bigint"), name, total, part is not None)
-    return out.drop(PART)
+    tagged, split = in_order_parts(df, order, df.count(), rows_per_part)
+    return running_total(tagged, [], order, F.lit(1).cast("bigint"), name, total, split).drop(PART)
 
 
 def hash_rank(

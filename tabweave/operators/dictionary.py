@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import ENTRY_BYTES, long_values, lookup
 from tabweave.functions.numeric import rounded
-from tabweave.functions.ordering import PART, key_part, running_total
+from tabweave.functions.ordering import in_order_parts, running_total
 from tabweave.roles import Roles, cat_cols
 
 
@@ -23,9 +23,8 @@ def fit_dictionary(
     """
     long = df.select(F.col(order_key).alias("_order"), F.explode(long_values(cats)).alias("_v")).select("_order", "_v.*")
     values = long.groupBy("column", "value").agg(F.min("_order").alias("_first"), F.count("*").alias("n"))
-    part = key_part(df.select(F.col(order_key).alias("_first")), ["_first"], rows_per_part)
-    tagged = values.withColumn(PART, F.lit(0) if part is None else part)
-    ranked = running_total(tagged, ["column"], ["_first", "value"], F.lit(1).cast("bigint"), "_rank", split=part is not None)
+    tagged, split = in_order_parts(values, ["column", "_first", "value"], df.count() * len(cats), rows_per_part)
+    ranked = running_total(tagged, ["column"], ["_first", "value"], F.lit(1).cast("bigint"), "_rank", split=split)
     rows = df.agg(F.count("*").alias("rows")).scalar()
     return ranked.select(
         "column",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import one_row
-from tabweave.functions.ordering import PART, global_rank, part_of, running_total, value_cuts
+from tabweave.functions.ordering import PART, global_rank, in_order_parts, running_totals
 from tabweave.operators.association import mixed_matrix, pearson_matrix
 from tabweave.operators.profile import column_moments
 from tabweave.roles import Roles
@@ -118,8 +118,9 @@ def wasserstein(
     """``(column, distance)``: one-dimensional earth mover's distance of each column.
 
     With an ``order`` both sides are cut to the length of the shorter first. Values are counted before anything is
-    sorted; cumulative shares come from partwise running sums, and each part knows the first value of the next one.
+    sorted; one scan in order sums up both sides, and the last value of a part is carried over its edge.
     """
+    most = (real.select().unionAll(synthetic.select()).count()) * len(cols)
     if order is not None:
         real, synthetic = _heads(real, synthetic, order, rows_per_part)
     if scaler is not None:
@@ -128,36 +129,19 @@ def wasserstein(
     both = real.select(*double, F.lit(1).alias("_u"), F.lit(0).alias("_v")).unionAll(
         synthetic.select(*double, F.lit(0).alias("_u"), F.lit(1).alias("_v"))
     )
-    cuts = value_cuts(both, cols, rows_per_part)
-    split = any(cuts.values())
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            part_of(F.col(f"`{c}`"), [F.lit(float(x)) for x in cuts[c]]).alias(PART),
-            F.col(f"`{c}`").alias("value"),
-        )
-        for c in cols
-    ]
+    structs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in cols]
     long = both.select("_u", "_v", F.explode(F.array(*structs)).alias("_s")).select("_u", "_v", "_s.*")
-    counts = long.filter(F.col("value").isNotNull()).groupBy("column", PART, "value").agg(
-        F.sum("_u").alias("u"), F.sum("_v").alias("v")
-    )
-    ranked = running_total(counts, ["column"], ["value"], "u", "cu", "nu", split)
-    ranked = running_total(ranked, ["column"], ["value"], "v", "cv", "nv", split)
-    here = Window.partitionBy("column", PART).orderBy("value")
-    following = F.lead("value").over(here)
-    if split:
-        starts = counts.groupBy("column", PART).agg(F.min("value").alias("_start"))
-        parts = Window.partitionBy("column").orderBy(PART)
-        next_start = starts.select("column", PART, F.lead("_start").over(parts).alias("_next"))
-        ranked = ranked.join(next_start, ["column", PART])
-        following = F.coalesce(following, F.col("_next"))
-    shares = [F.try_divide(F.col(c), F.col(n)) for c, n in (("cu", "nu"), ("cv", "nv"))]
-    gap = F.abs(shares[0] - shares[1]) * (following - F.col("value"))
+    counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.sum("_u").alias("u"), F.sum("_v").alias("v"))
+    counts, split = in_order_parts(counts, ["column", "value"], most, rows_per_part)
+    scanned = running_totals(counts, ["column"], ["value"], {"cu": "u", "cv": "v"}, {"cu": "nu", "cv": "nv"}, split, last=("value", "_edge"))
+    earlier = F.lag("value").over(Window.partitionBy("column", *([PART] if split else [])).orderBy("value"))
+    # What has been summed up before a value holds from the value before it on.
+    shares = [F.try_divide(F.col(c) - F.col(a), F.col(n)) for c, a, n in (("cu", "u", "nu"), ("cv", "v", "nv"))]
+    gap = F.abs(shares[0] - shares[1]) * (F.col("value") - F.coalesce(earlier, F.col("_edge")))
     # One distinct value has no gaps and distance zero; an empty side has no distance.
-    both = (F.min("nu") > 0) & (F.min("nv") > 0)
-    distance = F.when(both, F.coalesce(F.sum("_gap"), F.lit(0.0)))
-    return ranked.withColumn("_gap", gap).groupBy("column").agg(distance.alias("distance"))
+    filled = (F.min("nu") > 0) & (F.min("nv") > 0)
+    distance = F.when(filled, F.coalesce(F.sum("_gap"), F.lit(0.0)))
+    return scanned.withColumn("_gap", gap).groupBy("column").agg(distance.alias("distance"))
 
 
 def mean_wasserstein(real: DataFrame, synthetic: DataFrame, cols: Sequence[str], **options) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import long_values, small_side
 from tabweave.functions.numeric import norm_cdf, rounded
-from tabweave.functions.ordering import PART, running_total, value_cuts
-from tabweave.operators.quantiles import PERCENTILES, as_double, buffered, exact_quantiles, parted_values
+from tabweave.functions.ordering import PART, in_order_parts, running_total
+from tabweave.operators.quantiles import PERCENTILES, as_double, buffered, exact_quantiles, long_numbers
 
 # Candidate distributions in the order that decides ties.
 CANDIDATES = ("norm", "expon", "uniform")
@@ -66,9 +66,8 @@ def ranked_values(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), rows_per_part: int | None = None
 ) -> DataFrame:
     """``(keys, column, value, n, upto, rows)``: distinct values with their last 1-based rank."""
-    cuts = value_cuts(df, cols, rows_per_part)
-    split = any(cuts.values())
-    counts = parted_values(df, cols, keys, cuts).groupBy(*keys, "column", PART, "value").agg(F.count("*").alias("n"))
+    counts = long_numbers(df, cols, keys).groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
+    counts, split = in_order_parts(counts, [*keys, "column", "value"], df.count() * len(cols), rows_per_part)
     return running_total(counts, [*keys, "column"], ["value"], "n", "upto", "rows", split).drop(PART)
 
 

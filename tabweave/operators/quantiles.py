@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.ordering import PART, ROWS_PER_PART, part_of, value_cuts
+from tabweave.functions.ordering import PART, ROWS_PER_PART, part_count, part_of, value_cuts
 
 # The profiled percentiles.
 PERCENTILES = {"p01": 0.01, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
@@ -29,6 +29,7 @@ SAMPLE_ROWS, BRACKET_WIDTH = 50_000, 6.0
 BRACKET_ROWS = 500_000
 # Parts of the value range out of which percentiles per key are selected.
 SELECTION_PARTS = 64
+MAX_SELECTION_PARTS = 4096
 
 
 def as_double(c: str) -> Column:
@@ -205,17 +206,11 @@ def _pick(
     return found.groupBy("column").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in points])
 
 
-def parted_values(df: DataFrame, cols: Sequence[str], keys: Sequence[str], cuts: dict[str, list]) -> DataFrame:
-    """``(keys, column, part, value)`` of every number."""
+def long_numbers(df: DataFrame, cols: Sequence[str], keys: Sequence[str], cuts: dict[str, list] | None = None) -> DataFrame:
+    """``(keys, column[, part], value)`` of every number; with ``cuts`` also the part of its value."""
     numbers = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            part_of(F.col(f"_x{i}"), [F.lit(float(v)) for v in cuts.get(c, [])]).alias(PART),
-            F.col(f"_x{i}").alias("value"),
-        )
-        for i, c in enumerate(cols)
-    ]
+    part = lambda i, c: [] if cuts is None else [part_of(F.col(f"_x{i}"), [F.lit(float(v)) for v in cuts.get(c, [])]).alias(PART)]
+    structs = [F.struct(F.lit(c).alias("column"), *part(i, c), F.col(f"_x{i}").alias("value")) for i, c in enumerate(cols)]
     long = numbers.select(*keys, F.explode(F.array(*structs)).alias("_v")).select(*keys, "_v.*")
     return long.filter(F.col("value") <= math.inf)
 
@@ -231,8 +226,8 @@ def quantiles_by_parts(
 
     A hot key is spread over the parts like the values of the whole table.
     """
-    cuts = value_cuts(df, cols, rows_per_part, SELECTION_PARTS)
-    long = parted_values(df, cols, keys, cuts)
+    cuts = value_cuts(df, cols, min(MAX_SELECTION_PARTS, max(SELECTION_PARTS, part_count(df.count(), rows_per_part))))
+    long = long_numbers(df, cols, keys, cuts)
     group = [*keys, "column"]
     across = Window.partitionBy(*group)
     upto = F.sum("_part_rows").over(across.orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.currentRow))

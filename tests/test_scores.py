@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,54 @@ def test_nearest_equals_brute_force(spark, k, options, shape):
         assert [r[f"d{i + 1}"] for i in range(k)] == pytest.approx(list(want[r.a, r.b, r.c]), abs=1e-12)
 
 
+def clusters(seed, rows, columns=10, count=40):
+    """Rows around a few centres, spread along three directions of their own."""
+    rng = np.random.default_rng(9)
+    centres, ways = rng.normal(size=(count, columns)) * 20, rng.normal(size=(count, 3, columns))
+    rng = np.random.default_rng(seed)
+    which = rng.integers(0, count, rows)
+    return centres[which] + (rng.normal(size=(rows, 1, 3)) @ ways[which])[:, 0] + rng.normal(size=(rows, columns)) * 0.05
+
+
+def test_search_meets_few_leaves():
+    left, right = clusters(1, 500), clusters(2, 40_000)
+    leaves = neighbours.build_leaves(right, np.ones(len(right), int))
+    for k in (1, 3):
+        found, met = neighbours.search(left, leaves, k)
+        assert found == pytest.approx(np.sqrt(np.sort(((left[:, None] - right[None]) ** 2).sum(2), axis=1)[:, :k]), abs=1e-12)
+        assert len(leaves.low) > 600 and met / len(left) / len(leaves.low) < 0.03
+
+
+def test_points_meet_few_blocks(spark):
+    """Ten clustered columns: a few percent of the blocks per point, over all rounds."""
+    left, right = clusters(3, 400), clusters(4, 12_000)
+    names, visits = [f"c{i}" for i in range(10)], []
+    sides = [spark.createDataFrame(pd.DataFrame(side, columns=names)) for side in (left, right)]
+    got = neighbours.nearest_distances(*sides, names, 1, broadcast_points=0, block_points=60, visits=visits).collect()
+    want = {tuple(row): d for row, d in zip(left.tolist(), brute(left, right, 1)[:, 0])}
+    assert all(r.d1 == pytest.approx(want[tuple(r[n] for n in names)], abs=1e-12) for r in got) and len(got) == 400
+    assert sum(visits) / 400 / 200 < 0.05
+
+
+def test_large_blocks_are_searched_in_parts(spark):
+    rng = np.random.default_rng(6)
+    left, right = rng.normal(size=(60, 2)), rng.normal(size=(500, 2))
+    options = {"broadcast_points": 0, "block_points": 200, "chunk_points": 7, "part_points": 30}
+    got = neighbours.nearest_distances(points(spark, left), points(spark, right), ["a", "b"], 2, **options).collect()
+    want = {tuple(row): d for row, d in zip(left.tolist(), brute(left, right, 2).tolist())}
+    assert all([r.d1, r.d2] == pytest.approx(want[r.a, r.b]) for r in got) and len(got) == 60
+
+
+@pytest.mark.parametrize("options", [{}, SMALL_BLOCKS])
+def test_points_with_holes(spark, options):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 1.0)], "id int, a double, b double")
+    right = spark.createDataFrame([(3.0, 4.0), (None, 0.0), (0.0, float("nan"))], "a double, b double")
+    got = {r.id: r.d1 for r in neighbours.nearest_distances(left, right, ["a", "b"], 1, ["id"], **options).collect()}
+    assert got == {1: 5.0, 2: None, 3: None}
+    empty = neighbours.nearest_distances(left, right.limit(0), ["a", "b"], 1, ["id"], **options).collect()
+    assert [r.d1 for r in empty] == [None] * 3
+
+
 def test_nearest_collapses_copies(spark):
     left, right = np.array([[0.0], [0.0], [5.0]]), np.array([[1.0], [1.0], [9.0]])
     for options in ({}, {"broadcast_points": 0, "block_points": 1, "chunk_points": 1}):
