@@ -1,14 +1,14 @@
 """Text descriptions of columns ("cards"), rendered from profile tables inside Spark.
 
-A card is one text by nature, so the tables it is collected from are bounded: columns by the schema and categories by
-``MAX_CARD_VALUES``, which raises instead of cutting anything off.
+A card is one text by nature. ``top`` bounds the labels it lists: the heaviest ones are named and the others counted, so that
+no list grows with a column's labels. All of them are rows of the dictionary and of the shift tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.numeric import rounded
@@ -27,7 +27,7 @@ STATS = {
     "skew": ("skew", "skewness"),
     "kurtosis": ("kurtosis", "kurtosis"),
 }
-# Both spellings select the kurtosis.
+# Both spellings select the kurtosis; statistics that describe a shape.
 STAT_ALIASES = {"kurtiosis": "kurtosis"}
 SHAPE_STATS = {"25%", "50%", "75%", "skew", "kurtosis"}
 DEFAULT_STATS = ("min", "max", "mean", "std", "25%", "50%", "75%", "skew", "kurtosis", "correlations")
@@ -107,11 +107,13 @@ def numeric_card(
 
 
 def category_card(
-    dictionary: DataFrame, style: str = "percent", keys: Sequence[str] = (), order: str = "code", max_values: int | None = None
+    dictionary: DataFrame, style: str = "percent", keys: Sequence[str] = (), order: str = "code", max_values: int | None = None,
+    top: int | None = None,
 ) -> DataFrame:
     """``(keys, column, body)`` from ``(keys, column, value, prob, <order>)``.
 
-    A card is one text with every value, so a task has to hold it. ``max_values`` makes more values an error.
+    A card is one text with every value, so a task has to hold it. ``max_values`` makes more values an error; ``top`` lists the
+    likeliest ones, in the same order as ever, and counts the others.
 
     Styles: ``list`` (values and probabilities in two lists), ``percent`` (a line per value) and ``no_stats`` (values).
     """
@@ -130,7 +132,13 @@ def category_card(
                 F.raise_error(F.concat(F.lit("too many categories for a card: "), F.col("column")))
             ),
         )
+    if top is not None:
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("prob").desc(), order))
+        sizes = dictionary.groupBy(*group).agg(F.count("*").alias("_all"))
+        dictionary = dictionary.withColumn("_place", place).filter(F.col("_place") <= top).drop("_place").join(sizes, group)
+    others = F.first("_all") - F.count("*") if top is not None else F.lit(0)
     rows = dictionary.groupBy(*group).agg(
+        others.alias("_others"),
         F.array_sort(
             F.collect_list(
                 F.struct(F.col(order).alias("o"), "value", item.alias("item"), F.col("prob").cast("string").alias("p"))
@@ -145,20 +153,21 @@ def category_card(
         body = F.concat(F.lit(heading), join("item", "\n"))
     else:
         raise ValueError(f"unknown style {style!r}")
-    return rows.select(*group, body.alias("body"))
+    more = F.when(F.col("_others") > 0, F.concat(F.lit("\nand "), F.col("_others").cast("string"), F.lit(" rarer values"))).otherwise(F.lit(""))
+    return rows.select(*group, F.concat(body, more).alias("body"))
 
 
-def _strength(value: Column, strong: str = "highly ", weak: str = "slightly ") -> Column:
+def _link(value: Column) -> Column:
+    """How strong a link is, in words."""
     size = F.abs(value)
-    return F.when(size > STRONG, F.lit(strong)).when(size > PLAIN, F.lit("")).otherwise(F.lit(weak))
+    return F.when(size > STRONG, F.lit("a strong link")).when(size > PLAIN, F.lit("a clear link")).otherwise(F.lit("a faint link"))
 
 
 def _pearson_sentence(value: Column) -> Column:
-    sign = F.when(value > 0, F.lit("positively")).otherwise(F.lit("negatively"))
-    tail = F.when(value > 0, F.lit("; both rise together.")).otherwise(F.lit("; one falls as the other rises."))
+    way = F.when(value > 0, F.lit(", rising together")).otherwise(F.lit(", moving against each other"))
     return F.concat(
-        F.col("column"), F.lit(" is "), _strength(value), sign, F.lit(" correlated with "), F.col("other"),
-        F.lit(" (Pearson "), F.format_string("%.2f", value), F.lit(")"), tail,
+        F.col("column"), F.lit(" and "), F.col("other"), F.lit(": "), _link(value), way,
+        F.lit(" (Pearson "), F.format_string("%.2f", value), F.lit(")."),
     )
 
 
@@ -177,15 +186,31 @@ def coefficient_card(edges: DataFrame, roles: Roles, keys: Sequence[str] = ()) -
     # The name of each measure.
     measure = F.when(F.col("kind") == "cramers_v", F.lit("Cramér's V")).otherwise(F.lit("correlation ratio"))
     other = F.concat(
-        F.col("column"), F.lit(" is "), _strength(value), F.lit("associated with "), F.col("other"),
+        F.col("column"), F.lit(" and "), F.col("other"), F.lit(": "), _link(value),
         F.lit(" ("), measure, F.lit(" "), F.format_string("%.2f", value), F.lit(")."),
     )
     sentence = F.when(F.col("kind") == "pearson", _pearson_sentence(value)).otherwise(other)
     return _in_order(edges.withColumn("sentence", sentence), keys, list(roles))
 
 
-def _join_labels(condition: Column, label: str) -> Column:
-    return F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col(label)))), ", ")
+def _heaviest(shifts: DataFrame, group: Sequence[str], label: str, shift: str, top: int | None) -> DataFrame:
+    """``(group, up, labels)``: the labels that go up (or not) as one text, the ``top`` largest shifts and how many more."""
+    signed = shifts.withColumn("_up", F.col(shift) >= 0)
+    by = [*group, "_up"]
+    if top is not None:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.abs(shift).desc(), label))
+        sizes = signed.groupBy(*by).agg(F.count("*").alias("_all"))
+        signed = signed.withColumn("_place", place).filter(F.col("_place") <= top).drop("_place").join(sizes, by)
+    listed = F.array_join(F.array_sort(F.collect_list(label)), ", ")
+    others = F.first("_all") - F.count("*") if top is not None else F.lit(0)
+    texts = signed.groupBy(*by).agg(listed.alias("_labels"), others.alias("_others"))
+    more = F.when(F.col("_others") > 0, F.concat(F.lit(" and "), F.col("_others").cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return texts.select(*group, "_up", F.concat("_labels", more).alias("_labels"))
+
+
+def _side(up: bool) -> Column:
+    """The labels of one sign, empty if there are none."""
+    return F.coalesce(F.max(F.when(F.col("_up") == up, F.col("_labels"))), F.lit(""))
 
 
 def relationship_card(
@@ -196,17 +221,26 @@ def relationship_card(
     keys: Sequence[str] = (),
     strength: bool = False,
     allowed: DataFrame | None = None,
+    top: int | None = None,
 ) -> DataFrame:
     """``(keys, column, body)``: per edge, which labels go with more or less of the column.
 
     ``cat_shifts`` unites ``cat_given_cat`` and ``cat_given_cont``; ``cont_shifts`` is ``cont_given_cat``. ``allowed``
-    restricts to some ``(keys, column, other)``, such as columns that were generated before.
+    restricts to some ``(keys, column, other)``, such as columns that were generated before. ``top`` lists that many labels
+    of each sign, those that shift most, and as many conditions, those whose labels shift most; the others are counted.
     """
     pair = [*keys, "column", "other"]
     if allowed is not None:
         edges = edges.join(allowed.select(*pair).distinct(), pair, "left_semi")
     cats, conts = cat_cols(roles), cont_cols(roles)
-    by_condition = cat_shifts.groupBy(*pair, "condition").agg(_join_labels(F.col("shift") >= 0, "value").alias("likely"))
+    if top is not None:
+        # A condition is a label of the other column: of those too the ones that matter most are named.
+        weights = cat_shifts.groupBy(*pair, "condition").agg(F.max(F.abs("shift")).alias("_weight"))
+        place = F.row_number().over(Window.partitionBy(*pair).orderBy(F.col("_weight").desc(), "condition"))
+        named = weights.withColumn("_place", place).filter(F.col("_place") <= top).select(*pair, "condition")
+        more = weights.groupBy(*pair).agg(F.greatest(F.count("*") - top, F.lit(0)).alias("_more"))
+        cat_shifts = cat_shifts.join(named, [*pair, "condition"], "left_semi")
+    by_condition = _heaviest(cat_shifts, [*pair, "condition"], "value", "shift", top).groupBy(*pair, "condition").agg(_side(True).alias("likely"))
     is_number = F.col("other").isin(conts)
     side = F.when(F.col("condition") == "big", F.lit("above")).otherwise(F.lit("below"))
     clause = F.when(is_number, F.concat(F.lit("when "), F.col("other"), F.lit(" is "), side, F.lit(" its median"))).otherwise(
@@ -215,19 +249,16 @@ def relationship_card(
     cat_text = by_condition.withColumn("_t", F.concat(clause, F.lit(", more often "), F.col("likely"))).groupBy(*pair).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("condition", "_t"))), lambda s: s["_t"]), "; ").alias("_cat")
     )
-    cont_text = cont_shifts.groupBy(*pair).agg(
-        F.concat(
-            F.lit("higher for "), _join_labels(F.col("mean_shift") >= 0, "label"),
-            F.lit("; lower for "), _join_labels(F.col("mean_shift") < 0, "label"),
-        ).alias("_cont")
+    if top is not None:
+        rest = F.when(F.col("_more") > 0, F.concat(F.lit("; and "), F.col("_more").cast("string"), F.lit(" more cases"))).otherwise(F.lit(""))
+        cat_text = cat_text.join(more, pair).select(*pair, F.concat("_cat", rest).alias("_cat"))
+    cont_text = _heaviest(cont_shifts, pair, "label", "mean_shift", top).groupBy(*pair).agg(
+        F.concat(F.lit("higher for "), _side(True), F.lit("; lower for "), _side(False)).alias("_cont")
     )
     joined = edges.join(cat_text, pair, "left").join(cont_text, pair, "left")
-    words = _strength(F.col("value"), "strongly ") if strength else F.lit("")
+    words = F.concat(F.lit(", "), _link(F.col("value"))) if strength else F.lit("")
     detail = F.when(F.col("column").isin(cats), F.col("_cat")).otherwise(F.col("_cont"))
-    influenced = F.concat(
-        F.col("column"), F.lit(" is "), words, F.lit("influenced by "), F.col("other"), F.lit(": "),
-        F.coalesce(detail, F.lit("")), F.lit("."),
-    )
+    influenced = F.concat(F.col("column"), F.lit(" depends on "), F.col("other"), words, F.lit(": "), F.coalesce(detail, F.lit("")), F.lit("."))
     sentence = F.when(F.col("kind") == "pearson", _pearson_sentence(F.col("value"))).otherwise(influenced)
     return _in_order(joined.withColumn("sentence", sentence), keys, list(roles))
 

@@ -28,17 +28,22 @@ class TableProfile:
 
 
 def profile_table(
-    df: DataFrame, roles: Roles, order_key: str, shapes: bool = True, symmetric: bool = True
+    df: DataFrame, roles: Roles, order_key: str, shapes: bool = True, symmetric: bool = True, fast: bool = False
 ) -> TableProfile:
     """Profile complete rows; what later steps read many times is written to the checkpoint folder once.
 
-    The caller chooses the rows: give the training part alone to keep test rows out of the profile.
+    The caller chooses the rows: give the training part alone to keep test rows out of the profile. ``fast`` leaves out
+    mixture modes and shifts, and takes Pearson correlations over category codes for the associations.
     """
     check_roles(roles)
     cats, conts = cat_cols(roles), cont_cols(roles)
     numeric = durable(profile.numeric_profile(df, conts)) if conts else _no_numbers(df)
-    edges = durable(association.association_edges(df, roles, symmetric=symmetric))
     labels = durable(dictionary.fit_dictionary(df, cats, order_key)) if cats else _no_labels(df)
+    if fast:
+        coded = dictionary.encode(df.select(*[F.col(f"`{c}`") for c in roles]), labels, roles) if cats else df
+        shape = durable(profile.fit_distribution(df, conts, profile=numeric)) if shapes and conts else None
+        return TableProfile(roles, labels, numeric, shape, None, durable(association.coded_edges(coded, roles)), *_no_shifts(df))
+    edges = durable(association.association_edges(df, roles, symmetric=symmetric))
     # Cards name the labels that are more likely; label pairs that were never seen are none of them.
     by_cat = shifts.cat_given_cat(df, edges, roles, observed_only=True)
     by_cont = shifts.cat_given_cont(df, edges, roles, profile=numeric, observed_only=True)
@@ -64,6 +69,17 @@ def _no_labels(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "column string, value string, code bigint, n bigint, prob double")
 
 
+def _no_shifts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    empty = df.sparkSession.createDataFrame
+    return (
+        empty([], "column string, other string, condition string, value string, shift double"),
+        empty([], "column string, other string, label string, mean_shift double, std_shift double"),
+    )
+
+
+# Labels that a card names, of a column and of each sign of a relationship; all of them are in the profile's tables.
+MAX_LABELS = 1_000
+
 # The generator variants as combinations of card styles and reply formats.
 VARIANTS = {
     "basic": {"categories": "list", "relations": "coefficient", "layout": "csv", "shape": False},
@@ -84,12 +100,16 @@ def profile_cards(
     descriptions: dict[str, str] | None = None,
     no_stats: bool = False,
     allowed: DataFrame | None = None,
+    max_labels: int | None = MAX_LABELS,
 ) -> DataFrame:
-    """``(column, position, card)`` of every column in the style of a generator variant."""
+    """``(column, position, card)`` of every column in the style of a generator variant.
+
+    A card names the ``max_labels`` heaviest labels and counts the others; None names all.
+    """
     options = VARIANTS[variant]
     shape, modes = (p.shape, p.modes) if options["shape"] else (None, None)
     numbers = cards.numeric_card(p.numeric, stats, (), shape, modes, no_stats)
-    labels = cards.category_card(p.dictionary, "no_stats" if no_stats else options["categories"])
+    labels = cards.category_card(p.dictionary, "no_stats" if no_stats else options["categories"], top=max_labels)
     relations = None
     if "correlations" in stats and not no_stats:
         edges = p.edges
@@ -99,6 +119,6 @@ def profile_cards(
             relations = cards.coefficient_card(edges, p.roles)
         else:
             relations = cards.relationship_card(
-                edges, p.cat_shifts, p.cont_shifts, p.roles, strength=options["relations"] == "strength"
+                edges, p.cat_shifts, p.cont_shifts, p.roles, strength=options["relations"] == "strength", top=max_labels
             )
     return cards.column_card(numbers.unionByName(labels), p.roles, (), relations, descriptions)

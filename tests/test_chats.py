@@ -33,8 +33,8 @@ def profile(weather):
 def test_variants_differ_as_described(profile):
     sheets = {v: {r.column: r.card for r in profile_cards(profile, v).collect()} for v in VARIANTS}
     assert "with probabilities [" in sheets["basic"]["wet"] and "of 100 rows" in sheets["basic_bettercat"]["wet"]
-    assert "Cramér's V" in sheets["basic"]["wet"] and "influenced by" in sheets["json_relationships"]["wet"]
-    assert "strongly influenced" in sheets["relationships"]["wet"] and "strongly" not in sheets["json_relationships"]["wet"]
+    assert "Cramér's V" in sheets["basic"]["wet"] and "depends on" in sheets["json_relationships"]["wet"]
+    assert "a strong link" in sheets["relationships"]["wet"] and "link" not in sheets["json_relationships"]["wet"]
     assert sheets["columnwise_relationships_json_nodist"]["hours"].splitlines()[2].startswith("Numbers with")
     assert sheets["columnwise_relationships_json"]["hours"].splitlines()[2].startswith("Evenly distributed")
 
@@ -213,3 +213,54 @@ def test_chat_text_splits_only_if_asked(spark):
     assert len(whole) == 1 and whole[0].part == 0
     parts = chats.chat_to_text(turns, turns_per_text=1200).orderBy("part").collect()
     assert [p.part for p in parts] == [0, 1, 2] and "\n".join(p.text for p in parts) == whole[0].text
+
+
+def test_cards_of_very_many_labels(spark):
+    """A million labels: cards name the heaviest and count the others."""
+    from tabweave.operators import cards
+
+    ids = spark.range(1_000_000)
+    labels = ids.select(F.lit("c").alias("column"), F.concat(F.lit("v"), F.col("id")).alias("value"), F.col("id").alias("code"), (1 / (F.col("id") + 1)).alias("prob"))
+    card = cards.category_card(labels, "no_stats", top=3).first().body
+    assert card == "Categories:\n- v0\n- v1\n- v2\nand 999997 rarer values"
+    shift = F.when(F.col("id") % 2 == 0, 1).otherwise(-1) / (F.col("id") + 1)
+    by_label = ids.select(F.lit("x").alias("column"), F.lit("c").alias("other"), F.concat(F.lit("v"), F.col("id")).alias("label"), shift.alias("mean_shift"))
+    by_cat = ids.select(F.lit("c").alias("column"), F.lit("d").alias("other"), (F.col("id") % 1000).cast("string").alias("condition"), F.concat(F.lit("v"), F.col("id")).alias("value"), shift.alias("shift"))
+    edges = spark.createDataFrame([("x", "c", "eta", 0.6), ("c", "d", "cramers_v", 0.4)], "column string, other string, kind string, value double")
+    got = {r.column: r.body for r in cards.relationship_card(edges, by_cat, by_label, {"c": "str", "d": "str", "x": "float"}, top=2).collect()}
+    assert got["x"] == "x depends on c: higher for v0, v2 and 499998 more; lower for v1, v3 and 499998 more."
+    assert got["c"] == "c depends on d: when d is 0, more often v0, v1000 and 998 more; when d is 1, more often ; and 998 more cases."
+
+
+def test_profile_cards_name_all_of_few_labels(spark):
+    from tabweave.plans.profiling import profile_cards, profile_table
+
+    rows = spark.range(400).select("id", (F.col("id") % 7).cast("string").alias("a"), (F.col("id") % 7 * 2.0 + F.col("id") % 3).alias("x"))
+    p = profile_table(rows, {"a": "str", "x": "float"}, "id", shapes=False)
+    cards = [{r.column: r.card for r in profile_cards(p, "relationships", max_labels=m).collect()} for m in (None, 1000, 2)]
+    assert cards[0] == cards[1] != cards[2] and "and 5 rarer values" in cards[2]["a"]
+
+
+def test_evaluation_run(spark, tmp_path):
+    """Incomplete rows and repetitions, saved results, and errors of one metric beside scores of others."""
+    from tabweave.plans.evaluation import evaluate
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 5).cast("string").alias("k"), (F.col("id") % 50).cast("double").alias("y"), F.lit(1).alias("junk"))
+
+    def generate(profile, count):
+        assert profile.edges is not None and count == 3 * 300
+        return spark.range(count).select("id", (F.col("id") % 5).alias("k"), F.when(F.col("id") % 9 > 0, F.col("id") % 50).cast("double").alias("y"))
+
+    def fails(train, test, synthetic):
+        raise ValueError("no such score")
+
+    metrics = [("rows-Count", lambda train, test, synth: synth.agg(F.count("*").cast("double").alias("score"))), ("bad-Count", fails)]
+    run = evaluate(rows, {"k": "str", "y": "float"}, "y", "regression", ["id"], generate, rows=300, test_rows=100, dropped=["junk"], metrics=metrics, folder=str(tmp_path))
+    assert (run.train.count(), run.test.count(), run.generated.count()) == (300, 100, 900) and run.train.columns == ["k", "target"]
+    nulls = {(r.repetition, r.column): r.nulls for r in run.nulls.collect()}
+    assert sum(nulls[i, "y"] for i in range(3)) == 100 and sum(nulls[i, "k"] for i in range(3)) == 0
+    scores = {(r.model, r.repetition, r.metric): (r.score, r.error) for r in run.scores.collect()}
+    assert all(scores["synthetic", i, "rows-Count"] == (300.0 - nulls[i, "y"], None) for i in range(3)) and scores["GT", 0, "rows-Count"] == (300.0, None)
+    assert scores["synthetic", 1, "bad-Count"] == (-1.0, "no such score")
+    assert spark.read.json(f"{tmp_path}/scores").count() == 8
+    assert spark.read.option("header", True).csv(f"{tmp_path}/generated").groupBy("repetition").count().count() == 3

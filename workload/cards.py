@@ -102,12 +102,11 @@ def category_card_values_only(spark, sf):
 
 
 _PLACE = "list_position([" + ", ".join(f"'{c}'" for c in SALES_ROLES) + "], other)"
-_STRENGTH = "CASE WHEN abs(value) > 0.5 THEN '{}' WHEN abs(value) > 0.3 THEN '' ELSE 'slightly ' END"
-_PEARSON = f""""column" || ' is ' || {_STRENGTH.format('highly ')} || CASE WHEN value > 0 THEN 'positively' ELSE 'negatively' END
-  || ' correlated with ' || other || ' (Pearson ' || printf('%.2f', value) || ')'
-  || CASE WHEN value > 0 THEN '; both rise together.' ELSE '; one falls as the other rises.' END"""
+_LINK = "CASE WHEN abs(value) > 0.5 THEN 'a strong link' WHEN abs(value) > 0.3 THEN 'a clear link' ELSE 'a faint link' END"
+_PEARSON = f""""column" || ' and ' || other || ': ' || {_LINK} || CASE WHEN value > 0 THEN ', rising together' ELSE ', moving against each other' END
+  || ' (Pearson ' || printf('%.2f', value) || ').'"""
 _COEFFICIENT = f"""CASE WHEN kind = 'pearson' THEN {_PEARSON}
-  ELSE "column" || ' is ' || {_STRENGTH.format('highly ')} || 'associated with ' || other || ' ('
+  ELSE "column" || ' and ' || other || ': ' || {_LINK} || ' ('
     || CASE WHEN kind = 'cramers_v' THEN 'Cramér''s V' ELSE 'correlation ratio' END || ' ' || printf('%.2f', value) || ').' END"""
 
 
@@ -120,7 +119,7 @@ def coefficient_card(spark, sf):
 
 
 def _relationship_sql(strength: bool, allowed: str = "TRUE") -> str:
-    words = _STRENGTH.format("strongly ") if strength else "''"
+    words = f"', ' || {_LINK}" if strength else "''"
     names = "(" + ", ".join(f"'{c}'" for c in SALES_CATS) + ")"
     return f"""WITH {SALES_SQL}, {EDGES_SQL}, {SHIFT_TABLES}, {CAT_CAT_SQL}, {CAT_CONT_SQL}, {CONT_CAT_SQL},
     cat_shift AS (SELECT *, 'when ' || other || ' is ' || condition AS clause FROM cat_cat
@@ -132,7 +131,7 @@ def _relationship_sql(strength: bool, allowed: str = "TRUE") -> str:
     cont_text AS (SELECT "column", other, 'higher for ' || coalesce(string_agg(label, ', ' ORDER BY label) FILTER (mean_shift >= 0), '')
       || '; lower for ' || coalesce(string_agg(label, ', ' ORDER BY label) FILTER (mean_shift < 0), '') AS t FROM cont_cat GROUP BY ALL),
     sentences AS (SELECT "column", other, CASE WHEN kind = 'pearson' THEN {_PEARSON}
-        ELSE "column" || ' is ' || {words} || 'influenced by ' || other || ': '
+        ELSE "column" || ' depends on ' || other || {words} || ': '
           || CASE WHEN "column" IN {names} THEN coalesce(c.t, '') ELSE coalesce(n.t, '') END || '.' END AS s
       FROM edges LEFT JOIN cat_text c USING ("column", other) LEFT JOIN cont_text n USING ("column", other) WHERE {allowed})
     SELECT "column", string_agg(s, chr(10) ORDER BY {_PLACE}) AS body FROM sentences GROUP BY "column" """

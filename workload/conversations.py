@@ -242,21 +242,18 @@ def card_model(seed: int, rows: int):
     return answer
 
 
-def _generated_sql(chats_of_batch: str) -> str:
-    """Rows by the model's rule; ``chats_of_batch`` gives the number of chats that answer, by ``need`` rows asked for."""
-    cats = ", ".join(f"({hash_sql(MODEL_SEED, repr(c), 'j')}::HUGEINT * (SELECT count(DISTINCT {c}) FROM sales) // 4503599627370496)::BIGINT AS {c}" for c in SALES_CATS)
-    floats = ", ".join(
-        f"""((SELECT round(round(min({c}), 3) * 1000) FROM sales)::BIGINT + 1 + {hash_sql(MODEL_SEED, repr(c), 'j')}::HUGEINT
-          * ((SELECT round(round(max({c}), 3) * 1000) - round(round(min({c}), 3) * 1000) FROM sales)::BIGINT - 1) // 4503599627370496)::DOUBLE / 1000 AS {c}"""
-        for c in ("price", "duty")
-    )
-    return f"""WITH {SALES_SQL}, asked AS (SELECT count(*) AS need FROM customer),
+def generated_sql(chats_of_batch: str, asked: str = "SELECT count(*) AS need FROM customer", roles=tuple(SALES_ROLES), source: str = SALES_SQL) -> str:
+    """Rows by the model's rule, ``asked`` in all; ``chats_of_batch`` gives the number of chats that answer, by ``need``."""
+    draw = lambda c, n: f"({hash_sql(MODEL_SEED, repr(c), 'j')}::HUGEINT * {n} // 4503599627370496)::BIGINT"
+    limit = lambda f, c: f"(SELECT round(round({f}({c}), 3) * 1000) FROM sales)::BIGINT"
+    rule = {c: draw(c, f"(SELECT count(DISTINCT {c}) FROM sales)") for c in SALES_CATS}
+    rule |= {c: f"({limit('min', c)} + 1 + {draw(c, f'({limit("max", c)} - {limit("min", c)} - 1)')})::DOUBLE / 1000" for c in ("price", "duty")}
+    rule["month"] = "(SELECT min(month) FROM sales) + " + draw("month", "(SELECT max(month) - min(month) + 1 FROM sales)")
+    return f"""WITH {source}, asked AS ({asked}),
     batches AS (SELECT 0 AS batch, {chats_of_batch} AS n FROM asked),
     more AS (SELECT * FROM batches UNION ALL SELECT 1, ceil((need - n * {MODEL_ROWS}) / {MODEL_ROWS})::BIGINT FROM batches, asked WHERE need > n * {MODEL_ROWS}),
-    rows AS (SELECT j, {cats}, {floats},
-      (SELECT min(month) FROM sales) + ({hash_sql(MODEL_SEED, "'month'", 'j')}::HUGEINT * (SELECT max(month) - min(month) + 1 FROM sales) // 4503599627370496)::BIGINT AS month
-      FROM (SELECT unnest(range({MODEL_ROWS})) AS j))
-    SELECT batch, chat_id, j::INTEGER AS position, {", ".join(SALES_ROLES)}
+    rows AS (SELECT j, {", ".join(f"{rule[c]} AS {c}" for c in roles)} FROM (SELECT unnest(range({MODEL_ROWS})) AS j))
+    SELECT batch, chat_id, j::INTEGER AS position, {", ".join(roles)}
     FROM (SELECT batch, unnest(range(n)) AS chat_id FROM more) CROSS JOIN rows ORDER BY batch, chat_id, j LIMIT (SELECT need FROM asked)"""
 
 
@@ -269,19 +266,19 @@ def _generate(spark, sf, variant, **options):
     return generate_rows(p, model, table(spark, sf, "customer").count(), variant, **options)
 
 
-@query(_generated_sql("ceil(need / 16)::BIGINT"))
+@query(generated_sql("ceil(need / 16)::BIGINT"))
 def generate_rows_json(spark, sf):
     """As many rows as there are customers; the first batch is short of them."""
     return _generate(spark, sf, "json_relationships")
 
 
 # Chats are started for groups that may fail, so the first batch has enough rows.
-@query(_generated_sql("need"))
+@query(generated_sql("need"))
 def generate_rows_columnwise(spark, sf):
     return _generate(spark, sf, "columnwise_relationships_json")
 
 
-@query(_generated_sql("need"))
+@query(generated_sql("need"))
 def generate_rows_without_system(spark, sf):
     """Column-wise chats for models that take no system message."""
     return _generate(spark, sf, "columnwise_relationships_json_nodist", system=False)

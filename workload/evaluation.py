@@ -9,6 +9,7 @@ from tabweave.operators.neighbours import nearest_distances as nearest
 from tabweave.session import durable
 from tabweave.plans.scoring import default_metrics, score_table, with_control
 from workload.associations import cramers_sql, eta_sql, pearson_sql
+from workload.conversations import MODEL_ROWS, MODEL_SEED, card_model, generated_sql
 from workload.common import LINEITEM_CONTS, SALES_CATS, SALES_CONTS, SALES_ROLES, SALES_SQL, hash_sql, query, r, sales, table, trimmed
 
 # The control comparison: the shuffled training part plays the synthetic rows, the test part the real ones.
@@ -319,6 +320,61 @@ def utility_tree_one_threshold(spark, sf):
     return trimmed(utility.f1_macro(pred), 6, "score")
 
 
+# Three repetitions of generated rows beside the real training rows; the profile is that of the whole table.
+_RUN_SPLIT = SPLIT_SQL.replace("floor(n * 0.75)", "least(1500, floor(n * 0.75))").replace("floor(n * 0.25)", "least(500, floor(n * 0.25))")
+_RUN_ROWS = "(SELECT count(*) FROM train)"
+
+
+def _run_score(name: str, repetition: str, source: str) -> str:
+    gap = f"(SELECT avg(abs(x.v - y.v)) FROM ({_CORR('test')}) x JOIN ({_CORR(source)}) y USING (a, b))"
+    copies = f"(SELECT floor((sum(n) - count(*)) * 1000 / sum(n)) FROM (SELECT count(*) AS n FROM {source} GROUP BY {', '.join(SALES_CONTS)}))"
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS model, {repetition}::INTEGER AS repetition, '{metric}' AS metric, '{metric.split('-')[1]}' AS grp, {r(value)} AS score, CAST(NULL AS VARCHAR) AS error"
+        for metric, value in (("correlation-Corr", gap), ("privacy-Dub", copies))
+    )
+
+
+@query(
+    generated_sql("ceil(need / 16)::BIGINT", f"SELECT 3 * {_RUN_ROWS} AS need", SALES_CONTS, _RUN_SPLIT).replace(")\n    SELECT batch, chat_id, j::INTEGER", "),\n    made AS (SELECT batch, chat_id, j::INTEGER", 1)
+    + f"""), placed AS (SELECT *, row_number() OVER (ORDER BY {hash_sql(42, 'batch', 'chat_id', 'position')}, batch, chat_id, position) AS k FROM made),
+    {", ".join(f"rep{i} AS (SELECT * FROM placed WHERE k > {i} * {_RUN_ROWS} AND k <= {i + 1} * {_RUN_ROWS})" for i in range(3))}
+    """
+    + " UNION ALL ".join([*[_run_score("synthetic", str(i), f"rep{i}") for i in range(3)], _run_score("GT", "0", "train")])
+)
+def evaluation_run(spark, sf):
+    """From the raw table to scores: profile, split, generation by a model that reads its cards, slices, scores."""
+    from tabweave.plans.evaluation import evaluate
+    from tabweave.plans.generating import generate_rows
+
+    def generate(profile, count):
+        return generate_rows(profile, card_model(MODEL_SEED, MODEL_ROWS), count, "json_relationships")
+
+    chosen = [m for m in default_metrics(SALES_CONTS, "regression") if m[0] in ("correlation-Corr", "privacy-Dub")]
+    renamed = [(n, (lambda train, test, synth, f=f: f(*(t.withColumnRenamed("target", "duty") for t in (train, test, synth))))) for n, f in chosen]
+    run = evaluate(sales(spark, sf), {c: SALES_ROLES[c] for c in SALES_CONTS}, "duty", "regression", ["id"], generate, dropped=["half", "quarter"], metrics=renamed)
+    return trimmed(run.scores, 6, "score")
+
+
+_CODES = ", ".join(f"m_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY min(id), {c}) - 1 AS code FROM sales GROUP BY {c})" for c in SALES_CATS)
+_CODED = f"""coded AS (SELECT {", ".join(f"m_{c}.code AS {c}" for c in SALES_CATS)}, {", ".join(SALES_CONTS)} FROM sales
+  {" ".join(f"JOIN m_{c} ON m_{c}.v = sales.{c}" for c in SALES_CATS)})"""
+
+
+@query(
+    f"""WITH {SALES_SQL}, {_CODES}, {_CODED}, matrix AS ({" UNION ALL ".join(
+        f"SELECT '{a}' AS " + '"column"' + f", '{b}' AS other, corr({a}, {b}) AS v FROM coded" for a in SALES_ROLES for b in SALES_ROLES if a != b)})
+    SELECT "column", other, 'pearson' AS kind, {r('v', 2)} AS value FROM matrix WHERE abs(v) > 0.2"""
+)
+def cheap_profile_edges(spark, sf):
+    """Associations of the cheap profile: correlations over category codes, no modes and no shifts."""
+    from tabweave.plans.profiling import profile_table
+
+    p = profile_table(sales(spark, sf), SALES_ROLES, "id", fast=True)
+    if p.modes is not None or not (p.cat_shifts.isEmpty() and p.cont_shifts.isEmpty()):
+        raise AssertionError("the cheap profile holds modes or shifts")
+    return p.edges
+
+
 @query()
 def score_table_regression(spark, sf):
     """All default metrics on rows drawn from the marginals, and on the training part itself as control."""
@@ -329,4 +385,5 @@ def score_table_regression(spark, sf):
     synthetic = durable(sample_marginals(train, SALES_CONTS, train.count()))
     rename = lambda d: prepare.rename_target(d.select(*SALES_CONTS), "duty")
     cols = ["price", "month", "target"]
-    return score_table(with_control(rename(synthetic), rename(train)), rename(train), rename(test), default_metrics(cols, "regression"))
+    scaler = durable(fidelity.fit_scaler(rename(train), cols))
+    return score_table(with_control(rename(synthetic), rename(train)), rename(train), rename(test), default_metrics(cols, "regression", scaler=scaler))
