@@ -37,10 +37,6 @@ def word_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, offsets, chunks
 
 
-def _sure(chunk: str) -> bool:
-    return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
-
-
 class ChunkEncoder:
     """``encode_many`` turns texts into lists of ids; of a worker's latest ``memo`` chunks or so the ids are remembered.
 
@@ -64,7 +60,8 @@ class ChunkEncoder:
         for i in [i for i, ids in enumerate(found) if ids is None]:
             chunk = chunks[i]
             ids = old.get(chunk)
-            if ids is None and not _sure(chunk):
+            # Sure of its bounds is a chunk without white space at its ends.
+            if ids is None and (not chunk or chunk.strip() != chunk):
                 ids = False
             if ids is None:
                 fresh.append(i)

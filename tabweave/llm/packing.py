@@ -25,8 +25,6 @@ OVERHEAD = 16
 # Tokens and rows a shard should hold.
 SHARD_TOKENS = 40_000_000
 SHARD_ROWS = 400_000
-# Pieces looked at when the room of a new bin is filled in thought.
-LOOK_AHEAD = 16
 
 
 class Waiting:
@@ -43,9 +41,12 @@ class Waiting:
             self.values.pop(bisect.bisect_left(self.values, size))
 
     def filled(self, room: int) -> int:
-        """Tokens of the longest waiting pieces that fit one after the other."""
+        """Tokens of the longest waiting pieces that fit one after the other.
+
+        Each step goes on to a smaller size, so there are no more of them than different sizes that fit together.
+        """
         total, at = 0, len(self.values)
-        for _ in range(LOOK_AHEAD):
+        while total < room:
             at = bisect.bisect_right(self.values, room - total, 0, at) - 1
             if at < 0:
                 break

@@ -38,8 +38,8 @@ SHAPE_RUN = re.compile(r"(.)\1+")
 
 
 def shape(chunk: str) -> str:
-    """A chunk with letters as x or X, digits as 9, and runs as one character."""
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in chunk[:64])
+    """A whole chunk with letters as x or X, digits as 9, and runs as one character."""
+    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in chunk)
     return SHAPE_RUN.sub(r"\1", kinds)
 
 

@@ -9,6 +9,7 @@ Spark writes to will do and a repeated task leaves no half-written file.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,13 +27,15 @@ from tabweave.llm.ordered import id_cuts, sorted_ranges
 
 # Tokens after which a block is closed, after the document at hand.
 BLOCK_TOKENS = 2_000_000
+# Ids below this are counted by their own number.
+COUNTED_IDS = 1 << 20
 
 # Lengths of the four ranks that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
-# Marks that are one piece when they follow letters.
-MARKS = ".,;:!?"
+# Marks that are one piece when they follow letters; an apostrophe may be part of a word.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,6 +45,7 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+
 class LibraryEncoder:
     """The tokenizers library. Chunks of letters, with marks behind them, are one or two pieces whose bounds are known,
     so they go to its model at once; all else goes through its whole encoder."""
@@ -52,7 +56,8 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # The library finds added tokens, special ones included, anywhere in a text.
         added = list(self.tokenizer.get_added_tokens_decoder().values())
-        plain = [t.content for t in added if t.content.strip(MARKS).isalpha()]
+        # Those that could stand inside letters with marks behind them.
+        plain = [t.content for t in added if not t.content.rstrip(MARKS) or t.content.rstrip(MARKS).isalpha()]
         # Those that reach over white space, or look beyond their own letters, may not meet a cut.
         self.wide = tuple(t.content.strip() for t in added if any(map(str.isspace, t.content)) or t.lstrip or t.rstrip or t.single_word)
         self.model = self.tokenizer.model
@@ -61,33 +66,41 @@ class LibraryEncoder:
         rule = self.tokenizer.pre_tokenizer
         known_rule = isinstance(rule, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         self.direct = known_rule and rule.use_regex and not rule.add_prefix_space and not plain
-        self.marks: dict[str, list[int]] = {"": []}
+        self.marks: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
-        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
-            spelled = self.space + piece[1:]
-        else:
-            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return [token.id for token in self.model.tokenize(spelled)]
+        return [token.id for token in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
 
     def _known(self, text: str) -> list[int] | None:
         letters = text.rstrip(MARKS)
-        if not self.direct or text[:1] != " " or not letters[1:].isalpha():
+        word = letters[1:]
+        if not self.direct or text[:1] != " " or not word.isalpha():
             return None
+        ids = [token.id for token in self.model.tokenize(self.space + word)] if word.isascii() else self._piece(letters)
+        if len(letters) == len(text):
+            return ids
         marks = text[len(letters) :]
-        if marks not in self.marks:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self._piece(marks)
             # Runs of marks are short in any text worth keeping; others are not remembered.
-            if len(marks) > 3:
-                return self._piece(letters) + self._piece(marks)
-            self.marks[marks] = self._piece(marks)
-        return self._piece(letters) + self.marks[marks]
+            if len(marks) <= 3:
+                self.marks[marks] = found
+        return ids + found
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        out = [self._known(t) for t in texts]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, encoding in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = encoding.ids
-        return out
+        # Hundreds of thousands of short lists, none in a cycle, which the collector would visit again and again.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            out = [self._known(t) for t in texts]
+            rest = [i for i, ids in enumerate(out) if ids is None]
+            for i, encoding in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+                out[i] = encoding.ids
+            return out
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -99,11 +112,22 @@ def library_encoder(path: str) -> ChunkEncoder:
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Rank table, control stream and data stream of ids."""
-    table, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < COUNTED_IDS:
+        # Small ids are counted in place, without a sort.
+        every = np.bincount(ids)
+        table = np.flatnonzero(every).astype(ids.dtype)
+        counts = every[table]
+    else:
+        table, counts = np.unique(ids, return_counts=True)
     order = np.lexsort((table, -counts))
-    rank_of = np.empty(len(table), dtype=np.uint32)
-    rank_of[order] = np.arange(len(table), dtype=np.uint32)
-    ranks = rank_of[place]
+    if len(ids) and ids.max() < COUNTED_IDS:
+        rank_of = np.empty(int(ids.max()) + 1, dtype=np.uint32)
+        rank_of[table[order]] = np.arange(len(table), dtype=np.uint32)
+        ranks = rank_of[ids]
+    else:
+        rank_of = np.empty(len(table), dtype=np.uint32)
+        rank_of[order] = np.arange(len(table), dtype=np.uint32)
+        ranks = rank_of[np.searchsorted(table, ids)]
     sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     codes[: len(ids)] = sizes - 1

@@ -121,3 +121,13 @@ def test_query(spark, sf):
     assert {d: sum(n for _, n in parts) for d, parts in tokens.items()} == want
     lengths = {r.bin_id: r.bin_length for r in out}
     assert sum(want.values()) >= 0.9 * sum(lengths.values())
+
+
+def test_a_new_bin_is_filled_in_thought_with_many_sizes():
+    from tabweave.llm.packing import Waiting
+
+    sizes = list(range(300, 340))
+    total = 0
+    for size in sorted(sizes, reverse=True):
+        total += size if total + size <= 8192 else 0
+    assert Waiting(sizes).filled(8192) == total > 16 * 340

@@ -63,3 +63,9 @@ def test_poor_documents_go(spark):
     poor = [(100 + i, "BUY!! THIS!! NOW!! AND!! SAVE!! MONEY!! TODAY!! HERE!! OK!!") for i in range(12)]
     kept = ql.drop_poor(spark.createDataFrame(good + poor, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _ in good]
+
+
+def test_shapes_are_those_of_whole_chunks():
+    from tabweave.llm.quality import shape
+
+    assert shape("a" * 100) != shape("a" * 100 + "%$" * 5) and shape("Ab" * 50 + "7") == "Xx" * 50 + "9"
