@@ -283,6 +283,43 @@ def utility_BayesianRidge(spark, sf):
     return utility.mse(pred)
 
 
+def _separable(model):
+    def run(spark, sf):
+        train, test = (p.filter("month <= 3 OR month >= 10") for p in parts(spark, sf))
+        rows = [p.select((F.col("month") / 10).alias("x"), (F.col("price") / 500000).alias("y"), F.when(F.col("month") > 6, 1).otherwise(0).alias("target")) for p in (train, test)]
+        found = utility.utility_classification(*rows, ["x", "y"], model)
+        return found.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+    return run
+
+
+# Classes with a wide gap between them: whatever a model's optimum is, it lies in the gap, and every test row is right.
+for _model in ("LinearSVC", "LogisticRegression", "RandomForestClassifier", "MLPClassifier"):
+    query(
+        f"""WITH {SPLIT_SQL} SELECT (month > 6)::DOUBLE AS label, (month > 6)::DOUBLE AS prediction, count(*) AS n
+        FROM test WHERE month <= 3 OR month >= 10 GROUP BY 1, 2""",
+        name=f"utility_separable_{_model}",
+    )(_separable(_model))
+
+
+# With one feature the evidence iteration is one of numbers.
+@query(
+    f"""WITH RECURSIVE {SPLIT_SQL.replace("SELECT * FROM shuffled", "SELECT price / 100000 AS x, duty / 10000 AS y FROM shuffled")},
+    g AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, count(*) * var_pop(x) AS xx, count(*) * covar_pop(x, y) AS xy, count(*) * var_pop(y) AS yy FROM train),
+    steps AS (
+      SELECT 0 AS i, 1 / (yy / n + 2.220446049250313e-16) AS alpha, 1::DOUBLE AS lam, 0::DOUBLE AS w, 1::DOUBLE AS moved FROM g
+      UNION ALL
+      SELECT i + 1, (n - alpha * xx / (lam + alpha * xx) + 2e-6) / (greatest(yy - 2 * v * xy + v * v * xx, 0) + 2e-6),
+        (alpha * xx / (lam + alpha * xx) + 2e-6) / (v * v + 2e-6), v, abs(v - w)
+      FROM (SELECT *, xy / (xx + lam / alpha) AS v FROM steps CROSS JOIN g) WHERE moved >= 1e-3 AND i < 300),
+    f AS (SELECT xy / (xx + lam / alpha) AS b, mx, my FROM steps CROSS JOIN g ORDER BY i DESC LIMIT 1)
+    SELECT {r("avg((y - (my + b * (x - mx))) ** 2)", 5)} AS score FROM test CROSS JOIN f"""
+)
+def utility_bayesian_ridge_one_feature(spark, sf):
+    train, test = (p.select((F.col("price") / 100000).alias("x"), (F.col("duty") / 10000).alias("y")) for p in parts(spark, sf))
+    return trimmed(utility.mse(utility.utility_regression(train, test, ["x"], "BayesianRidge", "y")), 5, "score")
+
+
 # Least squares with two features from their centred products.
 _TWO = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in SALES_CONTS)
 

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
-
+from pyspark.sql import functions as F
 
 from tabweave.functions.numeric import NORM_TAIL_DENOMINATOR, NORM_TAIL_NUMERATOR
+from tabweave.functions.seeded import standard_normal
 from tabweave.operators import profile
-from workload.common import LINEITEM_CATS, LINEITEM_CONTS, query, r, table, trimmed, unpivot_sql
+from workload.common import LINEITEM_CATS, LINEITEM_CONTS, normal_sql, query, r, table, trimmed, unpivot_sql
 
 POINTS = profile.PERCENTILES
 
@@ -115,6 +116,20 @@ def fit_modes(spark, sf):
     return profile.fit_modes(table(spark, sf, "lineitem"), LINEITEM_CONTS)
 
 
+# Two narrow groups far apart: each mode is the mean, share and spread of its group.
+
+
+@query(
+    f"""WITH v AS (SELECT month(o_orderdate) > 6 AS late, CASE WHEN month(o_orderdate) > 6 THEN 1000 ELSE 10 END + {normal_sql(42, 'o_orderkey')} AS x FROM orders)
+    SELECT 'x' AS "column", late::INTEGER AS mode, {r('avg(x)', 4)} AS mean, {r('count(*) / (SELECT count(*) FROM v)', 4)} AS weight, {r('stddev_pop(x)', 3)} AS std
+    FROM v GROUP BY late"""
+)
+def fit_modes_separated(spark, sf):
+    late = F.month("o_orderdate") > 6
+    rows = table(spark, sf, "orders").select((F.when(late, 1000).otherwise(10) + standard_normal(42, "o_orderkey")).alias("x"))
+    return trimmed(trimmed(profile.fit_modes(rows, ["x"]), 4, "mean", "weight"), 3, "std")
+
+
 @query()
 def fit_modes_per_key(spark, sf):
     return profile.fit_modes(table(spark, sf, "events"), ["value"], ["event_type"])
