@@ -41,12 +41,15 @@ def _matrix_gap(real: DataFrame, synthetic: DataFrame, name: str) -> DataFrame:
     return a.join(b, ["column", "other"]).agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias(name))
 
 
-def correlation_gap(real: DataFrame, synthetic: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean absolute difference of the full Pearson matrices, diagonal included; null if any entry is undefined."""
-    a, b = pearson_matrix(real, cols, diagonal=True), pearson_matrix(synthetic, cols, diagonal=True)
-    pairs = a.withColumnRenamed("value", "_a").join(b.withColumnRenamed("value", "_b"), ["column", "other"])
+def correlation_gap(real: DataFrame, synthetic: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Mean absolute difference of the full Pearson matrices, diagonal included; null if any entry is undefined.
+
+    With ``keys`` of the synthetic rows one matrix of theirs per key.
+    """
+    a, b = pearson_matrix(real, cols, diagonal=True), pearson_matrix(synthetic, cols, keys, diagonal=True)
+    pairs = b.withColumnRenamed("value", "_b").join(F.broadcast(a.withColumnRenamed("value", "_a")), ["column", "other"])
     gap = F.abs(F.col("_a") - F.col("_b"))
-    return pairs.agg(F.when(F.count(gap) == F.count("*"), F.avg(gap)).alias("score"))
+    return pairs.groupBy(*keys).agg(F.when(F.count(gap) == F.count("*"), F.avg(gap)).alias("score"))
 
 
 def mixed_correlation_gap(real: DataFrame, synthetic: DataFrame, roles: Roles) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, Transformer
@@ -83,25 +84,42 @@ def utility_classification(
     return fitted.transform(held).select("label", "prediction")
 
 
-def _gram(df: DataFrame, features: Sequence[str], label: str):
-    """Count, means and centred cross products over the complete rows: a d x d result for the driver.
+class Gram(NamedTuple):
+    """Count, means and centred cross products of complete rows, the label last."""
+
+    n: int
+    mean: np.ndarray
+    centred: np.ndarray
+
+
+def grams(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = ()) -> dict[tuple, Gram]:
+    """The Gram matrix of each key's complete rows in one aggregation: a d x d result per key for the driver.
 
     Covariances are aggregated about running means, so large means or counts cancel nothing.
     """
     names = [*features, label]
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    rows = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)])
     whole = [F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}") for i in range(len(names))]
     rows = rows.filter(reduce(Column.__and__, whole))
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     aggs = [F.count("*"), *[F.avg(f"x{i}") for i in range(len(names))], *[F.covar_pop(f"x{i}", f"x{j}") for i, j in pairs]]
-    row = rows.agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).first()
-    n, d = row[0], len(names)
-    if not n:
+    out, d = {}, len(names)
+    for row in rows.groupBy(*keys).agg(*[a.alias(f"_{i}") for i, a in enumerate(aggs)]).collect():
+        values = row[len(keys) :]
+        n = values[0]
+        if n:
+            centred = np.zeros((d, d))
+            for (i, j), value in zip(pairs, values[1 + d :]):
+                centred[i, j] = centred[j, i] = n * value
+            out[tuple(row[: len(keys)])] = Gram(n, np.array(values[1 : 1 + d], float), centred)
+    return out
+
+
+def _gram(df: DataFrame, features: Sequence[str], label: str) -> Gram:
+    found = grams(df, features, label)
+    if not found:
         raise ValueError("no complete rows to train on")
-    centred = np.zeros((d, d))
-    for (i, j), value in zip(pairs, row[1 + d :]):
-        centred[i, j] = centred[j, i] = n * value
-    return n, np.array(row[1 : 1 + d], float), centred
+    return found[()]
 
 
 def bayesian_ridge(df: DataFrame, features: Sequence[str], label: str, iterations: int = 300, tol: float = 1e-3):
@@ -110,14 +128,18 @@ def bayesian_ridge(df: DataFrame, features: Sequence[str], label: str, iteration
     The table is read once; the iteration works on a matrix as wide as the feature list. Fixed values: the four
     hyperprior parameters of 1e-6.
     """
-    n, mean, centred = _gram(df, features, label)
+    return _evidence(_gram(df, features, label), iterations, tol)
+
+
+def _evidence(gram: Gram, iterations: int = 300, tol: float = 1e-3) -> tuple[np.ndarray, float]:
+    n, mean, centred = gram
     xx, xy, yy = centred[:-1, :-1], centred[:-1, -1], centred[-1, -1]
     prior = 1e-6
     eigen, vectors = np.linalg.eigh(xx)
     eigen = np.maximum(eigen, 0)
     alpha, lam = 1.0 / (yy / n + np.finfo(float).eps), 1.0
     rotated = vectors.T @ xy
-    weights = np.zeros(len(features))
+    weights = np.zeros(len(xy))
     for _ in range(iterations):
         old = weights
         weights = vectors @ (rotated / (eigen + lam / alpha))
@@ -131,6 +153,69 @@ def bayesian_ridge(df: DataFrame, features: Sequence[str], label: str, iteration
     return weights, float(mean[-1] - mean[:-1] @ weights)
 
 
+def _lasso(xx: np.ndarray, xy: np.ndarray, penalty: float = 1.0, rounds: int = 10_000) -> np.ndarray:
+    """Coordinate descent on the Gram matrix per row."""
+    weights = np.zeros(len(xy))
+    for _ in range(rounds):
+        before = weights.copy()
+        for j in range(len(xy)):
+            if xx[j, j] > 0:
+                pull = xy[j] - xx[j] @ weights + xx[j, j] * weights[j]
+                weights[j] = np.sign(pull) * max(abs(pull) - penalty, 0.0) / xx[j, j]
+        if np.abs(weights - before).max(initial=0) < 1e-12:
+            break
+    return weights
+
+
+def linear_fit(model: str, gram: Gram) -> tuple[np.ndarray, float]:
+    """Weights and intercept of one of the four linear models, all of which depend on the Gram matrix alone."""
+    n, mean, centred = gram
+    xx, xy = centred[:-1, :-1], centred[:-1, -1]
+    if model == "BayesianRidge":
+        return _evidence(gram)
+    if model == "LinearRegression":
+        weights = np.linalg.lstsq(xx, xy, rcond=None)[0]
+    elif model == "Ridge":
+        weights = np.linalg.solve(xx + np.eye(len(xy)), xy)
+    elif model == "Lasso":
+        weights = _lasso(xx / n, xy / n)
+    else:
+        raise ValueError(f"unknown regressor {model!r}")
+    return weights, float(mean[-1] - mean[:-1] @ weights)
+
+
+def regression_scores(
+    synthetic: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    label: str = "target",
+    scaler: DataFrame | None = None,
+    keys: Sequence[str] = (),
+    models: Sequence[str] = REGRESSORS,
+) -> DataFrame:
+    """``(keys, model, score)``: the mean squared error on ``test`` of every model trained on each key's synthetic rows.
+
+    Training sums up one Gram matrix per key, and so does testing: the error is a quadratic form of the test rows'
+    moments. Two jobs serve any number of keys and models. Incomplete synthetic rows are left out, incomplete test rows are an
+    error, and a key without complete rows has no score.
+    """
+    if scaler is not None:
+        synthetic = apply_scaler(synthetic, scaler, [*features, label])
+        test = apply_scaler(test, scaler, [*features, label])
+    held, rows = grams(test, features, label).get(()), test.count()
+    if held is None or held.n < rows:
+        raise ValueError("the test rows are incomplete" if rows else "no test rows")
+    out = []
+    for key, gram in grams(synthetic, features, label, keys).items():
+        for model in models:
+            weights, intercept = linear_fit(model, gram)
+            turn = np.append(-weights, 1.0)
+            offset = held.mean @ turn - intercept
+            out.append((*key, model, float(turn @ held.centred @ turn / held.n + offset**2)))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in synthetic.select(*keys).schema.fields) if keys else ""
+    return synthetic.sparkSession.createDataFrame(out, f"{kinds.removesuffix(', ') + ', ' if kinds else ''}model string, score double")
+
+
 def utility_regression(
     synthetic: DataFrame,
     test: DataFrame,

@@ -250,6 +250,41 @@ def test_score_table_of_repetitions(spark):
     assert all(r.error is None and r.score > 0 for r in rows)
 
 
+def test_regression_scores_are_those_of_the_models(spark):
+    _, _, df = regression_data(spark)
+    scaler = fidelity.fit_scaler(df, ["a", "b", "target"])
+    train = df.withColumn("repetition", F.pmod(F.xxhash64("a"), F.lit(2)))
+    got = {(r.repetition, r.model): r.score for r in utility.regression_scores(train, df, ["a", "b"], scaler=scaler, keys=["repetition"]).collect()}
+    assert len(got) == 8
+    for n in (0, 1):
+        part = train.filter(F.col("repetition") == n)
+        for model in utility.REGRESSORS:
+            want = utility.mse(utility.utility_regression(part, df, ["a", "b"], model, scaler=scaler)).first().score
+            assert got[n, model] == pytest.approx(want, rel=1e-5, abs=1e-8)
+    with pytest.raises(ValueError, match="incomplete"):
+        utility.regression_scores(df, df.unionAll(spark.createDataFrame([(None, 1.0, 1.0)], df.schema)), ["a", "b"])
+
+
+def test_jobs_do_not_grow_with_repetitions(spark):
+    """The closed-form metrics of many repetitions take as many jobs as those of one, with an error per empty one."""
+    _, _, df = regression_data(spark)
+    df = df.cache()
+    chosen = [m for m in default_metrics(["a", "b", "target"], "regression") if not str(m[0]).startswith("privacy-DCR")]
+    jobs = []
+    for count in (2, 12):
+        parts = df.withColumn("repetition", F.pmod(F.xxhash64("a"), F.lit(count)))
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"score-{count}", "")
+        rows = score_table({"synthetic": parts}, df, df, chosen).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"score-{count}")))
+        spark.sparkContext.setJobGroup("rest", "")
+        assert len(rows) == 6 * count and all(r.error is None for r in rows)
+    assert jobs[1] <= jobs[0] + 2
+    hole = df.withColumn("repetition", F.lit(0)).unionAll(df.limit(3).withColumns({"a": F.lit(None).cast("double"), "repetition": F.lit(1)}))
+    got = {(r.repetition, r.metric): (r.score, r.error) for r in score_table({"synthetic": hole}, df, df, chosen[:1]).collect()}
+    assert got[1, "Ridge-MSE"] == (-1.0, "no complete rows") and got[0, "Ridge-MSE"][1] is None
+
+
 def test_null_rows_do_not_bend_a_fit(spark):
     rows = [(float(x), 2.0 * x + 1) for x in range(50)] + [(None, 5.0), (7.0, None)]
     df = spark.createDataFrame(rows, "a double, target double")
