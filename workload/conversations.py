@@ -134,7 +134,26 @@ def column_groups(spark, sf):
     return groups.select("group_no", F.array_join("columns", ",").alias("columns"))
 
 
-@query()
+_EVENT_COLUMNS = ["value", "hour", "cost"]
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT event_type, value, hour(ts) AS hour, value * 2 + hour(ts) AS cost FROM events),
+    matrix AS ({" UNION ALL ".join(f"SELECT event_type, '{a}' AS c, '{b}' AS other, corr({a}, {b}) AS v FROM d GROUP BY 1" for a in _EVENT_COLUMNS for b in _EVENT_COLUMNS if a != b)}),
+    cols AS (SELECT event_type, c, row_number() OVER (PARTITION BY event_type ORDER BY {hash_sql(42, "event_type", "c")}, c) AS i
+      FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (SELECT unnest({_EVENT_COLUMNS}) AS c)),
+    near AS (SELECT event_type, i, c, coalesce(list(other) FILTER (other IS NOT NULL), []) AS near
+      FROM cols LEFT JOIN (SELECT * FROM matrix WHERE abs(v) > 0.2) USING (event_type, c) GROUP BY event_type, i, c),
+    fold AS (
+      SELECT DISTINCT event_type, 0::BIGINT AS i, []::VARCHAR[][] AS groups FROM events
+      UNION ALL
+      SELECT step.event_type, near.i, CASE WHEN fits = 0 THEN list_append(groups, [near.c])
+          ELSE list_transform(groups, lambda g, k: CASE WHEN k = fits THEN list_append(g, near.c) ELSE g END) END
+      FROM (SELECT f.event_type, f.i, f.groups, coalesce(list_position(list_transform(f.groups, lambda g: len(g) < 8 AND NOT list_has_any(g, m.near)), TRUE), 0) AS fits
+            FROM fold f JOIN near m ON m.event_type = f.event_type AND m.i = f.i + 1) step JOIN near ON near.event_type = step.event_type AND near.i = step.i + 1)
+    SELECT event_type, CAST(k - 1 AS INTEGER) AS group_no, array_to_string(groups[k], ',') AS columns
+    FROM (SELECT event_type, groups, unnest(range(1, len(groups) + 1)) AS k FROM fold WHERE i = {len(_EVENT_COLUMNS)})"""
+)
 def column_groups_per_key(spark, sf):
     """Own edges and a random column order for every event type."""
     from tabweave.functions.seeded import seeded_hash
