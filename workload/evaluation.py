@@ -275,12 +275,35 @@ for _model, _slope in _SLOPES.items():
     query(_sql, name=f"utility_{_model}")(_regress(_model))
 
 
-@query()
+# With two features the ridge system and its eigenvalues have closed forms.
+_SCALED_TWO = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in SALES_CONTS)
+
+
+@query(
+    f"""WITH RECURSIVE {SPLIT_SQL},
+    z AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SALES_CONTS)} FROM train),
+    x AS (SELECT price AS p, month AS m, duty AS y FROM (SELECT {_SCALED_TWO} FROM train CROSS JOIN z)),
+    t AS (SELECT price AS p, month AS m, duty AS y FROM (SELECT {_SCALED_TWO} FROM test CROSS JOIN z)),
+    g AS (SELECT count(*)::DOUBLE AS n, avg(p) AS ap, avg(m) AS am, avg(y) AS ay, n * var_pop(p) AS pp, n * var_pop(m) AS mm, n * covar_pop(p, m) AS pm,
+      n * covar_pop(p, y) AS py, n * covar_pop(m, y) AS my, n * var_pop(y) AS yy,
+      (pp + mm) / 2 + sqrt((pp - mm) ** 2 / 4 + pm * pm) AS e1, (pp + mm) / 2 - sqrt((pp - mm) ** 2 / 4 + pm * pm) AS e2 FROM x),
+    steps AS (
+      SELECT 0 AS i, 1 / (yy / n + 2.220446049250313e-16) AS alpha, 1::DOUBLE AS lam, 0::DOUBLE AS wp, 0::DOUBLE AS wm, 1::DOUBLE AS moved FROM g
+      UNION ALL
+      SELECT i + 1, (n - eff + 2e-6) / (greatest(yy - 2 * (vp * py + vm * my) + vp * vp * pp + 2 * vp * vm * pm + vm * vm * mm, 0) + 2e-6),
+        (eff + 2e-6) / (vp * vp + vm * vm + 2e-6), vp, vm, abs(vp - wp) + abs(vm - wm)
+      FROM (SELECT *, alpha * e1 / (lam + alpha * e1) + alpha * e2 / (lam + alpha * e2) AS eff, lam / alpha AS k,
+          (py * (mm + k) - my * pm) / ((pp + k) * (mm + k) - pm * pm) AS vp, (my * (pp + k) - py * pm) / ((pp + k) * (mm + k) - pm * pm) AS vm
+        FROM steps CROSS JOIN g) WHERE moved >= 1e-3 AND i < 300),
+    f AS (SELECT ap, am, ay, lam / alpha AS k, (py * (mm + k) - my * pm) / ((pp + k) * (mm + k) - pm * pm) AS bp,
+      (my * (pp + k) - py * pm) / ((pp + k) * (mm + k) - pm * pm) AS bm FROM steps CROSS JOIN g ORDER BY i DESC LIMIT 1)
+    SELECT {r("avg((y - (ay + bp * (p - ap) + bm * (m - am))) ** 2)", 5)} AS score FROM t CROSS JOIN f"""
+)
 def utility_BayesianRidge(spark, sf):
     train, test = parts(spark, sf)
     scaler = fidelity.fit_scaler(train, SALES_CONTS)
     pred = utility.utility_regression(train, test, ["price", "month"], "BayesianRidge", "duty", scaler)
-    return utility.mse(pred)
+    return trimmed(utility.mse(pred), 5, "score")
 
 
 def _separable(model):
