@@ -40,11 +40,16 @@ def word_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 class ChunkEncoder:
     """``encode_many`` turns texts into lists of ids; of a worker's latest ``memo`` chunks or so the ids are remembered.
 
-    Texts that hold one of the strings ``whole_if`` are encoded whole.
+    Texts that hold one of the strings ``whole_if`` are encoded whole. ``encode_chunks`` is a quicker way to the ids, as bytes, of
+    a space and each of some chunks.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], memo: int = MEMO_ENTRIES, whole_if: tuple[str, ...] = ()):
+    def __init__(
+        self, encode_many: Callable[[list[str]], list[list[int]]], memo: int = MEMO_ENTRIES, whole_if: tuple[str, ...] = (),
+        encode_chunks: Callable[[list[str]], list[bytes]] | None = None,
+    ):
         self.encode_many, self.memo, self.whole_if = encode_many, memo, whole_if
+        self.encode_chunks = encode_chunks or (lambda chunks: self._packed([" " + c for c in chunks]))
         # Ids of a chunk as bytes, or False for a chunk that is not sure.
         self.young: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
@@ -69,7 +74,7 @@ class ChunkEncoder:
             found[i] = ids
             if len(chunk) <= KEPT_CHARS:
                 young[chunk] = ids
-        for i, ids in zip(fresh, self._packed([" " + chunks[i] for i in fresh])):
+        for i, ids in zip(fresh, self.encode_chunks([chunks[i] for i in fresh])):
             found[i] = ids
             if len(chunks[i]) <= KEPT_CHARS:
                 young[chunks[i]] = ids

@@ -9,7 +9,6 @@ Spark writes to will do and a repeated task leaves no half-written file.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,80 +33,52 @@ COUNTED_IDS = 1 << 20
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
-# Marks that are one piece when they follow letters; an apostrophe may be part of a word.
-MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else the next one from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in printable]
-    return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-
+# The letter that byte-level vocabularies write for a space, and chunks encoded as one text.
+SPACE = chr(0x100 + 0x20)
+JOINED_CHUNKS = 1_000
 
 
 class LibraryEncoder:
-    """The tokenizers library. Chunks of letters, with marks behind them, are one or two pieces whose bounds are known,
-    so they go to its model at once; all else goes through its whole encoder."""
+    """The tokenizers library. Chunks between single spaces are encoded many at a time, as one text: where the vocabulary is
+    byte-level, the tokens that open with a space show where each of them begins."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The library finds added tokens, special ones included, anywhere in a text.
-        added = list(self.tokenizer.get_added_tokens_decoder().values())
-        # Those that could stand inside letters with marks behind them.
-        plain = [t.content for t in added if not t.content.rstrip(MARKS) or t.content.rstrip(MARKS).isalpha()]
-        # Those that reach over white space, or look beyond their own letters, may not meet a cut.
+        # The library finds added tokens, special ones included, anywhere in a text. Those that reach over white space, or look
+        # beyond their own letters, may not meet a cut.
+        added = self.tokenizer.get_added_tokens_decoder().values()
         self.wide = tuple(t.content.strip() for t in added if any(map(str.isspace, t.content)) or t.lstrip or t.rstrip or t.single_word)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.space = self.letters[0x20]
         rule = self.tokenizer.pre_tokenizer
-        known_rule = isinstance(rule, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
-        self.direct = known_rule and rule.use_regex and not rule.add_prefix_space and not plain
-        self.marks: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        return [token.id for token in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
-
-    def _known(self, text: str) -> list[int] | None:
-        letters = text.rstrip(MARKS)
-        word = letters[1:]
-        if not self.direct or text[:1] != " " or not word.isalpha():
-            return None
-        ids = [token.id for token in self.model.tokenize(self.space + word)] if word.isascii() else self._piece(letters)
-        if len(letters) == len(text):
-            return ids
-        marks = text[len(letters) :]
-        found = self.marks.get(marks)
-        if found is None:
-            found = self._piece(marks)
-            # Runs of marks are short in any text worth keeping; others are not remembered.
-            if len(marks) <= 3:
-                self.marks[marks] = found
-        return ids + found
+        known = isinstance(rule, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        self.joins = known and rule.use_regex and not rule.add_prefix_space
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith(SPACE)]] = True
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        # Hundreds of thousands of short lists, none in a cycle, which the collector would visit again and again.
-        collects = gc.isenabled()
-        gc.disable()
-        try:
-            out = [self._known(t) for t in texts]
-            rest = [i for i, ids in enumerate(out) if ids is None]
-            for i, encoding in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-                out[i] = encoding.ids
-            return out
-        finally:
-            if collects:
-                gc.enable()
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids, as bytes, of a space and each chunk; chunks hold no space."""
+        parts = [chunks[i : i + JOINED_CHUNKS] for i in range(0, len(chunks), JOINED_CHUNKS)]
+        out = []
+        for part, ids in zip(parts, self([" " + " ".join(p) for p in parts]) if self.joins else [[]] * len(parts)):
+            found = np.array(ids, dtype=np.int32)
+            begin = np.flatnonzero(self.opens[found]).tolist()
+            if len(begin) == len(part):
+                held = found.tobytes()
+                out += [held[4 * i : 4 * j] for i, j in zip(begin, [*begin[1:], len(found)])]
+            else:
+                out += [np.array(ids, dtype=np.int32).tobytes() for ids in self([" " + c for c in part])]
+        return out
 
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> ChunkEncoder:
     """The library's encoder behind a memo of chunks, built once per worker."""
     encoder = LibraryEncoder(path)
-    return ChunkEncoder(encoder, whole_if=encoder.wide)
+    return ChunkEncoder(encoder, whole_if=encoder.wide, encode_chunks=encoder.chunks)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
