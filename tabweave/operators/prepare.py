@@ -14,6 +14,7 @@ from tabweave.functions.ordering import ROWS_PER_PART, global_rank, hash_rank, p
 from tabweave.functions.seeded import seeded_hash
 from tabweave.operators.quantiles import values_at_ranks
 from tabweave.roles import ROLE_TYPES, Roles, check_roles
+from tabweave.session import durable
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -95,8 +96,9 @@ def rank_intervals(
         below = [F.when(F.col("_rank") > e, 1).otherwise(0) for e in ends]
         return ranked.withColumn("interval", sum(below, F.lit(0))).drop("_rank")
     wanted = sorted({e for e in ends if e > 0})
-    # Nulls come first and NaN last, as in a sort; the ranks between are those of the numbers.
-    tagged = df.withColumn("_lead", lead.cast("double"))
+    # Nulls come first and NaN last, as in a sort; the ranks between are those of the numbers. Every pass below and every reader of
+    # the result compares the lead, so it is hashed once and written: a filter would hash it once per comparison.
+    tagged = durable(df.withColumn("_lead", lead.cast("double")))
     nulls, numbers = tagged.agg(F.count_if(F.col("_lead").isNull()), F.count_if(F.col("_lead").isNotNull() & ~F.isnan("_lead"))).first()
     among = [e - nulls for e in wanted if nulls < e <= nulls + numbers]
     known = tagged.filter(F.col("_lead").isNotNull() & ~F.isnan("_lead"))

@@ -74,3 +74,14 @@ def test_csv_files(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, 'a "b"\nc', 2.5), (2, None, 3.0)]
     with pytest.raises(ValueError):
         read_table(spark, path, "orc")
+
+
+@pytest.mark.parametrize("by", [{"key": ["id"]}, {"order": ["lead", "id"]}])
+def test_parts_of_a_large_split_hash_no_row_again(spark, by):
+    df = spark.range(400).select("id", F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint").alias("lead"))
+    cut = prepare.train_test_split(df, 10**9, 10**9, **by, rows_per_part=50)
+    whole = {(r.id, r.split) for r in prepare.train_test_split(df, 10**9, 10**9, **by).collect()}
+    assert {(r.id, r.split) for r in cut.collect()} == whole and len(whole) == 400
+    for part in ("train", "test"):
+        plan = cut.filter(F.col("split") == part).drop("split")._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5" not in plan
