@@ -306,3 +306,8 @@ def test_default_metrics_by_task():
     assert metric_names(default_metrics(["a", "target"], "regression"))[:4] == [
         "LinearRegression-MSE", "Ridge-MSE", "Lasso-MSE", "BayesianRidge-MSE",
     ]
+
+
+def test_training_tasks_follow_the_cores():
+    assert [utility.training_tasks(n, 12) for n in (0, 1, 20_001, 10**5)] == [1, 1, 2, 5]
+    assert utility.training_tasks(10**7, 12) == utility.training_tasks(10**9, 12) <= 4 * 12
