@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import lookup
 from tabweave.functions.numeric import norm_cdf, plain_number, rounded
-from tabweave.functions.ordering import INLINE_CUTS, global_rank, hash_rank, part_of
+from tabweave.functions.ordering import INLINE_CUTS, global_rank, hash_rank, part_count, part_of
 from tabweave.functions.seeded import seeded_hash, standard_normal, unit
 
 
@@ -122,3 +122,8 @@ def test_long_texts_with_a_common_start(spark):
     assert all(r.rank == r.id + 1 for r in ranked.collect())
     short = spark.range(600).select("id", F.lpad(F.col("id").cast("string"), 4, "0").alias("t"))
     assert all(r.rank == r.id + 1 for r in global_rank(short, ["t"], "rank", rows_per_part=50).collect())
+
+
+def test_small_parts_do_not_become_tasks_without_end():
+    assert [part_count(n, 10) for n in (0, 10, 95, 60_000, 10**9)] == [1, 1, 10, 64, 500]
+    assert part_count(10**9) == 500 and part_count(10**9, 10**9) == 1
