@@ -64,6 +64,31 @@ def test_search_meets_few_leaves():
         assert len(leaves.low) > 600 and met / len(left) / len(leaves.low) < 0.03
 
 
+def test_search_measures_few_boxes(monkeypatch):
+    """A point goes down a tree: it is not compared with the boxes of all leaves."""
+    rng = np.random.default_rng(8)
+    left, right = rng.uniform(size=(400, 3)), rng.uniform(size=(30_000, 3))
+    leaves = neighbours.build_leaves(right, np.ones(len(right), int))
+    cells = []
+    whole = neighbours.box_distances
+    monkeypatch.setattr(neighbours, "box_distances", lambda points, low, high: cells.append(len(points) * len(low)) or whole(points, low, high))
+    found, met = neighbours.search(left, leaves, 1)
+    assert found[:, 0] == pytest.approx(np.sqrt(((left[:, None] - right[None]) ** 2).sum(2)).min(1), abs=1e-12)
+    assert sum(cells) < 0.1 * len(left) * len(leaves.low) and met / len(left) < 8
+
+
+@pytest.mark.parametrize("rows", [1, 2, 63, 65, 129, 1_000])
+def test_search_counts_no_row_twice(rows):
+    """Leaves of equal width are filled up; what fills them is nobody's neighbour."""
+    rng = np.random.default_rng(rows)
+    left, right = rng.normal(size=(40, 3)), rng.normal(size=(rows, 3))
+    left[0] = np.nan
+    for leaf in (3, 64):
+        found, _ = neighbours.search(left, neighbours.build_leaves(right, np.ones(rows, int), leaf), 3)
+        want = brute(left[1:], right, 3)
+        assert found[1:, : want.shape[1]] == pytest.approx(want) and np.isinf(found[0]).all() and np.isinf(found[:, rows:]).all()
+
+
 def test_points_meet_few_blocks(spark):
     """Ten clustered columns: a few percent of the blocks per point, over all rounds."""
     left, right = clusters(3, 400), clusters(4, 12_000)
