@@ -20,6 +20,8 @@ PART = "_part"
 
 # Rows one window task may be given before the order range is cut.
 ROWS_PER_PART = 2_000_000
+# Rows of a task of a large table that is written to be read many times.
+ROWS_PER_TASK = 500_000
 # Parts that smaller ones may come to: each is a task, and the rows, not their number, should decide what a rank costs.
 SMALL_PARTS = 64
 # Cuts up to which the search is spelled out in generated code.
@@ -33,6 +35,12 @@ def part_count(rows: int, rows_per_part: int | None = None) -> int:
     return max(1, min(wanted, max(SMALL_PARTS, math.ceil(rows / ROWS_PER_PART))))
 
 
+def spread(df: DataFrame, rows: int, key: Sequence[str]) -> DataFrame:
+    """``df`` dealt to tasks by its key: a file of one row group comes as one task, however large."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK))
+    return df.repartition(tasks, *[F.col(f"`{c}`") for c in key])
+
+
 def in_order_parts(df: DataFrame, order: Sequence[str], most: int, rows_per_part: int | None = None) -> tuple[DataFrame, bool]:
     """``df`` with its part in ``PART``, rising along ``order``, and whether there are several.
 

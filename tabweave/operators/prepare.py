@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.functions.ordering import ROWS_PER_PART, global_rank, hash_rank, part_count
+from tabweave.functions.ordering import ROWS_PER_PART, global_rank, hash_rank, part_count, spread
 from tabweave.functions.seeded import seeded_hash
 from tabweave.operators.quantiles import values_at_ranks
 from tabweave.roles import ROLE_TYPES, Roles, check_roles
@@ -98,7 +98,7 @@ def rank_intervals(
     wanted = sorted({e for e in ends if e > 0})
     # Nulls come first and NaN last, as in a sort; the ranks between are those of the numbers. Every pass below and every reader of
     # the result compares the lead, so it is hashed once and written: a filter would hash it once per comparison.
-    tagged = durable(df.withColumn("_lead", lead.cast("double")))
+    tagged = durable(spread(df, rows, ties).withColumn("_lead", lead.cast("double")))
     nulls, numbers = tagged.agg(F.count_if(F.col("_lead").isNull()), F.count_if(F.col("_lead").isNotNull() & ~F.isnan("_lead"))).first()
     among = [e - nulls for e in wanted if nulls < e <= nulls + numbers]
     known = tagged.filter(F.col("_lead").isNotNull() & ~F.isnan("_lead"))

@@ -85,3 +85,13 @@ def test_parts_of_a_large_split_hash_no_row_again(spark, by):
     for part in ("train", "test"):
         plan = cut.filter(F.col("split") == part).drop("split")._jdf.queryExecution().optimizedPlan().toString()
         assert "md5" not in plan
+
+
+def test_a_large_split_is_spread(spark):
+    """A file of one row group comes as one task; what reads the split has more."""
+    df = spark.range(3_000).withColumn("x", F.col("id") * 2).coalesce(1)
+    cut = prepare.train_test_split(df, 10**9, 10**9, key=["id"], rows_per_part=500)
+    sizes = [r["n"] for r in cut.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and sum(sizes) == 3_000
+    whole = prepare.train_test_split(df, 10**9, 10**9, key=["id"])
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
