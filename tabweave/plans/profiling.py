@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions.ordering import part_count, spread
 from tabweave.operators import association, cards, dictionary, profile, shifts
 from tabweave.roles import Roles, cat_cols, check_roles, cont_cols
 from tabweave.session import durable
@@ -37,6 +38,11 @@ def profile_table(
     """
     check_roles(roles)
     cats, conts = cat_cols(roles), cont_cols(roles)
+    rows = df.count()
+    if part_count(rows) > 1:
+        # Some twenty passes read a large table: it is spread and written once.
+        names = dict.fromkeys([order_key, *roles])
+        df = durable(spread(df.select(*[F.col(f"`{c}`") for c in names]), rows, [order_key]))
     numeric = durable(profile.numeric_profile(df, conts)) if conts else _no_numbers(df)
     labels = durable(dictionary.fit_dictionary(df, cats, order_key)) if cats else _no_labels(df)
     if fast:

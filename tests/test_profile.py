@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabweave.operators import association, dictionary, profile, quantiles, shifts
 
@@ -187,3 +188,20 @@ def test_nan_is_missing(spark, rows_per_part):
     df = spark.createDataFrame([(float(i),) for i in range(100)] + [(float("nan"),)] * 9, "x double")
     row = profile.numeric_profile(df, ["x"], rows_per_part=rows_per_part).first()
     assert row.n == 100 and row["max"] == 99.0 and row.p50 == 49.5
+
+
+def test_a_large_table_is_spread_before_it_is_profiled(spark, monkeypatch):
+    """A file of one row group comes as one task; the passes of a profile have more."""
+    from tabweave.functions import ordering
+    from tabweave.plans import profiling
+
+    df = spark.range(400).select("id", (F.col("id") % 3).cast("string").alias("c"), (F.col("id") * 1.5).alias("x")).coalesce(1)
+    small = profiling.profile_table(df, {"c": "str", "x": "float"}, "id", fast=True)
+    seen, whole = [], profiling.profile.numeric_profile
+    monkeypatch.setattr(profiling.profile, "numeric_profile", lambda given, cols: seen.append(given.rdd.getNumPartitions()) or whole(given, cols))
+    monkeypatch.setattr(ordering, "ROWS_PER_PART", 100)
+    large = profiling.profile_table(df, {"c": "str", "x": "float"}, "id", fast=True)
+    assert seen[0] > 1
+    assert sorted(map(tuple, large.dictionary.collect())) == sorted(map(tuple, small.dictionary.collect()))
+    a, b = (list(p.numeric.first()) for p in (large, small))
+    assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
