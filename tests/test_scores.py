@@ -145,6 +145,17 @@ def test_record_distances(spark, options):
     assert mean == pytest.approx(brute(z(fake), z(real), 1).mean())
 
 
+@pytest.mark.parametrize("rows_per_part", [10**6, 10])
+def test_record_distances_of_copies_alone(spark, monkeypatch, rows_per_part):
+    """Rows that all have copies leave no distance: one row without a score, however large the table."""
+    from tabweave.functions import ordering
+
+    monkeypatch.setattr(ordering, "ROWS_PER_PART", rows_per_part)
+    real = points(spark, np.repeat(np.random.default_rng(1).normal(size=(20, 2)), 2, axis=0))
+    fake = points(spark, np.random.default_rng(2).normal(size=(30, 2)))
+    assert [r.score for r in privacy.dcr_p5([real], fake, ["a", "b"]).collect()] == [None]
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (2,), (3,), (3,), (4,)], "a int")
     assert privacy.duplicates_per_mille(df).first().score == int(3000 / 7)
