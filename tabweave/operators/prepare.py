@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.ordering import ROWS_PER_PART, global_rank, hash_rank, part_count, spread
-from tabweave.functions.seeded import seeded_hash
+from tabweave.functions.seeded import HASH_SPAN, seeded_hash
 from tabweave.operators.quantiles import values_at_ranks
 from tabweave.roles import ROLE_TYPES, Roles, check_roles
 from tabweave.session import durable
 
+# A split that takes at most one in so many rows of a large table looks at the lowest hashes only.
+FEW_ROWS = 4
+
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.drop(*cols)
@@ -140,6 +143,16 @@ def rank_intervals(
     return tagged.withColumn("interval", sum([beyond(e) for e in ends], F.lit(0))).drop("_lead")
 
 
+def _lowest(df: DataFrame, count: int, rows: int, key: Sequence[str], seed: int) -> DataFrame:
+    """The rows with seeded hashes below a bound that holds the first ``count`` of them, or all rows.
+
+    Hashes are uniform, so little more than the rows wanted lies below the bound; whether they all do is counted.
+    """
+    share = (count + 8 * math.sqrt(count) + 100) / rows
+    low = durable(df.filter(seeded_hash(seed, *key) < math.ceil(share * HASH_SPAN)))
+    return low if low.count() >= count else df
+
+
 def train_test_split(
     df: DataFrame,
     n_train: int,
@@ -148,13 +161,17 @@ def train_test_split(
     key: Sequence[str] | None = None,
     seed: int = 42,
     rows_per_part: int | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Mark the first ``n_train`` rows ``train`` and the next ``n_test`` rows ``test``; drop the rest.
 
     Sizes are capped at 75 % and 25 % of the rows. Rows are taken in a given ``order``, or in seeded hash order of ``key``.
+    ``dealt`` says that a large ``df`` lies in enough files already.
     """
     rows = df.count()
     train, test = min(n_train, int(rows * 0.75)), min(n_test, int(rows * 0.25))
+    if order is None and key is not None and part_count(rows, rows_per_part) > 1 and (train + test) * FEW_ROWS <= rows:
+        df = _lowest(df if dealt else spread(df, rows, key), train + test, rows, key, seed)
     cut = rank_intervals(df, [train, train + test], order, key, seed, rows_per_part)
     kept = cut.filter(F.col("interval") < 2)
     return kept.withColumn("split", F.when(F.col("interval") == 0, "train").otherwise("test")).drop("interval")

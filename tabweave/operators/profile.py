@@ -7,20 +7,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.lookup import long_values, small_side
 from tabweave.functions.numeric import norm_cdf, rounded
-from tabweave.functions.ordering import PART, in_order_parts, running_total
+from tabweave.functions.ordering import PART, ROWS_PER_PART, in_order_parts, part_count, running_total
 from tabweave.operators.quantiles import PERCENTILES, as_double, buffered, exact_quantiles, long_numbers
+from tabweave.session import durable
 
 # Candidate distributions in the order that decides ties.
 CANDIDATES = ("norm", "expon", "uniform")
 
+# Cells of a large column between neighbouring percentiles, and what rounding may take from a distance that bounds others.
+FIT_CELLS, FIT_SLACK = 1000, 1e-9
+
 # A mixture is fitted to at most this many weighted bins per column.
 BODY_BINS, TAIL_BINS = 3000, 500
 # Component limit and the relative BIC gain that a further component must bring.
@@ -95,6 +100,60 @@ def category_profile(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (
     return shares.select(*keys, "column", "value", "n", rounded(F.col("n") / F.col("_rows"), 3).alias("prob"))
 
 
+def _fitted(value: str, tag: str) -> dict[str, Column]:
+    """What the candidates need beside the moments."""
+    return {"_varies": F.col("max") > F.col("min"), f"_z{tag}": F.try_divide(F.col(value) - F.col("mean"), F.col("std"))}
+
+
+def _candidates(value: str, tag: str) -> dict[str, Column]:
+    """The candidates' distribution functions at a value; each rises with it."""
+    x = F.col(value)
+    return {
+        "norm": norm_cdf(F.col(f"_z{tag}")),
+        "expon": 1 - F.exp(F.try_divide(F.col("min") - x, F.col("mean") - F.col("min"))),
+        "uniform": F.try_divide(x - F.col("min"), F.col("max") - F.col("min")),
+    }
+
+
+def _decisive_values(df: DataFrame, cols: Sequence[str], profile: DataFrame, most: int) -> DataFrame | None:
+    """The ``ranked_values`` that may decide the distances of a large table's columns; None if a cell holds too many rows.
+
+    Rows are counted in cells between the percentiles. At the ends of a cell the distance is known, and inside it none is
+    greater than that from the count before it to the upper end and from the count with it to the lower one. Only cells that
+    may reach the greatest known distance of a candidate, the cell it was found in among them, are counted by value.
+    """
+    points = ["min", *PERCENTILES, "max"]
+    x = F.col("value")
+    number = F.lit(0)
+    for i, (low, high) in enumerate(zip(points, points[1:])):
+        width = F.col(high) - F.col(low)
+        inner = F.least(F.floor((x - F.col(low)) / width * FIT_CELLS), F.lit(FIT_CELLS - 1))
+        place = F.when((width > 0) & (width < math.inf), inner).otherwise(F.lit(0))
+        number = F.when(x > F.col(low), i * (FIT_CELLS + 1) + 1 + place).otherwise(number)
+    long = long_numbers(df, cols, ()).join(F.broadcast(profile.select("column", *points)), "column").select("column", number.cast("int").alias("cell"), "value")
+    cells = long.groupBy("column", "cell").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    order = Window.partitionBy("column").orderBy("cell")
+    placed = cells.withColumns({"upto": F.sum("n").over(order), "rows": F.sum("n").over(Window.partitionBy("column"))})
+    placed = placed.withColumn("before", F.col("upto") - F.col("n")).join(F.broadcast(profile.select("column", "mean", "std", "min", "max")), "column")
+    placed = placed.withColumns({**_fitted("low", "_low"), **_fitted("high", "_high")})
+    for side in ("low", "high"):
+        placed = placed.withColumns({f"_{side}_{n}": c for n, c in _candidates(side, f"_{side}").items()})
+    top, bottom = F.col("upto") / F.col("rows"), F.col("before") / F.col("rows")
+    known = {n: F.max(F.greatest(top - F.col(f"_high_{n}"), F.col(f"_low_{n}") - bottom)).over(Window.partitionBy("column")) for n in CANDIDATES}
+    placed = placed.withColumns({f"_known_{n}": k for n, k in known.items()})
+    reach = [F.greatest(top - F.col(f"_low_{n}"), F.col(f"_high_{n}") - bottom) >= F.col(f"_known_{n}") - FIT_SLACK for n in CANDIDATES]
+    decides = (F.col("low") < F.col("high")) & F.coalesce(reduce(Column.__or__, reach), F.lit(True))
+    placed = durable(placed.select("column", "cell", "n", "low", "high", "upto", "before", "rows", decides.alias("decides")))
+    if (placed.agg(F.max(F.when(F.col("decides"), F.col("n")))).first()[0] or 0) > most:
+        return None
+    inside = placed.filter("decides").select("column", "cell", "before", "rows")
+    counts = long.join(F.broadcast(inside), ["column", "cell"]).groupBy("column", "cell", "before", "rows", "value").agg(F.count("*").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("column", "cell").orderBy("value"))
+    found = counts.select("column", "value", "n", upto.alias("upto"), "rows")
+    # A cell of one value is counted by value as it is.
+    return found.unionByName(placed.filter("low = high").select("column", F.col("low").alias("value"), "n", "upto", "rows"))
+
+
 def fit_distribution(
     df: DataFrame,
     cols: Sequence[str],
@@ -108,26 +167,19 @@ def fit_distribution(
     candidate wins a tie. A constant column has no fit, a column without numbers no row. ``loc`` and ``scale`` are those of the winner.
     ``profile`` is the ``numeric_profile`` if there is one already.
     """
-    ranked = ranked_values(df, cols, keys, rows_per_part)
+    ranked = None
+    if profile is not None and not keys and part_count(df.count() * len(cols), rows_per_part) > 1:
+        ranked = _decisive_values(df, cols, profile, rows_per_part or ROWS_PER_PART)
+    if ranked is None:
+        ranked = ranked_values(df, cols, keys, rows_per_part)
     fit = column_moments(df, cols, keys) if profile is None else profile
     fit = fit.select(*keys, "column", "mean", "std", "min", "max")
     joined = ranked.join(small_side(fit, keys), [*keys, "column"])
-    x, rows = F.col("value"), F.col("rows")
     # In steps of named columns: an expression used many times is computed once per value.
     placed = joined.withColumns(
-        {
-            "_varies": F.col("max") > F.col("min"),
-            "_z": F.try_divide(x - F.col("mean"), F.col("std")),
-            "_top": F.col("upto") / rows,
-            "_bottom": (F.col("upto") - F.col("n")) / rows,
-        }
-    ).withColumns(
-        {
-            "_norm": norm_cdf(F.col("_z")),
-            "_expon": 1 - F.exp(F.try_divide(F.col("min") - x, F.col("mean") - F.col("min"))),
-            "_uniform": F.try_divide(x - F.col("min"), F.col("max") - F.col("min")),
-        }
+        {"_top": F.col("upto") / F.col("rows"), "_bottom": (F.col("upto") - F.col("n")) / F.col("rows"), **_fitted("value", "")}
     )
+    placed = placed.withColumns({f"_{n}": c for n, c in _candidates("value", "").items()})
     gaps = placed.groupBy(*keys, "column", "mean", "std", "min", "max").agg(
         *[
             F.max(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabweave.functions.seeded import seeded_hash
 from tabweave.operators import fidelity, prepare
 from tabweave.operators.dictionary import dictionary_sizes, encode
-from tabweave.plans.profiling import TableProfile, profile_table
+from tabweave.plans.profiling import TableProfile, dealt_once, profile_table
 from tabweave.plans.scoring import Metric, default_metrics, score_table, with_control
 from tabweave.roles import Roles
 from tabweave.session import durable
@@ -63,9 +63,11 @@ def evaluate(
     """
     names = [*key, *[c for c in roles if c not in key]]
     kept = prepare.drop_incomplete(prepare.drop_columns(df, [c for c in dropped if c in df.columns]).select(*[F.col(f"`{c}`") for c in names]))
-    profile = profile_table(kept, roles, key[0], fast=fast)
+    # The profile and the split read a large table many times.
+    kept = dealt_once(kept, key[0], names)
+    profile = profile_table(kept, roles, key[0], fast=fast, dealt=True)
     coded = encode(kept, profile.dictionary, roles, dictionary_sizes(profile.dictionary))
-    split = durable(prepare.train_test_split(coded, rows, test_rows, key=key, seed=seed))
+    split = durable(prepare.train_test_split(coded, rows, test_rows, key=key, seed=seed, dealt=True))
     cols = [TARGET if c == target else c for c in roles]
     part = lambda which: prepare.rename_target(split.filter(F.col("split") == which).select(*[F.col(f"`{c}`") for c in roles]), target)
     train, test = part("train"), part("test")

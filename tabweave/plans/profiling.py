@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabweave.functions.ordering import part_count, spread
 from tabweave.operators import association, cards, dictionary, profile, shifts
 from tabweave.roles import Roles, cat_cols, check_roles, cont_cols
-from tabweave.session import durable
+from tabweave.session import durable, written
 
 
 @dataclass(frozen=True)
@@ -29,20 +29,18 @@ class TableProfile:
 
 
 def profile_table(
-    df: DataFrame, roles: Roles, order_key: str, shapes: bool = True, symmetric: bool = True, fast: bool = False
+    df: DataFrame, roles: Roles, order_key: str, shapes: bool = True, symmetric: bool = True, fast: bool = False, dealt: bool = False
 ) -> TableProfile:
     """Profile complete rows; what later steps read many times is written to the checkpoint folder once.
 
     The caller chooses the rows: give the training part alone to keep test rows out of the profile. ``fast`` leaves out
-    mixture modes and shifts, and takes Pearson correlations over category codes for the associations.
+    mixture modes and shifts, and takes Pearson correlations over category codes for the associations. ``dealt`` says that ``df``
+    comes from ``dealt_once``.
     """
     check_roles(roles)
     cats, conts = cat_cols(roles), cont_cols(roles)
-    rows = df.count()
-    if part_count(rows) > 1:
-        # Some twenty passes read a large table: it is spread and written once.
-        names = dict.fromkeys([order_key, *roles])
-        df = durable(spread(df.select(*[F.col(f"`{c}`") for c in names]), rows, [order_key]))
+    if not dealt:
+        df = dealt_once(df, order_key, list(dict.fromkeys([order_key, *roles])))
     numeric = durable(profile.numeric_profile(df, conts)) if conts else _no_numbers(df)
     labels = durable(dictionary.fit_dictionary(df, cats, order_key)) if cats else _no_labels(df)
     if fast:
@@ -65,6 +63,14 @@ def profile_table(
     )
 
 
+def dealt_once(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """A large table, which some twenty passes read, spread and written once with its columns ``names``; a small one as it is."""
+    rows = df.count()
+    if part_count(rows) == 1:
+        return df
+    return written(spread(df.select(*[F.col(f"`{c}`") for c in names]), rows, [key]))
+
+
 def _no_numbers(df: DataFrame) -> DataFrame:
     names = ["n", "mean", "std", "min", "max", *profile.PERCENTILES, "skew", "kurtosis"]
     fields = ", ".join(["column string", *[f"{n} {'bigint' if n == 'n' else 'double'}" for n in names]])

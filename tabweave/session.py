@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -43,3 +45,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the checkpoint folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``durable`` for a large table that many passes read: by columns, so that each pass reads only its own.
+
+    Columns of other than plain kinds are left to a checkpoint.
+    """
+    plain = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType)
+    if not df.columns or not all(isinstance(f.dataType, plain) for f in df.schema.fields):
+        return durable(df)
+    path = f"{checkpoint_folder(df.sparkSession)}/tabweave/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -95,3 +95,18 @@ def test_a_large_split_is_spread(spark):
     assert len(sizes) > 1 and sum(sizes) == 3_000
     whole = prepare.train_test_split(df, 10**9, 10**9, key=["id"])
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("keys", [range(4_000), [i // 2 for i in range(4_000)], [None if i % 2 else i for i in range(4_000)]])
+def test_a_small_split_of_a_large_table_leaves_the_rest(spark, monkeypatch, keys):
+    """Few of many rows are looked up among the lowest hashes, equal and missing keys included."""
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "id bigint, x bigint")
+    sizes = []
+    monkeypatch.setattr(prepare, "durable", lambda d: (kept := d.localCheckpoint(), sizes.append(kept.count()))[0])
+    by = {"key": ["id", "x"]} if len(set(keys)) == 4_000 else {"key": ["id"]}
+    cut = prepare.train_test_split(df, 150, 50, **by, rows_per_part=500)
+    whole = prepare.train_test_split(df, 150, 50, **by)
+    places = lambda d: sorted((str(r.id), r.split) for r in d.collect())
+    assert places(cut) == places(whole) and len(places(cut)) == 200
+    if len(set(keys)) == 4_000:
+        assert max(sizes) < 1_000

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,23 @@ def test_a_large_table_is_spread_before_it_is_profiled(spark, monkeypatch):
     assert sorted(map(tuple, large.dictionary.collect())) == sorted(map(tuple, small.dictionary.collect()))
     a, b = (list(p.numeric.first()) for p in (large, small))
     assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
+
+
+def test_distances_of_large_columns_need_few_values(spark):
+    """Only values near the greatest gaps are counted; distances are those of all values."""
+    draw = np.random.default_rng(4)
+    data = {
+        "wave": draw.normal(3, 2, 20_000), "tail": draw.pareto(0.7, 20_000), "flat": draw.random(20_000), "few": draw.integers(0, 9, 20_000) * 1.0,
+        "same": np.full(20_000, 2.5), "heavy": np.where(draw.random(20_000) < 0.9, 0.0, draw.normal(0, 1, 20_000)), "steps": np.round(draw.normal(0, 1, 20_000), 2),
+    }
+    rows = pd.DataFrame(data)
+    rows.loc[::7, "wave"], rows.loc[::5, "few"] = np.nan, np.nan
+    df = spark.createDataFrame(rows).withColumn("none", F.lit(None).cast("double")).repartition(3)
+    numeric = profile.numeric_profile(df, df.columns).localCheckpoint()
+    got, want = ({r.column: r for r in profile.fit_distribution(df, df.columns, rows_per_part=n, profile=numeric).collect()} for n in (10_000, None))
+    assert got == want and set(got) == set(data) and got["same"].distribution is None
+    values = profile._decisive_values(df.select("wave", "tail"), ["wave", "tail"], numeric, 10_000)
+    assert values.count() < 8_000
+    # A cell with too many rows is left to the ranks of all values.
+    assert profile._decisive_values(df, df.columns, numeric, 1) is None
+    assert {r.column: r for r in profile.fit_distribution(df, df.columns, rows_per_part=1_000, profile=numeric).collect()} == want
