@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.chunks import ChunkEncoder
-from tabweave.llm.common import BATCH_BYTES, col, new_path, slices
+from tabweave.llm.common import col, new_path, slices
 from tabweave.llm.ordered import id_cuts, sorted_ranges
 
 # Tokens after which a block is closed, after the document at hand.
 BLOCK_TOKENS = 2_000_000
+# Bytes of text encoded together, at least one document, and pieces whose ids a worker remembers: both save equal pieces.
+ENCODED_BYTES, PIECES = 8_000_000, 800_000
 # Ids below this are counted by their own number.
 COUNTED_IDS = 1 << 20
 
@@ -36,6 +38,11 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 # The letter that byte-level vocabularies write for a space, and chunks encoded as one text.
 SPACE = chr(0x100 + 0x20)
 JOINED_CHUNKS = 1_000
+# A chunk that ends in a letter or digit and marks, or goes on in a new line with a word and marks: the pattern of byte-level
+# vocabularies ends a token before the marks, and before and after a single line break. Letters are those of Latin alphabets.
+WORD = "0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+MARKS = r"[!-/:-@\[-`{-~]"
+CUT = rf"^(?P<first>\S*[{WORD}])(?P<marks>{MARKS}*)(?P<rest>(?:\n[{WORD}]+{MARKS}*)?)$"
 
 
 class LibraryEncoder:
@@ -53,12 +60,23 @@ class LibraryEncoder:
         rule = self.tokenizer.pre_tokenizer
         known = isinstance(rule, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
         self.joins = known and rule.use_regex and not rule.add_prefix_space
+        # Chunks that hold an added token are not cut.
+        self.added = [t.content for t in added if t.content]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith(SPACE)]] = True
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def cut(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """The first piece, marks and rest of each chunk; marks and rest are empty where it is not cut."""
+        found = pc.extract_regex(chunks, CUT)
+        whole = found.is_null()
+        for mark in self.added:
+            whole = pc.or_(whole, pc.match_substring(chunks, mark))
+        marks, rest = (pc.if_else(whole, "", pc.struct_field(found, n)) for n in ("marks", "rest"))
+        return pc.if_else(whole, chunks, pc.struct_field(found, "first")), marks, rest
+
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids, as bytes, of a space and each chunk; chunks hold no space."""
         parts = [chunks[i : i + JOINED_CHUNKS] for i in range(0, len(chunks), JOINED_CHUNKS)]
@@ -76,9 +94,9 @@ class LibraryEncoder:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> ChunkEncoder:
-    """The library's encoder behind a memo of chunks, built once per worker."""
+    """The library's encoder behind a memo of pieces, built once per worker."""
     encoder = LibraryEncoder(path)
-    return ChunkEncoder(encoder, whole_if=encoder.wide, encode_chunks=encoder.chunks)
+    return ChunkEncoder(encoder, PIECES, whole_if=encoder.wide, encode_chunks=encoder.chunks, cut=encoder.cut if encoder.joins else None)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -141,7 +159,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int, ke
             known, ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("known", "id", "tie"))
             places = numbers.value.places(known.astype(bool), ids, ties)
             docs = pa.array(ids, pa.int64(), mask=~known.astype(bool))
-            for i, j in slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), BATCH_BYTES):
+            for i, j in slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), ENCODED_BYTES):
                 found, counts = encoder.encode(texts.slice(i, j - i))
                 # Ids of up to two bytes are stored in two.
                 narrow = found.astype("<u2") if not len(found) or found.max() < 1 << 16 else found.astype("<u4")

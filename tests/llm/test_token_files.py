@@ -106,3 +106,27 @@ def test_query(spark, library):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     got = [tuple(r) for r in op10_token_files(spark, sf).orderBy("doc_id").collect()]
     assert got == [e[:4] for e in expected(docs, library)]
+
+
+def test_pieces_of_chunks_are_encoded_once(library):
+    """Marks at the end of a word and a single line break are cut off, where tokens surely end."""
+    encoder = tf.library_encoder.__wrapped__(PATH)
+    asked = []
+    encode = encoder.encode_chunks
+    encoder.encode_chunks = lambda chunks: (asked.extend(chunks), encode(chunks))[1]
+    texts = ["so word word. word, word!!\nword (word word's word's, word\nword? word", "a word word; word_ end"]
+    ids, counts = encoder.encode(tf.pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+    assert sorted(asked) == sorted(set(asked)) and not {"word.", "word,", "word!!\nword", "word;"} & set(asked)
+
+
+def test_cut_pieces_equal_whole_texts(library):
+    draw = np.random.default_rng(8)
+    letters = ["a", "Z", "é", "ß", "×", "7", "²", "'", "'s", "'ll", ".", ",", "_", "$$", "»", "…", "\n", "\n\n", "\t", "\r", "\x0b", " ", " ", "́", "Ω", "字", " ", " ", " ", "  ", "<|endoftext|>", "<|", "|>"]
+    texts = ["".join(letters[i] for i in draw.integers(0, len(letters), draw.integers(0, 40))) for _ in range(6_000)]
+    encoder = tf.library_encoder.__wrapped__(PATH)
+    for part in (texts, texts[::-1]):
+        ids, counts = encoder.encode(tf.pa.array(part))
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
