@@ -82,12 +82,10 @@ class ChunkEncoder:
         # Sure of its bounds is a chunk without white space at its ends.
         held = [False if ids is None and (not c or c.strip() != c) else ids for c, ids in zip(asked, held)]
         encoded = iter(self.encode_chunks([c for c, ids in zip(asked, held) if ids is None]))
-        for i, chunk, ids in zip(missing, asked, held):
-            if ids is None:
-                ids = next(encoded)
+        held = [next(encoded) if ids is None else ids for ids in held]
+        for i, ids in zip(missing, held):
             found[i] = ids
-            if len(chunk) <= KEPT_CHARS:
-                young[chunk] = ids
+        young.update((c, ids) for c, ids in zip(asked, held) if len(c) <= KEPT_CHARS)
         if len(young) >= self.memo // 2:
             self.old, self.young = young, {}
         return found
@@ -135,10 +133,8 @@ class ChunkEncoder:
         if whole.any():
             keep = ~np.repeat(whole, np.diff(offsets))
             keep[offsets[:-1]] = True
-            owner = np.repeat(np.arange(len(own)), np.diff(offsets))[keep]
             codes = codes[keep]
-        else:
-            owner = np.repeat(np.arange(len(own)), np.diff(offsets))
+        kept = np.where(whole, 1, np.diff(offsets))
         packed = [p or b"" for p in packed]
         flat = np.frombuffer(b"".join(packed), dtype=np.int32)
         sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
@@ -146,5 +142,5 @@ class ChunkEncoder:
         lengths = sizes[codes]
         before = np.cumsum(lengths) - lengths
         ids = flat[np.repeat(starts[codes] - before, lengths) + np.arange(int(lengths.sum()))]
-        counts = np.bincount(owner, weights=lengths, minlength=len(own)).astype(np.int64)
+        counts = np.add.reduceat(lengths, np.cumsum(kept) - kept).astype(np.int64)
         return ids, counts

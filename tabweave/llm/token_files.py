@@ -32,7 +32,7 @@ ENCODED_BYTES, PIECES = 8_000_000, 800_000
 COUNTED_IDS = 1 << 20
 
 # Lengths of the four ranks that a control byte stands for.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
 
 # The letter that byte-level vocabularies write for a space, and chunks encoded as one text.
@@ -120,9 +120,10 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     codes[: len(ids)] = sizes - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    spread = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = spread[np.arange(4) < sizes[:, None]]
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    # No rank takes more than so many bytes.
+    width = 2 if len(table) <= 1 << 16 else 4
+    data = ranks.astype(f"<u{width}").view(np.uint8)[(np.arange(width, dtype=np.uint8) < sizes[:, None]).reshape(-1)]
     return table[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
@@ -130,11 +131,12 @@ def unpack(table: bytes, control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ids of a block."""
     sizes = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
     stream = np.frombuffer(data, dtype=np.uint8)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
     ranks = stream[starts].astype(np.uint32)
     for extra in (1, 2, 3):
         longer = np.flatnonzero(sizes > extra)
+        if not len(longer):
+            break
         ranks[longer] |= stream[starts[longer] + extra].astype(np.uint32) << np.uint32(8 * extra)
     return np.frombuffer(table, dtype="<u4")[ranks]
 
