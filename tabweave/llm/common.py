@@ -19,8 +19,12 @@ from tabweave.session import checkpoint_folder
 SHINGLE_WORDS = 5
 # Entries a per-worker memo may hold before it starts afresh.
 MEMO_ENTRIES = 300_000
+# The same for memos of words that are quick to work out again.
+WORD_ENTRIES = 50_000
 # Bytes of text handled together, at least one document.
 BATCH_BYTES = 4_000_000
+# The same where tables over the words of a batch are built, several times as large as the texts.
+WORD_BATCH_BYTES = 1_000_000
 
 # What is no letter, mark or digit at either end of a chunk.
 EDGES = regex.compile(r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$")
@@ -70,7 +74,7 @@ def boxed_text(batch: pa.RecordBatch, text: str) -> pa.Array:
 
 
 def map_text(df: DataFrame, text: str, carry: bool, run: Callable, added: list[T.StructField]) -> DataFrame:
-    """``boxed`` rows with columns computed from their texts, about ``BATCH_BYTES`` of text at once.
+    """``boxed`` rows with columns computed from their texts, about ``WORD_BATCH_BYTES`` of text at once.
 
     ``run()`` is called once per task and returns a function from an array of texts to the arrays of ``added``.
     """
@@ -81,7 +85,7 @@ def map_text(df: DataFrame, text: str, carry: bool, run: Callable, added: list[T
         for batch in batches:
             texts = boxed_text(batch, text)
             row = batch.column(batch.schema.get_field_index("_row"))
-            for i, j in slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), BATCH_BYTES):
+            for i, j in slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), WORD_BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([row.slice(i, j - i), *compute(texts.slice(i, j - i))], ["_row", *[f.name for f in added]])
 
     return rows.mapInArrow(task, T.StructType([rows.schema["_row"], *added]))
@@ -110,7 +114,7 @@ class WordHashes(dict):
     """
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= WORD_ENTRIES:
             self.clear()
         lower = chunk.lower()
         word = lower if lower.isalnum() else EDGES.sub("", lower) or lower

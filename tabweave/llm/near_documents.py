@@ -25,7 +25,7 @@ BANDS = 28
 BAND_SLOTS = 5
 SLOTS = BANDS * BAND_SLOTS
 # Characters of text whose signatures are built together, at least one document.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 # Members compared with one leader in one task.
 LEADER_GROUP = 256
 STAR_ROUNDS = 3

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.llm.chunks import word_chunks
-from tabweave.llm.common import col, list_array, map_text, saved
+from tabweave.llm.common import WORD_ENTRIES, col, list_array, map_text, saved
 
 # Documents that train the scorer, at most about so many; votes are counted over all.
 FIT_ROWS = 20_000
@@ -66,7 +66,7 @@ class ChunkTraits:
         )
 
     def rows(self, chunks: list[str]) -> np.ndarray:
-        if len(self.known) > 300_000:
+        if len(self.known) > WORD_ENTRIES:
             self.known.clear()
         out = []
         for chunk in chunks:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.llm.chunks import word_chunks
-from tabweave.llm.common import boxed, col, list_array, map_text, saved
+from tabweave.llm.common import WORD_ENTRIES, boxed, col, list_array, map_text, saved
 
 # Labelled rows used for fitting, at most about so many; the rest of the labels is not needed.
 FIT_ROWS = 20_000
@@ -94,7 +94,7 @@ class ChunkTable:
 
     def rows(self, chunks: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 200_000:
+        if len(known) > WORD_ENTRIES:
             known.clear()
         out = []
         for chunk in chunks:
