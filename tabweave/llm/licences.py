@@ -171,7 +171,8 @@ def scan_licences(files: DataFrame, path: str, text: str, is_licence_file: Colum
     """
     rows = files.filter(col(path).isNotNull())
     listed = rows.groupBy(col(path).alias("key")).agg(F.max(F.coalesce(is_licence_file, F.lit(False))).alias("gives"))
-    stated = saved(_places(statements(rows, path, text)), "licence-statements")
+    # Statements are few beside the texts: few files hold them, and each file starts processes that set its mode.
+    stated = saved(_places(statements(rows, path, text)).hint("rebalance"), "licence-statements")
     found = saved(statement_licences(stated, least), "licence-statements")
     texts = rows.select(col(path).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"), F.coalesce(is_licence_file, F.lit(False)).alias("gives"))
     whole = saved(whole_licences(texts), "licence-wholes")

@@ -149,3 +149,19 @@ def test_query(spark):
         want[r.doc_id] = (len(found), min((max((c, -i, n) for i, (c, n) in enumerate(cosines(s)))[2] for v, s in found if v == top), default=None))
     got = {r.doc_id: (r.n_statements, r.own_licence) for r in op5_licences(spark, sf).collect()}
     assert got == want and sum(n > 0 for n, _ in want.values()) > 5
+
+
+def test_few_statements_take_few_files(spark, monkeypatch):
+    from tabweave.llm import common
+
+    written = []
+
+    def saved(df, name):
+        out = common.saved(df, name)
+        written.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(lc, "saved", saved)
+    rows = spark.range(64).selectExpr("concat('a/', id) path", "'Released under the MIT License.' text", "false gives").repartition(32)
+    assert {r.own_licence for r in lc.scan_licences(rows, "path", "text", F.col("gives")).collect()} == {"MIT"}
+    assert written[0][0] == "licence-statements" and written[0][1] <= 4
