@@ -118,7 +118,7 @@ def columnwise_batch(
             accepted = routed.filter("status = 'accepted'").select("chat_id", "messages")
             waiting = routed.filter("status = 'retry'").select("chat_id", "messages")
             failed.append(routed.filter("failed is not null").select("chat_id", "failed"))
-            rows_parts.append(valid.join(accepted.select("chat_id"), "chat_id", "left_semi"))
+            rows_parts.append(valid.join(accepted.select("chat_id").hint("merge"), "chat_id", "left_semi"))
             ready.append(accepted)
             gained = accepted.count()
             n_ready += gained

@@ -264,3 +264,14 @@ def test_evaluation_run(spark, tmp_path):
     assert scores["synthetic", 1, "bad-Count"] == (-1.0, "no such score")
     assert spark.read.json(f"{tmp_path}/scores").count() == 8
     assert spark.read.option("header", True).csv(f"{tmp_path}/generated").groupBy("repetition").count().count() == 3
+
+
+def test_long_replies_are_not_sent_through_the_driver(spark):
+    """A plan takes the replies of many chats for a small table; they must not be broadcast for that."""
+    talks = spark.range(60).select(F.col("id").alias("chat_id"), F.array(chats.message("user", F.lit("?"))).alias("messages"))
+    replies = spark.range(60).select(F.col("id").alias("chat_id"), F.repeat(F.lit("x"), 10_000).alias("response"))
+    valid = spark.range(90).select((F.col("id") % 45).alias("chat_id"))
+    out = chats.route_chats(talks, replies, valid, replies, min_rows=2)
+    assert out.groupBy("status").count().orderBy("status").collect() == [("accepted", 45), ("retry", 15)]
+    out.collect()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
