@@ -64,6 +64,30 @@ def test_search_meets_few_leaves():
         assert len(leaves.low) > 600 and met / len(left) / len(leaves.low) < 0.03
 
 
+def test_points_beside_lines_meet_few_leaves():
+    """Drawn columns lie off the lines that real rows lie on; boxes along the lines tell the leaves apart."""
+    rng = np.random.default_rng(5)
+    price, month = rng.uniform(0, 3.4, 20_000), rng.integers(0, 12, 20_000) * 0.29
+    right = np.column_stack((price, 0.9 * price + 0.44 * month, month))
+    left = np.column_stack([rng.choice(right[:, j], 400) for j in range(3)])
+    leaves = neighbours.build_leaves(right, np.ones(len(right), int))
+    for k in (1, 3):
+        found, met = neighbours.search(left, leaves, k)
+        brute = np.sort(np.linalg.norm(left[:, None] - right[None], axis=2), axis=1)[:, :k]
+        assert np.allclose(found, brute, rtol=1e-12, atol=1e-12) and met < 8 * len(left)
+
+
+@pytest.mark.parametrize("columns", [1, 2, 16, 17])
+def test_search_equals_brute_force_at_any_width(columns):
+    rng = np.random.default_rng(columns)
+    right = np.vstack((rng.integers(0, 3, (700, columns)), np.outer(rng.normal(size=300), rng.normal(size=columns)) + 1e5))
+    left = np.vstack((right[::50], rng.normal(size=(50, columns)) * 1e5))
+    for k in (1, 2):
+        found, _ = neighbours.search(left, neighbours.build_leaves(right, np.ones(len(right), int), 16), k)
+        brute = np.sort(np.sqrt(((left[:, None] - right[None]) ** 2).sum(axis=2)), axis=1)[:, :k]
+        assert np.allclose(found, brute, rtol=1e-12, atol=1e-9)
+
+
 def test_search_measures_few_boxes(monkeypatch):
     """A point goes down a tree: it is not compared with the boxes of all leaves."""
     rng = np.random.default_rng(8)
